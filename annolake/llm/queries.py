@@ -7,22 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annolake.llm import ngram_join, packing
+from annolake.llm import ngram_join, packing, quality, toxicity
 from annolake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op7_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), 1024)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_ngram_jaccard, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op2_toxicity, op5_ngram_jaccard, op7_quality_machine, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
