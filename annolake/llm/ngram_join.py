@@ -10,10 +10,10 @@ A document's set holds its distinct n-word shingles as 64-bit hashes. All pairs
    replaced by a second dealing of the whole set, which must agree in a part as well.
 2. *Groups.* Sets that share a signature are compared with the smallest id that has it:
    a linear number of pairs, however many copies there are. Linked sets form groups.
-3. *Token-group matrix.* Where a signature still spans several groups, the rows
-   (group, shingle) store each group's union. A query can link with a member only if
-   enough of its shingles are in that union; only such groups are opened, and the query
-   is compared with their members.
+3. *Token-group matrix.* Where a signature still spans several groups, the sets that
+   are connected by shared signatures are dealt to blocks of similar ones. Pairs of blocks
+   meet; a block's union of shingles bounds what a query can share with any member, and
+   only for queries that reach the bound the block is opened and its members compared.
 
 Any pair that could link shares a signature, and is then in one group after step 2 or
 compared in step 3, so no link is lost and nothing is capped. Equal sets count as one.
@@ -25,6 +25,7 @@ as one document; an empty table gives an empty result; extra columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,14 @@ from pyspark.sql import functions as F
 from annolake.llm.common import Cache, lower_ascii, map_arrow, slices, stored, word_hash, words
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Shingles in a block of the matrix, about.
+BLOCK_SHINGLES = 40_000
 #: More entries than this are not broadcast.
 BROADCAST_ROWS = 1_000_000
 #: A class of sizes reaches from one limit to below this many times it.
 CLASS_RATIO = 1.2
 
-_hashes = Cache(word_hash)
+_hashes = Cache(word_hash, 150_000)
 
 
 @np.errstate(over="ignore")
@@ -210,23 +213,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     links = stored(compared(pairs, tokens, percent), "links")
     groups = components(links, "groups")
 
-    # Signatures that still span groups: query a in another group, through the matrix.
+    # Signatures that still span groups: their sets meet block by block in the matrix.
     member = needed.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"))
     placed = near.select("signature", F.col("a").alias("doc_id")).distinct().join(member, "doc_id")
     spread = placed.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("signature")
-    placed = stored(placed.join(spread, "signature"), "placed")
-    query = stored(placed.join(placed.select("signature", F.col("group").alias("other")).distinct(), "signature").filter("group > other").select("doc_id", "other").distinct(), "queries")
-    if query.limit(1).count():
-        opened = stored(qualifying(query, member, tokens, percent), "opened")
-        tried = pairs.select("a", "b").union(pairs.select("b", "a"))
-        size = tokens.select("doc_id", F.size("tokens").alias("size"))
-        more = (
-            opened.withColumnRenamed("doc_id", "a").join(size.select(F.col("doc_id").alias("a"), F.col("size").alias("p")), "a")
-            .join(member.select(F.col("doc_id").alias("b"), F.col("group").alias("other")), "other")
-            .join(size.select(F.col("doc_id").alias("b"), F.col("size").alias("q")), "b")
-            .filter(f"100 * least(p, q) >= {percent} * greatest(p, q)").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        )
-        links = stored(links.union(compared(more, tokens, percent)), "all-links")
+    placed = stored(placed.join(spread, "signature").select("doc_id", "group").distinct(), "placed")
+    if placed.limit(1).count():
+        clusters = components(pairs, "clusters").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
+        links = stored(links.union(opened(placed.join(clusters, "doc_id"), tokens, percent)), "all-links")
         groups = components(links, "components")
 
     copies = found.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
@@ -235,13 +229,70 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     return out.unionByName(keys.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def qualifying(query: DataFrame, member: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, other): the groups whose union holds enough of the query's shingles.
+def blocks(placed: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """placed (doc_id, group, cluster) with size, band, unit, block: blocks of about BLOCK_SHINGLES.
 
-    A link with |x & y| common shingles needs 100 * |x & y| >= percent * |x|, as the union
-    is no smaller than x; the matrix row (other, token) bounds |x & y| from above.
+    Linked sets are in one cluster and in one band of sizes or the next. A group that fills
+    a block by itself has blocks of its own, as its members need no comparison.
     """
-    asked = member.join(query.select(F.col("other").alias("group")).distinct(), "group", "left_semi")
-    matrix = asked.join(tokens, "doc_id").select(F.col("group").alias("other"), F.explode("tokens").alias("token")).distinct()
-    rows = query.join(tokens, "doc_id").select("doc_id", "other", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    return rows.join(matrix, ["other", "token"]).groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("bound"), F.max("size").alias("size")).filter(f"100 * bound >= {percent} * size").select("doc_id", "other")
+    sized = placed.join(tokens.select("doc_id", F.size("tokens").cast("long").alias("size")), "doc_id").withColumn("band", F.floor(F.log("size") / math.log(100 / percent)))
+    groups = sized.groupBy("cluster", "band", "group").agg(F.sum("size").alias("held")).withColumn("unit", F.when(F.col("held") >= BLOCK_SHINGLES, F.col("group")).otherwise(F.lit(-1)))
+    units = groups.groupBy("cluster", "band", "unit").agg(F.ceil(F.sum("held") / BLOCK_SHINGLES).alias("blocks"))
+    return sized.join(groups.drop("held"), ["cluster", "band", "group"]).join(units, ["cluster", "band", "unit"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).drop("blocks", "size")
+
+
+def opened(placed: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different groups of one cluster.
+
+    A block's union of shingles bounds what a query can share with any member: a link with
+    c common shingles needs 100 * c >= percent * |x|, as the union is no smaller than x.
+    Only queries that reach the bound are compared with the block's members.
+    """
+    rows = stored(blocks(placed, tokens, percent), "blocks")
+    own = rows.groupBy("cluster", "band", "unit", "block").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    left = own.select(*(F.col(c).alias(f"{c}1") if c != "cluster" else F.col(c) for c in own.columns))
+    right = own.select(*(F.col(c).alias(f"{c}2") if c != "cluster" else F.col(c) for c in own.columns))
+    meet = left.join(right, "cluster").filter("band2 - band1 in (0, 1) and (band1 < band2 or unit1 < unit2 or (unit1 = unit2 and block1 <= block2))")
+    meet = meet.filter("(unit1 = -1 or unit1 <> unit2) and not (low1 = high1 and low2 = high2 and low1 = low2)")
+    meet = stored(meet.select("cluster", *(f"{c}{k}" for k in (1, 2) for c in ("band", "unit", "block"))).withColumn("pair", F.monotonically_increasing_id()), "block-pairs")
+    same = F.expr("band1 = band2 and unit1 = unit2 and block1 = block2")
+    sides = [meet.select("pair", F.lit(k).alias("side"), same.alias("same"), "cluster", *(F.col(f"{c}{k}").alias(c) for c in ("band", "unit", "block"))) for k in (1, 2)]
+    dealt = sides[0].unionByName(sides[1].filter("not same")).join(rows, ["cluster", "band", "unit", "block"]).join(tokens, "doc_id").select("pair", "side", "same", "doc_id", "group", "tokens")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
+        side, doc, group = (table.column(c).to_pylist() for c in ("side", "doc_id", "group"))
+        held = table.column("tokens").combine_chunks()
+        values, n = np.unique(held.values.to_numpy(), return_inverse=True)[1], held.value_lengths().to_numpy().astype(np.int64)
+        ends = np.cumsum(n)
+        queries = [k for k, x in enumerate(side) if x == 1]
+        members = queries if table.column("same")[0].as_py() else [k for k, x in enumerate(side) if x == 2]
+        if not members:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        first = ends[members[0]] - n[members[0]]
+        inside, sizes = values[first : ends[members[-1]]], n[members[0] : members[-1] + 1]
+        union = np.zeros(values.max() + 1, bool)
+        union[inside] = True
+        parent = {g: g for g in group}
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = g = parent[parent[g]]
+            return g
+
+        out, mark = [], np.zeros(len(union), bool)
+        for q in queries:
+            x = values[ends[q] - n[q] : ends[q]]
+            if 100 * np.count_nonzero(union[x]) < percent * n[q]:
+                continue
+            mark[x] = True
+            common = np.add.reduceat(mark[inside].astype(np.int64), np.cumsum(sizes) - sizes)
+            mark[x] = False
+            for k in np.flatnonzero(linked(common, n[q], sizes, percent)):
+                p, r = root(group[q]), root(group[members[k]])
+                if p != r:
+                    parent[max(p, r)] = min(p, r)
+                    out.append((doc[q], doc[members[k]]))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return dealt.groupBy("pair").applyInArrow(run, "a long, b long")
