@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annolake.llm import ngram_join, packing, quality, toxicity
+from annolake.llm import language_model, ngram_join, packing, quality, toxicity
 from annolake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op6_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
 def op7_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -30,7 +34,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op5_ngram_jaccard, op7_quality_machine, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op2_toxicity, op5_ngram_jaccard, op6_recurrent_lm, op7_quality_machine, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
