@@ -45,7 +45,7 @@ def properties(word: str) -> tuple:
     )
 
 
-_table = WordTable(properties, 11, 100_000)
+_table = WordTable(lambda fresh: [properties(w) for w in fresh], 11, 100_000)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,16 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annolake.llm import language_model, ngram_join, packing, quality, toxicity
+from annolake.llm import fertility, language_model, mixing, ngram_join, packing, quality, secrets, toxicity
 from annolake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), ["doc_id"], repetition_limit=2.0)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.fertility_rules(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -34,7 +46,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op5_ngram_jaccard, op6_recurrent_lm, op7_quality_machine, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_tokeniser_fertility, op4_secret_worklist, op5_ngram_jaccard, op6_recurrent_lm, op7_quality_machine, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

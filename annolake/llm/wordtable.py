@@ -10,22 +10,26 @@ from annolake.llm.common import words
 
 
 class WordTable(dict):
-    """word -> row of `rows`. Forgets all at the next batch once it holds `limit` words."""
+    """word -> row of `rows`. Forgets all at the next batch once it holds `limit` words.
 
-    def __init__(self, properties: Callable[[str], tuple], width: int, limit: int = 200_000):
+    properties: gives the rows of a list of words. forget: called when all is forgotten.
+    """
+
+    def __init__(self, properties: Callable[[list[str]], np.ndarray], width: int, limit: int = 200_000, forget: Callable[[], None] = lambda: None):
         super().__init__()
-        self.properties, self.width, self.limit = properties, width, limit
+        self.properties, self.width, self.limit, self.forget = properties, width, limit, forget
         self.rows, self.fresh = np.zeros((0, width)), []
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
-        self.fresh.append(self.properties(word))
+        self.fresh.append(word)
         return number
 
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts end to end, and the number of words of each text."""
         if len(self) >= self.limit:
             self.clear()
+            self.forget()
             self.rows = np.zeros((0, self.width))
         ids, counts = [], []
         for text in texts:
@@ -33,7 +37,7 @@ class WordTable(dict):
             counts.append(len(own))
             ids.append(np.fromiter(map(self.__getitem__, own), np.int64, len(own)))
         if self.fresh:
-            self.rows = np.concatenate([self.rows, np.array(self.fresh, float).reshape(-1, self.width)])
+            self.rows = np.concatenate([self.rows, np.asarray(self.properties(self.fresh), float).reshape(-1, self.width)])
             self.fresh = []
         return np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array(counts, np.int64)
 
