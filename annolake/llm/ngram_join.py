@@ -6,9 +6,9 @@ A document's set holds its distinct n-word shingles as 64-bit hashes. All pairs
 1. *Signatures.* Such a pair differs in at most D shingles, D from the sizes. Shingles are
    dealt by hash to D + 1 parts, so one part at least is the same in both sets; a part's
    content is hashed to a signature. Sizes fall in classes, and a set is entered in each
-   class that a partner's size can reach. A part that is empty says little, so it is
-   replaced by a second dealing of the whole set, which must agree in a part as well.
-2. *Groups.* Sets that share a signature are compared with the smallest id that has it:
+   class that a partner's size can reach. Parts that are empty say little: spare parts, and
+   for sets with many empty parts a second dealing, make up for them.
+2. *Groups.* Sets that share a signature are compared with one of those that have it:
    a linear number of pairs, however many copies there are. Linked sets form groups.
 3. *Token-group matrix.* Where a signature still spans several groups, the sets that
    are connected by shared signatures are dealt to blocks of similar ones. Pairs of blocks
@@ -25,6 +25,7 @@ as one document; an empty table gives an empty result; extra columns are ignored
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ BLOCK_SHINGLES = 40_000
 #: More entries than this are not broadcast.
 BROADCAST_ROWS = 1_000_000
 #: A class of sizes reaches from one limit to below this many times it.
-CLASS_RATIO = 1.2
+CLASS_RATIO = 1.4
 
 _hashes = Cache(word_hash, 150_000)
 
@@ -58,7 +59,7 @@ def shingles(text: str, n: int) -> np.ndarray:
     own = words(lower_ascii(text))
     if not own:
         return np.zeros(0, np.uint64)
-    ids = np.array(list(map(_hashes.__getitem__, own)), np.uint64)
+    ids = np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))
     width = min(n, len(ids))
     out = np.full(len(ids) - width + 1, width, np.uint64)
     for k in range(width):
@@ -70,48 +71,75 @@ def linked(common: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np
     return 100 * common >= percent * (x + y - common)
 
 
-def classes(percent: int, limit: int = 1 << 40) -> list[int]:
-    """Lower bounds of the size classes."""
-    out, at = [], 1
-    while at < limit:
-        out.append(at)
-        at = max(at + 1, int(at * CLASS_RATIO))
-    return out
-
-
 def most_apart(largest: int, percent: int) -> int:
     """The symmetric difference of a linked pair whose larger set has `largest` members at most."""
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
+def spare(n: int, apart: int) -> int:
+    """Parts to add so that few sets of n shingles or more have more empty parts than are added."""
+    extra = 0
+    for _ in range(50):
+        parts = apart + 1 + extra
+        mean = parts * math.exp(-n / parts)
+        more = min(math.ceil(mean + 3 * math.sqrt(mean)), apart + 8)
+        if more <= extra:
+            break
+        extra = more
+    return extra
+
+
+class Classes:
+    """Size classes: `bounds` are their least sizes; parts and spare parts of each."""
+
+    def __init__(self, percent: int, limit: int = 1 << 40):
+        self.percent, self.bounds, at = percent, [], 1
+        while at < limit:
+            self.bounds.append(at)
+            at = max(at + 1, int(at * CLASS_RATIO))
+        apart = [most_apart(b - 1, percent) for b in self.bounds[1:]]
+        self.spare = [spare(b * percent // 100, d) if d else 0 for b, d in zip(self.bounds, apart)]
+        self.parts = [d + 1 + e if d else 1 for d, e in zip(apart, self.spare)]
+
+
+def dealt(tokens: np.ndarray, parts: int, head: np.uint64) -> tuple[np.ndarray, np.ndarray | None]:
+    """Signatures of the parts that hold some of the sorted tokens; the empty parts, if any."""
+    at = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    sums = np.add.reduceat(mix(tokens ^ C), starts)
+    held = at[starts]
+    found = mix(mix(head + held) + sums)
+    return found, None if len(held) == parts else np.setdiff1d(np.arange(parts, dtype=np.uint64), held)
+
+
 @np.errstate(over="ignore")
-def signatures(own: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
-    """One row a part and class: any two linked, different sets have one in common."""
+def signatures(own: np.ndarray, classes: Classes) -> np.ndarray:
+    """Signatures of a sorted set: any two linked, different sets have one in common.
+
+    With `spare` parts added, linked sets agree in more parts than that, so a set with at
+    most as many empty parts has a part with shingles among them. Other sets also enter a
+    second dealing for each empty part.
+    """
     n, out = len(own), []
     if not n:
         return own
-    first = np.searchsorted(bounds, n, "right") - 1
-    last = np.searchsorted(bounds, 100 * n // percent, "right") - 1
-    inner, outer = mix(own + A), mix(own + B)
+    first = bisect.bisect_right(classes.bounds, n) - 1
+    last = bisect.bisect_right(classes.bounds, 100 * n // classes.percent) - 1
     for k in range(first, last + 1):
-        parts = most_apart(bounds[k + 1] - 1, percent) + 1
+        parts = classes.parts[k]
         if parts == 1:
             continue
-        head = np.uint64(k) * C + A
-
-        def dealt(tokens: np.ndarray, head: np.ndarray, parts: int = parts) -> tuple[np.ndarray, np.ndarray]:
-            at = (tokens >> np.uint64(33)).astype(np.int64) % parts
-            order = np.argsort(at, kind="stable")
-            at, starts = np.unique(at[order], return_index=True)
-            sums = np.add.reduceat(mix(tokens[order] ^ C), starts)
-            return mix(mix(head + at.astype(np.uint64)) + sums), np.setdiff1d(np.arange(parts), at)
-
-        found, empty = dealt(inner, head)
+        head = mix(np.uint64(k) * C + A)
+        found, empty = dealt(own, parts, head)
         out.append(found)
-        for part in empty.tolist():
-            again = mix(np.uint64(part) * B + head * C)
-            found, void = dealt(outer, again)
-            out += [found, mix(mix(again + void.astype(np.uint64)) + B)]
+        if empty is not None and len(empty) > classes.spare[k]:
+            other = np.sort(mix(own + B))
+            for part in empty:
+                again = mix(part * B + head)
+                found, void = dealt(other, parts, again)
+                out.append(found)
+                if void is not None and len(void) > classes.spare[k]:
+                    out.append(mix(mix(again + void) + B))
     return np.unique(np.concatenate(out)) if out else own[:0]
 
 
@@ -137,14 +165,14 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
 
 def summaries(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, size, key (of the set), signatures."""
-    bounds = classes(percent)
+    known = Classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, texts in slices(batch, 4_000_000):
                 own = [shingles(t, n) for t in texts]
                 key = [mix(np.array([len(s), s.sum(), mix(s).sum()], np.uint64)).sum() if len(s) else np.uint64(0) for s in own]
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(longs(np.array(key, np.uint64))), lists([signatures(s, percent, bounds) for s in own])], ["doc_id", "size", "key", "signatures"])
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(longs(np.array(key, np.uint64))), lists([signatures(s, known) for s in own])], ["doc_id", "size", "key", "signatures"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, size long, key long, signatures array<long>")
 
@@ -201,12 +229,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
     # Signatures that more than one distinct set has. One shuffle serves the aggregate and the join.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = summary.select("doc_id", "key", F.explode("signatures").alias("signature")).repartition(parts, "signature")
-    shared = postings.groupBy("signature").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("doc_id").alias("hub")).filter("low <> high")
-    met = stored(postings.join(shared.select("signature", "hub").hint("shuffle_hash"), "signature").groupBy("signature", "key").agg(F.min("doc_id").alias("doc_id"), F.min("hub").alias("hub")), "met")
+    postings = summary.select("key", F.explode("signatures").alias("signature")).repartition(parts, "signature")
+    shared = postings.groupBy("signature").agg(F.min("key").alias("hub"), F.max("key").alias("high")).filter("hub <> high").drop("high")
+    met = stored(postings.join(shared.hint("shuffle_hash"), "signature").distinct(), "met")
     keys = summary.select("doc_id", "key", "size").dropDuplicates(["doc_id"])
     near = met.join(found, "key").select("signature", F.col("rep").alias("a"), "hub")
-    hubs = met.select("hub").distinct().join(keys.withColumnRenamed("doc_id", "hub"), "hub").join(found, "key").select("hub", F.col("rep").alias("b"))
+    hubs = met.select("hub").distinct().join(found.withColumnRenamed("key", "hub"), "hub").select("hub", F.col("rep").alias("b"))
     pairs = stored(near.select("a", "hub").distinct().join(hubs, "hub").select("a", "b").filter("a <> b").distinct(), "pairs")
     needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
     tokens = stored(sets(restricted(docs, needed, needed.count()), n).dropDuplicates(["doc_id"]), "sets")
