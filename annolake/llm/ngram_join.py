@@ -324,3 +324,15 @@ def opened(placed: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return dealt.groupBy("pair").applyInArrow(run, "a long, b long")
+
+
+def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those that are linked to a document with a smaller id.
+
+    Rows without words stay, and of rows that repeat an id and a text, one does.
+    """
+    extra = stored(jaccard_components(docs, n, percent).filter("component_id <> doc_id").select("doc_id"), "extra")
+    count = extra.count()
+    kept = docs.join(F.broadcast(extra) if count <= BROADCAST_ROWS else extra, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

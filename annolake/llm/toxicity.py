@@ -233,3 +233,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
 
     made = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double, n_hits int, n_quoted int")
     return made.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_quoted")
+
+
+def clean(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+    terms, weights = fit(training_rows(docs, labels, "toxic", rows=rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            z = np.array([features(finds(t or "", terms)) for t in texts]).reshape(len(texts), -1) @ np.array(weights) if texts else np.zeros(0)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
