@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annolake.llm import fertility, language_model, mixing, ngram_join, packing, quality, secrets, toxicity
+from annolake.llm import fertility, language_model, licenses, mixing, ngram_join, packing, quality, secrets, toxicity
 from annolake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), 1024)
 
 
+def op9_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_tokeniser_fertility, op4_secret_worklist, op5_ngram_jaccard, op6_recurrent_lm, op7_quality_machine, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_tokeniser_fertility, op4_secret_worklist, op5_ngram_jaccard, op6_recurrent_lm, op7_quality_machine, op8_best_fit_packing, op9_license_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
