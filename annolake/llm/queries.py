@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annolake.llm import fertility, language_model, licenses, mixing, ngram_join, packing, quality, secrets, toxicity
+from annolake.llm import fertility, language_model, licenses, media, mixing, ngram_join, packing, quality, secrets, toxicity
 from annolake.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,8 +49,14 @@ def op9_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op10_image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images: the vectors are shown as such, a grey cell each number."""
+    vectors = read(spark, sf_dir, "embeddings").selectExpr("cast(vec_id as long) id", "cast(embedding as array<double>) v")
+    return media.find_copies(media.rendered(vectors), divisor=20)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_tokeniser_fertility, op4_secret_worklist, op5_ngram_jaccard, op6_recurrent_lm, op7_quality_machine, op8_best_fit_packing, op9_license_alignment)}
+    return {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_tokeniser_fertility, op4_secret_worklist, op5_ngram_jaccard, op6_recurrent_lm, op7_quality_machine, op8_best_fit_packing, op9_license_alignment, op10_image_descriptors)}
 
 
 def oracle_sql() -> dict[str, str]:
