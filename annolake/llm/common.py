@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,17 +12,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def words(text: str | None, lower: bool = False) -> list[str]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text; lower: with A-Z, and no other letters, in lower case.
 
+    bytes.split() parts at exactly these characters, and bytes.lower() lowers A-Z only; both
+    are several times faster than a pattern.
+    """
+    own = word_bytes(text, lower)
+    return b"\n".join(own).decode().split("\n") if own else []
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text) if text else []
 
-
-def lower_ascii(text: str) -> str:
-    """Lower-cases A-Z only; other letters stay as they are."""
-    return text.lower() if text.isascii() else text.translate(UPPER_TO_LOWER)
+def word_bytes(text: str | None, lower: bool = False) -> list[bytes]:
+    data = (text or "").encode()
+    return (data.lower() if lower else data).split()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,8 +68,8 @@ class Cache(dict):
         return value
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode())
+def word_hash(word: str | bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.common import Cache, lower_ascii, map_arrow, slices, stored, word_hash, words
+from annolake.llm.common import Cache, map_arrow, slices, stored, word_bytes, word_hash
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Shingles in a block of the matrix, about.
@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles."""
-    own = words(lower_ascii(text))
+    own = word_bytes(text, lower=True)
     if not own:
         return np.zeros(0, np.uint64)
     ids = np.fromiter(map(_hashes.__getitem__, own), np.uint64, len(own))
