@@ -111,7 +111,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(*self.inputs(*features(texts)))[0], -30, 30)))
 
 
-def fit(words: np.ndarray, counts: np.ndarray, stats: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.15, penalty: float = 2e-5) -> Machine:
+def fit(words: np.ndarray, counts: np.ndarray, stats: np.ndarray, labels: np.ndarray, epochs: int | None = None, batch: int = 128, rate: float = 0.15, penalty: float = 2e-5) -> Machine:
     rng = np.random.default_rng(7)
     size = WORD_BUCKETS + BINS * stats.shape[1]
     share = (labels.sum() + 1) / (len(labels) + 2)
@@ -122,6 +122,7 @@ def fit(words: np.ndarray, counts: np.ndarray, stats: np.ndarray, labels: np.nda
         return m
     index, values, total = m.inputs(words, counts, stats)
     ends = np.cumsum(total)
+    epochs = epochs or max(12, min(100, 60_000 // len(labels)))  # small samples are read more often
     gw, gv = np.full(size, 1e-6), np.full((size, RANK), 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(labels))

@@ -131,6 +131,7 @@ def unpacked(layer: Layer) -> Iterator[Layer]:
         size = np.array([len(c.encode()) for c in text])
         last = np.cumsum(size)  # byte k comes from characters 4k/3 to 4k/3 + 1
         first, final = m.start() + (last - size) * 4 // 3, np.minimum(m.start() + (last - 1) * 4 // 3 + 1, m.end() - 1)
+        final[-1] = m.end() - 1  # with the padding
         yield Layer(text, layer.starts[first], layer.ends[final])
 
 
