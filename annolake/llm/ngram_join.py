@@ -6,14 +6,15 @@ A document's set holds its distinct n-word shingles as 64-bit hashes. All pairs
 1. *Signatures.* Such a pair differs in at most D shingles, D from the sizes. Shingles are
    dealt by hash to D + 1 parts, so one part at least is the same in both sets; a part's
    content is hashed to a signature. Sizes fall in classes, and a set is entered in each
-   class that a partner's size can reach. Parts that are empty say little: spare parts, and
-   for sets with many empty parts a second dealing, make up for them.
+   class that a partner's size can reach. More parts are made than that, so that each set
+   can leave out its weakest.
 2. *Groups.* Sets that share a signature are compared with one of those that have it:
    a linear number of pairs, however many copies there are. Linked sets form groups.
-3. *Token-group matrix.* Where a signature still spans several groups, the sets that
-   are connected by shared signatures are dealt to blocks of similar ones. Pairs of blocks
-   meet; a block's union of shingles bounds what a query can share with any member, and
-   only for queries that reach the bound the block is opened and its members compared.
+   Before sets are read, a small bitmap of each tells pairs that cannot link.
+3. *Token-group matrix.* Where a signature still spans several groups, the sets whose
+   bitmaps let them link are dealt to blocks of similar ones. Pairs of blocks meet; a
+   block's union of shingles bounds what a query can share with any member, and only for
+   queries that reach the bound the block is opened and its members compared.
 
 Any pair that could link shares a signature, and is then in one group after step 2 or
 compared in step 3, so no link is lost and nothing is capped. Equal sets count as one.
@@ -42,7 +43,11 @@ BLOCK_SHINGLES = 40_000
 #: More entries than this are not broadcast.
 BROADCAST_ROWS = 1_000_000
 #: A class of sizes reaches from one limit to below this many times it.
-CLASS_RATIO = 1.4
+CLASS_RATIO = 1.3
+#: Parts that may be left out, as a share of those that linked sets can differ in.
+SPARE = 0.4
+#: Sets of one signature that are compared at once.
+RUN_SETS = 2_000
 
 _hashes = Cache(word_hash, 150_000)
 
@@ -76,49 +81,39 @@ def most_apart(largest: int, percent: int) -> int:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
-def spare(n: int, apart: int) -> int:
-    """Parts to add so that few sets of n shingles or more have more empty parts than are added."""
-    extra = 0
-    for _ in range(50):
-        parts = apart + 1 + extra
-        mean = parts * math.exp(-n / parts)
-        more = min(math.ceil(mean + 3 * math.sqrt(mean)), apart + 8)
-        if more <= extra:
-            break
-        extra = more
-    return extra
-
-
 class Classes:
-    """Size classes: `bounds` are their least sizes; parts and spare parts of each."""
+    """Size classes: `bounds` are their least sizes, `apart` the most that linked sets of a class differ by."""
 
     def __init__(self, percent: int, limit: int = 1 << 40):
         self.percent, self.bounds, at = percent, [], 1
         while at < limit:
             self.bounds.append(at)
             at = max(at + 1, int(at * CLASS_RATIO))
-        apart = [most_apart(b - 1, percent) for b in self.bounds[1:]]
-        self.spare = [spare(b * percent // 100, d) if d else 0 for b, d in zip(self.bounds, apart)]
-        self.parts = [d + 1 + e if d else 1 for d, e in zip(apart, self.spare)]
+        self.apart = [most_apart(b - 1, percent) for b in self.bounds[1:]]
+
 
+def dealt(tokens: np.ndarray, parts: int, keep: int, head: np.uint64) -> tuple[np.ndarray, np.ndarray | None]:
+    """Signatures of the `keep` parts that hold most of the sorted tokens; empty parts that had to be kept, if any.
 
-def dealt(tokens: np.ndarray, parts: int, head: np.uint64) -> tuple[np.ndarray, np.ndarray | None]:
-    """Signatures of the parts that hold some of the sorted tokens; the empty parts, if any."""
+    The order of parts (tokens held, then signature) depends on their content alone.
+    """
     at = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    sums = np.add.reduceat(mix(tokens ^ C), starts)
-    held = at[starts]
-    found = mix(mix(head + held) + sums)
-    return found, None if len(held) == parts else np.setdiff1d(np.arange(parts, dtype=np.uint64), held)
+    found = mix(mix(head + at[starts]) + np.add.reduceat(mix(tokens ^ C), starts))
+    if len(found) > keep:
+        size = np.diff(np.concatenate([starts, [len(tokens)]]))
+        return found[np.lexsort((found, size))[-keep:]], None
+    return found, None if len(found) == keep else np.setdiff1d(np.arange(parts, dtype=np.uint64), at[starts])
 
 
 @np.errstate(over="ignore")
 def signatures(own: np.ndarray, classes: Classes) -> np.ndarray:
     """Signatures of a sorted set: any two linked, different sets have one in common.
 
-    With `spare` parts added, linked sets agree in more parts than that, so a set with at
-    most as many empty parts has a part with shingles among them. Other sets also enter a
-    second dealing for each empty part.
+    Linked sets differ in D parts at most. With D + 1 + E parts they agree in E + 1 or more,
+    and each set may leave out its E weakest: were the strongest part in which both agree
+    among them, all E + 1 would be. Where empty parts are left even so, the set also enters
+    a second dealing for each.
     """
     n, out = len(own), []
     if not n:
@@ -126,23 +121,48 @@ def signatures(own: np.ndarray, classes: Classes) -> np.ndarray:
     first = bisect.bisect_right(classes.bounds, n) - 1
     last = bisect.bisect_right(classes.bounds, 100 * n // classes.percent) - 1
     for k in range(first, last + 1):
-        parts = classes.parts[k]
-        if parts == 1:
+        keep = classes.apart[k] + 1
+        if keep == 1:
             continue
+        parts = keep + 1 + int(SPARE * classes.apart[k])
         head = mix(np.uint64(k) * C + A)
-        found, empty = dealt(own, parts, head)
+        found, empty = dealt(own, parts, keep, head)
         out.append(found)
-        if empty is not None and len(empty) > classes.spare[k]:
+        if empty is not None:
             other = np.sort(mix(own + B))
             for part in empty:
                 again = mix(part * B + head)
-                found, void = dealt(other, parts, again)
+                found, void = dealt(other, parts, keep, again)
                 out.append(found)
-                if void is not None and len(void) > classes.spare[k]:
+                if void is not None:
                     out.append(mix(mix(again + void) + B))
     return np.unique(np.concatenate(out)) if out else own[:0]
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """A bitmap of 2 to 4 bits a shingle: how often each bit is hit, modulo 2.
+
+    Bitmaps differ in no more bits than their sets differ in shingles; halves of a bitmap
+    joined by exclusive or are the bitmap of half its size.
+    """
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps, folded to so many words."""
+    while bitmap.shape[-1] > words:
+        half = bitmap.shape[-1] // 2
+        bitmap = bitmap[..., :half] ^ bitmap[..., half:]
+    return bitmap
+
+
+def may_link(bits: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes x and y, whose bitmaps differ in so many bits, can be linked."""
+    return (100 + percent) * bits <= (100 - percent) * (x + y)
+
+
 def longs(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -164,7 +184,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def summaries(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, key (of the set), signatures."""
+    """doc_id, size, key (of the set), bitmap, signatures."""
     known = Classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +192,9 @@ def summaries(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for keys, texts in slices(batch, 4_000_000):
                 own = [shingles(t, n) for t in texts]
                 key = [mix(np.array([len(s), s.sum(), mix(s).sum()], np.uint64)).sum() if len(s) else np.uint64(0) for s in own]
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(longs(np.array(key, np.uint64))), lists([signatures(s, known) for s in own])], ["doc_id", "size", "key", "signatures"])
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(longs(np.array(key, np.uint64))), lists([parity(s) for s in own]), lists([signatures(s, known) for s in own])], ["doc_id", "size", "key", "bitmap", "signatures"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, size long, key long, signatures array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, size long, key long, bitmap array<long>, signatures array<long>")
 
 
 def restricted(df: DataFrame, ids: DataFrame, count: int) -> DataFrame:
@@ -182,6 +202,14 @@ def restricted(df: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     return df.join(F.broadcast(ids) if count <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
 
 
+def token_sets(docs: DataFrame, found: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """doc_id (here: the key), tokens of the sets in pairs (a, b), read again from one document each."""
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    needed = stored(ends.join(found, "key").select(F.col("rep").alias("doc_id"), "key"), "needed")
+    made = sets(restricted(docs, needed.select("doc_id"), needed.count()), n)
+    return stored(made.join(needed, "doc_id").select(F.col("key").alias("doc_id"), "tokens").dropDuplicates(["doc_id"]), "tokens")
+
+
 def compared(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link. tokens: doc_id, tokens."""
     left = tokens.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
@@ -220,39 +248,120 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def surviving(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs of keys (a, b) whose bitmaps let them link."""
+    left, right = (maps.select(F.col("key").alias(k), F.col("size").alias(f"{k}_size"), F.col("bitmap").alias(f"{k}_map")) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy() for k in (2, 4))
+            bits = np.zeros(batch.num_rows, np.int64)
+            for k in range(batch.num_rows):
+                p, q = (batch.column(c)[k].values.to_numpy().view(np.uint64) for c in (3, 5))
+                words = min(len(p), len(q))
+                bits[k] = np.bitwise_count(folded(p, words) ^ folded(q, words)).sum()
+            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(may_link(bits, x, y, percent), pa.bool_()))
+
+    joined = pairs.join(left, "a").join(right, "b").filter(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)")
+    return map_arrow(joined.select("a", "b", "a_size", "a_map", "b_size", "b_map"), run, "a long, b long")
+
+
+def spanning(runs: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between sets of different groups that can link: of each run, a spanning forest.
+
+    runs: run, key, group, size, bitmap, dealt by run and sorted by it. Every set that can
+    link with one of another group is in an edge, and such two are in one tree.
+    """
+
+    def edges(keys: list, groups: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray]) -> list[tuple[int, int]]:
+        words, out = np.array([len(m) for m in maps]), []
+        parent = list(range(len(keys)))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        for w in np.unique(words).tolist():
+            some = np.flatnonzero(words >= w)
+            table = np.stack([folded(maps[k], w) for k in some])
+            for q in np.flatnonzero(words == w).tolist():
+                bits = np.bitwise_count(table ^ maps[q]).sum(1, dtype=np.int64)
+                for m in some[may_link(bits, sizes[q], sizes[some], percent) & (groups[some] != groups[q])].tolist():
+                    a, b = root(q), root(m)
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        out.append((keys[q], keys[m]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def work(table: pa.Table) -> pa.RecordBatch:
+            number, keys = table.column("run").to_numpy(), table.column("key").to_numpy()
+            groups, sizes = table.column("group").to_numpy(), table.column("size").to_numpy()
+            held = table.column("bitmap").combine_chunks()
+            flat, ends = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy()  # bits of signed numbers are counted without sign
+            out: list[tuple[int, int]] = []
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                out += edges(keys[a:b].tolist(), groups[a:b], sizes[a:b], [flat[ends[k] : ends[k + 1]] for k in range(a, b)])
+            return pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            number = table.column("run").to_numpy()
+            cut = int(np.searchsorted(number, number[-1])) if len(number) else 0
+            if cut:
+                yield work(table.slice(0, cut).combine_chunks())
+            rest = table.slice(cut)
+        if rest is not None and len(rest):
+            yield work(rest.combine_chunks())
+
+    return map_arrow(runs.select("run", "key", "group", "size", "bitmap"), run, "a long, b long")
+
+
+def runs(met: DataFrame, groups: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
+    """The sets of signatures that span groups: run, key, group, size, bitmap; many sets of one signature are dealt to pairs of blocks."""
+    placed = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("signature", "key", F.coalesce("component", "key").alias("group"))
+    spread = placed.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("held")).filter("low < high")
+    placed = placed.join(spread.select("signature", F.ceil(F.col("held") / RUN_SETS).alias("blocks")), "signature")
+    placed = placed.withColumns({"block": F.pmod(F.xxhash64("key"), F.col("blocks")), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    number = F.xxhash64("signature", F.least("block", "other"), F.greatest("block", "other"))
+    placed = placed.select(number.alias("run"), "key", "group")
+    return placed.join(maps, "key").repartition(parts, "run").sortWithinPartitions("run")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id: the classes of linked documents."""
-    spark = docs.sparkSession
+    """doc_id, n_shingles, component_id: the classes of linked documents. percent: 75 or more."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     summary = stored(summaries(docs, n, percent), "summaries")
-    found = summary.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    keys = summary.select("doc_id", "key", "size").dropDuplicates(["doc_id"])
+    found = stored(summary.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")), "sets")
+    maps = found.select("key", "size", "bitmap")
 
     # Signatures that more than one distinct set has. One shuffle serves the aggregate and the join.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = summary.select("key", F.explode("signatures").alias("signature")).repartition(parts, "signature")
     shared = postings.groupBy("signature").agg(F.min("key").alias("hub"), F.max("key").alias("high")).filter("hub <> high").drop("high")
     met = stored(postings.join(shared.hint("shuffle_hash"), "signature").distinct(), "met")
-    keys = summary.select("doc_id", "key", "size").dropDuplicates(["doc_id"])
-    near = met.join(found, "key").select("signature", F.col("rep").alias("a"), "hub")
-    hubs = met.select("hub").distinct().join(found.withColumnRenamed("key", "hub"), "hub").select("hub", F.col("rep").alias("b"))
-    pairs = stored(near.select("a", "hub").distinct().join(hubs, "hub").select("a", "b").filter("a <> b").distinct(), "pairs")
-    needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    tokens = stored(sets(restricted(docs, needed, needed.count()), n).dropDuplicates(["doc_id"]), "sets")
-    links = stored(compared(pairs, tokens, percent), "links")
+    pairs = stored(surviving(met.filter("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), maps, percent), "pairs")
+    links = stored(compared(pairs, token_sets(docs, found, pairs, n), percent), "links")
     groups = components(links, "groups")
 
-    # Signatures that still span groups: their sets meet block by block in the matrix.
-    member = needed.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"))
-    placed = near.select("signature", F.col("a").alias("doc_id")).distinct().join(member, "doc_id")
-    spread = placed.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("signature")
-    placed = stored(placed.join(spread, "signature").select("doc_id", "group").distinct(), "placed")
-    if placed.limit(1).count():
-        clusters = components(pairs, "clusters").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
-        links = stored(links.union(opened(placed.join(clusters, "doc_id"), tokens, percent)), "all-links")
-        groups = components(links, "components")
-
+    # Signatures that still span groups: what can link there meets block by block in the matrix.
+    edges = stored(spanning(runs(met, groups, maps, parts), percent), "edges")
+    if edges.limit(1).count():
+        clusters = components(edges, "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+        placed = clusters.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("group"))
+        links = stored(links.union(opened(placed, token_sets(docs, found, edges, n), percent)), "all-links")
+
+    # A component's name is the smallest id of all its documents, copies included.
+    own = found.select("key", "rep")
+    ends = links.join(own.withColumnRenamed("key", "a"), "a").select("b", F.col("rep").alias("x")).join(own.withColumnRenamed("key", "b"), "b").select(F.col("x").alias("a"), F.col("rep").alias("b"))
+    groups = components(ends, "components")
     copies = found.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    # A component's name is the smallest id of all its documents, copies included: the least representative.
     out = keys.filter("size > 0").join(copies, "key").select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.unionByName(keys.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
@@ -263,7 +372,7 @@ def blocks(placed: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     Linked sets are in one cluster and in one band of sizes or the next. A group that fills
     a block by itself has blocks of its own, as its members need no comparison.
     """
-    sized = placed.join(tokens.select("doc_id", F.size("tokens").cast("long").alias("size")), "doc_id").withColumn("band", F.floor(F.log("size") / math.log(100 / percent)))
+    sized = placed.join(tokens.select("doc_id", F.size("tokens").cast("long").alias("size")), "doc_id").withColumn("band", F.floor(F.log("size") / (1.001 * math.log(100 / percent))))
     groups = sized.groupBy("cluster", "band", "group").agg(F.sum("size").alias("held")).withColumn("unit", F.when(F.col("held") >= BLOCK_SHINGLES, F.col("group")).otherwise(F.lit(-1)))
     units = groups.groupBy("cluster", "band", "unit").agg(F.ceil(F.sum("held") / BLOCK_SHINGLES).alias("blocks"))
     return sized.join(groups.drop("held"), ["cluster", "band", "group"]).join(units, ["cluster", "band", "unit"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).drop("blocks", "size")

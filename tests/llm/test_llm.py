@@ -294,6 +294,7 @@ def test_components_against_brute_force(spark, docs, n, percent):
 def test_families_of_near_copies_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 2000)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "RUN_SETS", 20)
     rng = random.Random(9)
     base, texts = [f"w{rng.randrange(500)}" for _ in range(70)], {}
     for k in range(160):
@@ -319,6 +320,9 @@ def test_linked_sets_always_share_a_signature():
             common = len(np.intersect1d(x, y))
             if common < max(len(x), len(y)) and ngram_join.linked(common, len(x), len(y), percent):
                 assert np.intersect1d(ngram_join.signatures(x, known), ngram_join.signatures(y, known)).size
+            p, q = ngram_join.parity(x), ngram_join.parity(y)
+            words = min(len(p), len(q))
+            assert np.bitwise_count(ngram_join.folded(p, words) ^ ngram_join.folded(q, words)).sum() <= len(x) + len(y) - 2 * common
 
 
 def test_one_document_of_each_group_stays(spark, docs, empty):
