@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.common import Cache, map_arrow, slices, stored, word_bytes, word_hash
+from annolake.llm.common import Cache, map_arrow, pieces, slices, stored, word_bytes, word_hash
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Shingles in a block of the matrix, about.
@@ -46,6 +46,8 @@ BROADCAST_ROWS = 1_000_000
 CLASS_RATIO = 1.3
 #: Parts that may be left out, as a share of those that linked sets can differ in.
 SPARE = 0.4
+#: Signatures that one task aggregates, about.
+TASK_POSTINGS = 500_000
 #: Sets of one signature that are compared at once.
 RUN_SETS = 2_000
 
@@ -343,7 +345,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     maps = found.select("key", "size", "bitmap")
 
     # Signatures that more than one distinct set has. One shuffle serves the aggregate and the join.
-    postings = summary.select("key", F.explode("signatures").alias("signature")).repartition(parts, "signature")
+    total = summary.agg(F.sum(F.size("signatures"))).first()[0] or 0
+    postings = summary.select("key", F.explode("signatures").alias("signature")).repartition(max(parts, pieces(total, TASK_POSTINGS)), "signature")
     shared = postings.groupBy("signature").agg(F.min("key").alias("hub"), F.max("key").alias("high")).filter("hub <> high").drop("high")
     met = stored(postings.join(shared.hint("shuffle_hash"), "signature").distinct(), "met")
     pairs = stored(surviving(met.filter("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), maps, percent), "pairs")
