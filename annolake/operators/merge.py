@@ -17,13 +17,12 @@ def missing(terms: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def merged(terms: DataFrame, classes: DataFrame, mode: str = "ignore", include_na: bool = False) -> DataFrame:
-    """SPAN, label, confscore; of several labels of a span the last counts. strict: a term without one fails the job."""
-    known = last_wins(classes, SPAN, ["ord"]).select(*SPAN, "label", "confscore")
+    """SPAN, label, confscore; of several labels of a span the last counts. strict: terms without one are an error, raised at once."""
     if MODES[mode.lower()] == "strict":
-        made = terms.select(*SPAN).join(known.withColumn("_known", F.lit(True)), SPAN, "left")
-        made = made.withColumn("_known", F.when(F.col("_known").isNull(), F.raise_error(F.concat_ws(" ", F.lit("no label for"), *SPAN)).cast("boolean")).otherwise(F.col("_known"))).filter("_known").drop("_known")
-    else:
-        made = terms.select(*SPAN).join(known, SPAN)
+        lost = missing(terms, classes).select(*SPAN).limit(1).collect()
+        if lost:
+            raise ValueError(f"no label for {tuple(lost[0])}")
+    made = terms.select(*SPAN).join(last_wins(classes, SPAN, ["ord"]).select(*SPAN, "label", "confscore"), SPAN)
     return made if include_na else made.filter("label <> 'NA'")
 
 
