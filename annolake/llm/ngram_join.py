@@ -179,7 +179,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, texts in slices(batch):
+            for keys, texts in slices(batch, 1_000_000):
                 yield pa.record_batch([pa.array(keys, pa.int64()), lists([shingles(t, n) for t in texts])], ["doc_id", "tokens"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, tokens array<long>")
@@ -191,7 +191,7 @@ def summaries(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, texts in slices(batch, 4_000_000):
+            for keys, texts in slices(batch, 1_000_000):
                 own = [shingles(t, n) for t in texts]
                 key = [mix(np.array([len(s), s.sum(), mix(s).sum()], np.uint64)).sum() if len(s) else np.uint64(0) for s in own]
                 yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(longs(np.array(key, np.uint64))), lists([parity(s) for s in own]), lists([signatures(s, known) for s in own])], ["doc_id", "size", "key", "bitmap", "signatures"])

@@ -527,11 +527,29 @@ def test_edited_copies_are_found(spark):
     assert media.find_copies(some.filter("false")).count() == 0
 
 
-def test_tables_find_all_close_descriptors(spark):
+def test_recall_against_all_pairs_of_descriptors(spark):
+    """Image pairs that all close pairs of corners give, and those that the tables find."""
     rng = np.random.default_rng(3)
-    bits = rng.integers(0, 2, (200, 256))
-    near = bits.copy()
-    for k in range(200):
-        near[k, rng.choice(256, 7, replace=False)] ^= 1
-    pack = lambda b: np.packbits(b, axis=1).view(">i4")
-    assert ((pack(bits) == pack(near)).any(1)).all()
+    plain = [image(rng) for _ in range(40)]
+    edited = [p + rng.normal(0, 0.04, (96, 96)) * p.std() for p in plain]
+    rows = [(20 * k, row(p)) for k, p in enumerate(plain)] + [(20 * k + 1, row(p)) for k, p in enumerate(edited)]
+    some = spark.createDataFrame(rows, "id long, image struct<width int, height int, pixels binary>")
+    found = {(r["a"], r["b"]) for r in media.find_copies(some).filter("kind = 'match'").collect()}
+    described = {k: media.described(media.array_of({"width": w, "height": h, "pixels": p})) for k, (w, h, p) in rows}
+    expected = set()
+    for a in (k for k in described if k % 20 == 0):
+        for b in described:
+            if a == b:
+                continue
+            (pa_, ba, _), (pb, bb, _) = described[a], described[b]
+            close = np.argwhere(np.bitwise_count((ba[:, None] ^ bb[None]).view(np.uint32)).sum(2) <= 20)
+            for half in (0, 0.5):
+                cells = collections.defaultdict(set)
+                for i, j in close:
+                    turn, size = pb[j, 3] - pa_[i, 3], pb[j, 2] / pa_[i, 2]
+                    x = pb[j, 0] - size * (math.cos(turn) * pa_[i, 0] - math.sin(turn) * pa_[i, 1])
+                    y = pb[j, 1] - size * (math.sin(turn) * pa_[i, 0] + math.cos(turn) * pa_[i, 1])
+                    cells[(math.floor(turn * 6 / math.pi + half) % 12, math.floor(math.log2(size) + half), math.floor(x / 16 + half), math.floor(y / 16 + half))].add(i)
+                if max(map(len, cells.values()), default=0) >= 4:
+                    expected.add((a, b))
+    assert len(expected) >= 30 and len(found & expected) >= 0.9 * len(expected)
