@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -72,22 +74,41 @@ def word_hash(word: str | bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def release() -> None:
+    """Gives freed memory back to the system: idle workers keep what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def row_slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
 
 
 def slices(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of a batch whose first two columns are id and text; null texts become empty."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        texts[k] = text or ""
-        size += len(texts[k])
+    """(ids, texts) of about `chars` characters, of a batch whose first two columns are id and text; null texts become empty."""
+    ids: list = []
+    texts: list[str] = []
+    size = 0
+    for part in row_slices(batch):
+        ids += part.column(0).to_pylist()
+        more = [t or "" for t in part.column(1).to_pylist()]
+        size += sum(map(len, more))
+        texts += more
         if size >= chars:
-            yield ids[start : k + 1], texts[start : k + 1]
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield ids[start:], texts[start:]
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if texts:
+        yield ids, texts
 
 
 def pieces(total: float, each: float, least: int = 1) -> int:

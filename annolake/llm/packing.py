@@ -67,13 +67,13 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = 1024) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for keys, texts in slices(batch):
+            for keys, texts in slices(batch, 2_000_000):
+                rows: list[tuple] = []
                 for key, text in zip(keys, texts):
                     data = encode(text, vocabulary) + end
                     rows += [(key, k, at, size, zlib.crc32(data[4 * at : 4 * (at + size)])) for k, (at, size) in enumerate(cut(len(data) // 4, capacity))]
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                columns = list(zip(*rows))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return map_arrow(docs.select("doc_id", "text"), run, PIECES)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.common import map_arrow, slices
+from annolake.llm.common import map_arrow, row_slices, slices
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -187,9 +187,9 @@ def redact(docs: DataFrame, column: str = "text", mask: str = "[SECRET]") -> Dat
     """docs with secrets in a text column masked; other columns as they are, null texts stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(column)
-            texts = [None if t is None else masked(t, scan(t)[1], mask) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
+        for part in (p for batch in batches for p in row_slices(batch)):
+            at = part.schema.get_field_index(column)
+            texts = [None if t is None else masked(t, scan(t)[1], mask) for t in part.column(at).to_pylist()]
+            yield part.set_column(at, part.schema.field(at), pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.common import Cache, fold, map_arrow, slices, words
+from annolake.llm.common import Cache, fold, map_arrow, row_slices, slices, words
 from annolake.llm.labelled import SAMPLE_ROWS, training_rows
 
 TRIM = ".,;:!?\"'()[]{}*#$%&|<>-_~`^=+/\\…«»“”„‘’¿¡"
@@ -54,7 +54,7 @@ class Automaton:
     their edits. `states` bounds how many are remembered.
     """
 
-    def __init__(self, terms: list[Term], states: int = 20_000):
+    def __init__(self, terms: list[Term], states: int = 4_000):
         self.terms, self.limit = terms, states
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
@@ -140,7 +140,7 @@ def context(own: list[str], at: int) -> tuple[float, bool]:
 @lru_cache(4)
 def finder(terms: tuple[Term, ...]) -> Cache:
     automaton = Automaton(list(terms))
-    return Cache(lambda word: automaton.find(normal(word)), 200_000)
+    return Cache(lambda word: automaton.find(normal(word)), 150_000)
 
 
 def finds(text: str, terms: tuple[Term, ...]) -> list[tuple[int, int, float, bool]]:
@@ -240,9 +240,9 @@ def clean(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold
     terms, weights = fit(training_rows(docs, labels, "toxic", rows=rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            z = np.array([features(finds(t or "", terms)) for t in texts]).reshape(len(texts), -1) @ np.array(weights) if texts else np.zeros(0)
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold, pa.bool_()))
+        for part in (p for batch in batches for p in row_slices(batch)):
+            texts = part.column(part.schema.get_field_index("text")).to_pylist()
+            z = np.array([features(finds(t or "", terms)) for t in texts]) @ np.array(weights)
+            yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
