@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -33,13 +35,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_own_scratch: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='annolake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder that driver and executors share; one of our own, removed at exit, only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base
+    key = spark.sparkContext.applicationId
+    if key not in _own_scratch:
+        path = tempfile.mkdtemp(prefix="annolake-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own_scratch[key] = f"file://{path}"
+    return _own_scratch[key]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
