@@ -59,5 +59,16 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_temperature_mixing, op2_toxicity, op3_tokeniser_fertility, op4_secret_worklist, op5_ngram_jaccard, op6_recurrent_lm, op7_quality_machine, op8_best_fit_packing, op9_license_alignment, op10_image_descriptors)}
 
 
+#: Words, shingle sets, all linked pairs and what they reach, without any candidate search.
+NGRAM_JACCARD = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(l[i:i + 2], ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 2, 1) + 1)) AS i FROM w WHERE len(l) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries learn, tokenise, decode or iterate; they are tested against brute force."""
+    return {"op5_ngram_jaccard": NGRAM_JACCARD}
