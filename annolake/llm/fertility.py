@@ -5,12 +5,13 @@ pieces with byte fallback. A document's measures are characters per token of bot
 share of byte-fallback pieces, and the entropy of its byte-level tokens as a share of the
 largest that so many tokens can have. Bands are found from the whole corpus, for each
 language (each script where the language is missing) and size class, as quartiles widened
-by WIDTHS times their distance; a document outside a band is rejected. Besides, the base
-rules reject texts that are short or repeat themselves.
+by WIDTHS times their distance; a document outside a band is rejected. A group of less than
+`least` documents takes the band of its neighbouring size classes, else of its language,
+else of the corpus, so every document has a band. Besides, the base rules reject texts that
+are short or repeat themselves.
 
 Edge cases: null and empty texts have no words and fail the base rules; any length is read
-whole; repeated rows get a row each; a group of less than `least` documents has no bands;
-an empty table gives an empty result; extra columns are ignored.
+whole; repeated rows get a row each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from annolake.llm.common import map_arrow, slices, stored
 from annolake.llm.packing import byte_bpe
@@ -35,6 +37,8 @@ MEASURES = ("chars_per_token", "chars_per_piece", "byte_share", "entropy_share")
 #: tokens mark bad texts clearly; the other sides are kept wide, to spare good ones.
 WIDTHS = {"chars_per_token": (5.0, 6.0), "chars_per_piece": (3.5, 5.0), "byte_share": (6.0, 4.0), "entropy_share": (2.0, 6.0)}
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{m} double" for m in MEASURES) + ", own string"
+#: Size classes (half octaves of words) that a group may borrow from, on each side.
+NEAR = (0, 1, 2, 4)
 #: First code points of ranges of scripts.
 SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x1E00, "latin"), (0x2000, "other"), (0x3040, "japanese"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"))
 
@@ -154,20 +158,43 @@ def measured(docs: DataFrame, bytes_file: str, pieces_file: str) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text", "lang"), run, SCHEMA)
 
 
+def bands_of(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(own, class, band): the band of each group; (own, class, band): the groups whose documents a band is made of.
+
+    A band is the first of these that holds `least` documents: the group alone, with size
+    classes up to NEAR away, the language or script, the corpus.
+    """
+    counts = rows.groupBy("own", "class").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("own")
+    held = [F.sum("n").over(own.orderBy("class").rangeBetween(-k, k)) for k in NEAR] + [F.sum("n").over(own)]
+    language, corpus = len(NEAR), len(NEAR) + 1
+    scope = F.coalesce(*[F.when(h >= least, k) for k, h in enumerate(held)], F.lit(corpus))
+    name = F.concat_ws("|", "scope", F.when(F.col("scope") < corpus, F.col("own")), F.when(F.col("scope") < language, F.col("class")))
+    groups = stored(counts.withColumn("scope", scope).withColumn("band", name).select("own", "class", "scope", "band"), "fertility-groups")
+    source = groups.select("own", "class")
+    reach = F.element_at(F.array(*map(F.lit, NEAR)), F.col("scope") + 1)
+    near = groups.filter(F.col("scope") < language).select("own", "band", F.col("class").alias("middle"), reach.alias("reach"))
+    near = source.join(near, "own").filter(F.abs(F.col("class") - F.col("middle")) <= F.col("reach")).select("own", "class", "band")
+    whole = source.join(groups.filter(F.col("scope") == language).select("own", "band").distinct(), "own")
+    every = source.crossJoin(groups.filter(F.col("scope") == corpus).select("band").distinct())
+    return groups.drop("scope"), near.unionByName(whole).unionByName(every)
+
+
 def fertility_rules(docs: DataFrame, bytes_file: str, pieces_file: str, widths: dict[str, tuple[float, float]] = WIDTHS, least: int = 30) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, the measures and the first band that a document is outside of."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = stored(measured(docs, bytes_file, pieces_file).withColumn("class", F.floor(2 * F.log2(F.col("n_words") + 1))), "fertility")
     quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 2000).alias(m) for m in MEASURES]
-    bands = rows.groupBy("own", "class").agg(F.count(F.lit(1)).alias("held"), *quartiles).filter(F.col("held") >= least)
+    groups, feeds = bands_of(rows, least)
+    bands = rows.join(F.broadcast(feeds), ["own", "class"]).groupBy("band").agg(*quartiles)
     limits = []
     for m in MEASURES:
         low, high = F.col(m)[0], F.col(m)[1]
         spread = F.greatest(high - low, 0.02 * high)
         limits += [(low - widths[m][0] * spread).alias(f"{m}_low"), (high + widths[m][1] * spread).alias(f"{m}_high")]
-    bands = bands.select("own", "class", *limits)
+    bands = F.broadcast(groups.join(bands.select("band", *limits), "band").drop("band"))
     outside = F.coalesce(*[F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in MEASURES])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return rows.join(bands, ["own", "class"], "left").withColumn("outside", outside).select(*base, failed.alias("base_failed"), (~failed & F.col("outside").isNull()).alias("kept"), *MEASURES, "outside")
+    return rows.join(bands, ["own", "class"]).withColumn("outside", outside).select(*base, failed.alias("base_failed"), (~failed & F.col("outside").isNull()).alias("kept"), *MEASURES, "outside")
 

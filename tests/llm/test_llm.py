@@ -178,6 +178,17 @@ def test_fertility_base_counts(docs, empty):
     assert fertility.fertility_rules(empty, BYTES, PIECES).count() == 0
 
 
+def test_rare_groups_are_judged_too(spark):
+    rng = random.Random(11)
+    few = lambda n: " ".join(rng.choice(["ba", "bo", "bu", "da", "do", "du"]) for _ in range(n))
+    rows = [(k, prose(rng, rng.randint(150, 170)), "en") for k in range(60)]
+    # A rare language, a rare size near a common one, a rare size far from any; of each a bad and a good text.
+    rare = [(100, few(160), "xx"), (101, prose(rng, 160), "xx"), (102, few(230), "en"), (103, prose(rng, 230), "en"), (104, few(3000), "en")]
+    found = by_id(fertility.fertility_rules(spark.createDataFrame(rows + rare, "doc_id long, text string, lang string"), BYTES, PIECES))
+    assert not any(found[k]["base_failed"] for k in (100, 101, 102, 103, 104))
+    assert [found[k]["kept"] for k in (100, 101, 102, 103, 104)] == [False, True, False, True, False]
+
+
 @pytest.mark.parametrize("text", ["a b c d e f g h " * 2, "x " * 9, "a b c d e f g h\na b c d e f g h i\n\n \n" + "p q r s t u v w x y z", "#a *b " * 30])
 def test_repeats(text):
     m = fertility.meter(BYTES, PIECES).measure([text, "", text + " more"])
