@@ -8,7 +8,7 @@ match what they have equal at both ends. The share of template words that are ma
 the coverage.
 
 Edge cases: null and empty texts have no licenses; any length of text is scanned whole, in
-windows about as long as a template; repeated rows get a row each; an empty table gives an
+overlapping windows longer than a template, so notices that follow each other are found each; repeated rows get a row each; an empty table gives an
 empty result; extra columns are ignored. Of templates that match the same words, the one
 with most matched words wins, then the first by name.
 """
@@ -126,19 +126,42 @@ def templates() -> tuple[list[Template], dict[str, list[int]]]:
     return made, {w: [k for k, t in enumerate(made) if w in t.marks] for t in made for w in t.marks}
 
 
-def windows(places: list[int], reach: int) -> Iterator[tuple[int, int]]:
-    """Runs of places with no gap over `reach`, as (first, last); long runs are cut with overlap."""
+def runs(places: list[int], reach: int) -> Iterator[tuple[int, int]]:
+    """Runs of places with no gap over `reach`, as (first, last)."""
     first = last = places[0]
     for at in places[1:] + [places[-1] + reach + 1]:
         if at - last > reach:
-            while last - first > 3 * reach:
-                yield first, first + 2 * reach
-                first += reach
             yield first, last
             first = at
         last = at
 
 
+def windows(first: int, last: int, size: int) -> Iterator[tuple[int, int]]:
+    """Parts of a run with some words around, as (first, last): the whole if it is short, else windows of two widths.
+
+    Each place is the start, by a quarter of `size`, of a window that holds little more than
+    a template (so that a notice next to another is met apart) and of one that holds a
+    template with as many words put in.
+    """
+    if last - first < 2 * size:
+        yield first, last
+    step = max(1, size // 4)
+    for width in (size + max(2, step), 2 * size):
+        if last - first >= width:
+            for at in range(first, last - width + step + 1, step):
+                yield at, min(at + width, last)
+
+
+def near_the_rest(pairs: Pairs, reach: int) -> Pairs:
+    """pairs without those at the ends that are more than `reach` words off: these are chance."""
+    a, b = 0, len(pairs)
+    while b - a > 1 and pairs[a + 1][0] - pairs[a][0] > reach:
+        a += 1
+    while b - a > 1 and pairs[b - 1][0] - pairs[b - 2][0] > reach:
+        b -= 1
+    return pairs[a:b]
+
+
 def scan(text: str, least: float = 0.75) -> list[Find]:
     """License finds in a text, by place; those that overlap a better one are left out."""
     known, by_word = templates()
@@ -154,15 +177,13 @@ def scan(text: str, least: float = 0.75) -> list[Find]:
     for k, at in places.items():
         t = known[k]
         size = len(t.words)
-        for first, last in windows(at, max(4, size // 3)):
+        reach = max(4, size // 3)
+        for first, last in ((a, b) for x, y in runs(at, reach) for a, b in windows(max(0, x - 6), min(len(own) - 1, y + 6), size)):
             inside = {own[p] for p in at[bisect.bisect_left(at, first) : bisect.bisect_right(at, last)]}
             if len(inside) < least * len(t.marks) * 0.6:
                 continue
-            low, high = max(0, first - size), min(len(own), last + size + 1)
-            pairs = aligned(own[low:high], t.words)
-            # What lies far from the rest is chance: keep what is near the marks.
-            pairs = [(p + low, q) for p, q in pairs if first - 6 <= p + low <= last + 6]
-            if pairs and len(pairs) >= least * size:
+            pairs = near_the_rest([(p + first, q) for p, q in aligned(own[first : last + 1], t.words)], reach)
+            if len(pairs) >= least * size:
                 a, b = pairs[0][0], pairs[-1][0]
                 found.append((Find(t.name, spots[a][0], spots[b][1], len(pairs), len(pairs) / size), a, b))
     best: list[tuple[Find, int, int]] = []

@@ -508,6 +508,30 @@ def test_license_finds(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == len(corpus()) and licenses.scan_licenses(empty).count() == 0
 
 
+MIT_REST = " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+BSD_REST = " IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
+
+@pytest.mark.parametrize("name, rest", [("MIT", MIT_REST), ("BSD-2-Clause", BSD_REST), ("ISC", MIT_REST)])
+@pytest.mark.parametrize("before", ["", "Copyright (c) 2020 The Authors of this Software. All rights granted. "])
+def test_whole_license_texts(name, rest, before):
+    text = before + licenses.TEMPLATES[name] + rest
+    [find] = licenses.scan(text)
+    assert find.name == name and find.coverage == 1.0 and text[find.start : find.end] == licenses.TEMPLATES[name].rstrip(".")
+    # A fifth of the words changed, and the text twice or three times.
+    own = text.split()
+    own[2::5] = ["changed"] * len(own[2::5])
+    assert [f.name for f in licenses.scan(" ".join(own))] == [name]
+    for many in (2, 3):
+        assert [(f.name, f.coverage) for f in licenses.scan(" ".join([text] * many))] == [(name, 1.0)] * many
+        assert [(f.name, f.coverage) for f in licenses.scan(" ".join([licenses.TEMPLATES[name]] * many))] == [(name, 1.0)] * many
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_notices_that_follow_each_other(name):
+    assert [f.coverage for f in licenses.scan(". ".join([licenses.TEMPLATES[name]] * 5))] == [1.0] * 5
+
+
 # --- 10: images
 
 
