@@ -3,9 +3,9 @@
 1. Words of all training documents are counted (with one end token a document).
 2. The most frequent words get numbers of the recurrent model's vocabulary; each other
    word is an unknown of one of SHAPES kinds, told by its letters and last character.
-3. The model is trained where the documents lie: each task trains a copy on windows of its
-   documents, a window in `stride` of each document, and the copies are averaged, weighted
-   by their tokens. Training grows with the corpus; what comes to the driver is one model.
+3. The model is trained where the documents lie: each task trains a copy on all windows of
+   its documents (with a `stride`, on each so many-th, one of each document at least), and
+   the copies are averaged, weighted by their tokens. Training grows with the corpus; what comes to the driver is one model.
 4. Each document is scored whole, the state carried to its end:
    log P = sum log P(number | state) + sum over unknown words log P(word | kind), with
    P(word | kind) = (c + 1) / (N_kind + V_kind + 1) from the corpus's counts.
@@ -141,6 +141,12 @@ def vocabulary(counts: DataFrame, table_words: int) -> Vocabulary:
     return Vocabulary(table, total, distinct, kinds, ends[0])
 
 
+def trained_windows(tokens: int, seen: int, stride: int) -> range:
+    """Windows of a document that are trained on: each `stride`-th, one at least."""
+    held = -(-tokens // recurrent.WINDOW)
+    return range(seen % min(stride, held), held, stride)
+
+
 def trained(docs: DataFrame, shared, stride: int, block: int = 8192) -> recurrent.Weights:
     """The average of the copies that tasks train on their own documents."""
 
@@ -150,10 +156,9 @@ def trained(docs: DataFrame, shared, stride: int, block: int = 8192) -> recurren
             for text in batch.column(0).to_pylist():
                 trainer = trainer or recurrent.Trainer(recurrent.initial(known.model_counts))
                 own = words(text, lower=True)
-                for k in range(seen % stride, len(own) // size + 1, stride):
-                    ids = known.numbers(own[max(0, k - 1) * size : (k + 1) * size])[1]
-                    lead = size if k else 0
-                    trainer.feed(ids[:lead], ids[lead:] if k == len(own) // size else ids[lead:-1])
+                ids = known.numbers(own)[1]
+                for k in trained_windows(len(ids), seen, stride):
+                    trainer.feed(ids[max(0, k - 1) * size : k * size], ids[k * size : (k + 1) * size])
                 seen += 1
         if trainer:
             trainer.update()
@@ -218,7 +223,7 @@ def scored(docs: DataFrame, shared, model) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest map<string, int>")
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, stride: int = 8, table_words: int = TABLE_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, stride: int = 1, table_words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -360,6 +361,14 @@ def test_base_scores_are_exact_and_the_model_is_a_distribution(spark, docs, empt
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_every_token_is_trained_on():
+    stride = inspect.signature(language_model.score_documents).parameters["stride"].default
+    for tokens in (1, 2, 31, 32, 33, 64, 65, 1000):
+        for seen in range(9):
+            assert {t for k in language_model.trained_windows(tokens, seen, stride) for t in range(k * recurrent.WINDOW, min(tokens, (k + 1) * recurrent.WINDOW))} == set(range(tokens))
+            assert len(language_model.trained_windows(tokens, seen, 8))
+
+
 def test_class_factored_softmax_sums_to_one():
     rng = np.random.default_rng(0)
     w = recurrent.initial(rng.integers(0, 50, 3000).astype(float))
