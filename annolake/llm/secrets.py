@@ -8,18 +8,20 @@ the original text, so finds in any layer are reported there.
 
 Edge cases: null and empty texts have no finds; any length is scanned whole; repeated rows
 get a row each; an empty table gives an empty result; extra columns are ignored (kept, by
-`redact`). What decompression adds is bounded by `GROWTH` bytes a part; a part that would
-exceed it is scanned up to there, as no text holds such a part.
+`redact`). Compressed parts are inflated until nothing changes; what is longer than `GROWTH`
+bytes is scanned in blocks that share `SHARED` characters. Base64 may be wrapped by lines.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,12 @@ ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # greedy, so the same as dropping shorter runs
 ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{18,}={0,2}")
+LEAST = 20  # characters of a base64 part, with its padding
+NEXT_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2})")
 GROWTH = 1 << 24
+#: Characters that a block of a long stream shares with the one before.
+SHARED = 1 << 16
 
 Span = tuple[str, int, int]
 
@@ -92,47 +98,100 @@ def unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(parts) + text[at:], np.concatenate([*starts, layer.starts[at:]]), np.concatenate([*ends, layer.ends[at:]]))
 
 
-def inflated(data: bytes) -> bytes | None:
-    """What zlib or gzip data hold; None if they are neither."""
-    if not (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
+def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """What a zlib or gzip stream (or gzip members in a row) holds, in blocks of at most GROWTH bytes; ends where it is no such stream."""
+    stream = zlib.decompressobj(47)
     try:
-        return zlib.decompressobj(47).decompress(data, GROWTH)
+        for data in blocks:
+            while data:
+                out = stream.decompress(data, GROWTH)
+                if out:
+                    yield out
+                data = stream.unconsumed_tail
+                if stream.eof:
+                    data = stream.unused_data
+                    if data[:2] != b"\x1f\x8b":
+                        return
+                    stream = zlib.decompressobj(47)
+        while not stream.eof and (out := stream.decompress(stream.unconsumed_tail, GROWTH)):
+            yield out
     except zlib.error:
-        return None
+        return
+
+
+def compressed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0
+
+
+def texts(blocks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
+    """(readable text, whether it was compressed) of bytes, inflated until nothing changes; long texts in blocks that overlap."""
+    seen: set[bytes] = set()
+    head, depth = next(blocks, b""), 0
+    while compressed(head) and head not in seen and not readable(head.decode("utf-8", "replace").replace("\ufffd", "\0")):
+        seen.add(head)
+        more = inflated(chain([head], blocks))
+        first = next(more, None)
+        if first is None:
+            break
+        head, blocks, depth = first, more, depth + 1
+    decoder, before = codecs.getincrementaldecoder("utf-8")(), ""
+    for data in chain([head], blocks):
+        try:
+            text = before + decoder.decode(data)
+        except UnicodeDecodeError:
+            return
+        if readable(text):
+            yield text, depth > 0
+        before = text[-SHARED:]
 
 
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
+def readable(text: str) -> bool:
+    return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text)
+
+
+def base64_parts(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Candidates for base64, as runs (start, end) to be joined: each run, and runs that lines wrap.
+
+    Of wrapped lines the last may be a word of the text, and the first the end of another
+    part, so they are also tried without these.
+    """
+    end = -1
+    for m in BASE64.finditer(text):
+        if len(m[0]) >= LEAST:
+            yield [m.span()]
+        if m.start() < end:
+            continue
+        lines = [m.span()]
+        while lines[-1][1] - lines[-1][0] >= LEAST and text[lines[-1][1] - 1] != "=" and (more := NEXT_LINE.match(text, lines[-1][1])):
+            lines.append(more.span(1))
+        end = lines[-1][1]
+        for own in (lines[1:-1], lines[:-1], lines[1:], lines):  # the narrowest that gives a text counts
+            if len(own) > 1:
+                yield own
 
 
 def unpacked(layer: Layer) -> Iterator[Layer]:
     """The readable layers in base64 parts, decompressed where they are compressed."""
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    for lines in base64_parts(layer.text):
+        part = "".join(layer.text[a:b] for a, b in lines)
+        body = part.rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
             continue
         try:
             data = base64.b64decode(body + "=" * (-len(body) % 4))
         except binascii.Error:
             continue
-        plain = inflated(data)
-        text = readable(data if plain is None else plain)
-        if text is None:
-            continue
-        if plain is not None:
-            a, b = layer.origin(m.start(), m.end())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-            continue
-        size = np.array([len(c.encode()) for c in text])
-        last = np.cumsum(size)  # byte k comes from characters 4k/3 to 4k/3 + 1
-        first, final = m.start() + (last - size) * 4 // 3, np.minimum(m.start() + (last - 1) * 4 // 3 + 1, m.end() - 1)
-        final[-1] = m.end() - 1  # with the padding
-        yield Layer(text, layer.starts[first], layer.ends[final])
+        for text, packed in texts(iter([data])):
+            if packed:
+                a, b = layer.origin(lines[0][0], lines[-1][1])
+                yield Layer(text, np.full(len(text), a), np.full(len(text), b))
+                continue
+            place = np.concatenate([np.arange(a, b) for a, b in lines])
+            size = np.array([len(c.encode()) for c in text])
+            last = np.cumsum(size)  # byte k comes from characters 4k/3 to 4k/3 + 1
+            first, final = (last - size) * 4 // 3, np.minimum((last - 1) * 4 // 3 + 1, len(part) - 1)
+            final[-1] = len(part) - 1  # with the padding
+            yield Layer(text, layer.starts[place[first]], layer.ends[place[final]])
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:

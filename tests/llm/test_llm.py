@@ -1,6 +1,8 @@
 """Each operator against brute force, on documents with nulls, empty and long texts, copies and extra columns."""
 
+import base64
 import collections
+import gzip
 import hashlib
 import inspect
 import math
@@ -262,6 +264,37 @@ def test_nested_layers_are_unwrapped(how):
         assert width is None or a == 13 + width * len(start)
 
 
+def wrapped(data, columns):
+    return "\n".join(re.findall(f".{{1,{columns}}}", base64.b64encode(data).decode()))
+
+
+def test_whole_base64_parts():
+    rng = random.Random(8)
+    filler = "".join(rng.choice("abcdefghij klmnop.") for _ in range(400))
+    secret = f"{filler} token = abcdefgh12345678 {filler}".encode()
+    for inner in (secret, zlib.compress(secret), gzip.compress(zlib.compress(secret)), gzip.compress(gzip.compress(zlib.compress(secret)))):
+        for columns in (64, 76, 10**6):
+            for before, after in (("see ", " end"), ("see\n", "\nend of it"), ("a\n", "\n\nb")):
+                text = before + wrapped(inner, columns) + after
+                found = [s for s in secrets.scan(text)[1] if s[0] == "assign"]
+                assert any(len(before) <= a < b <= len(before) + len(wrapped(inner, columns)) for _, a, b in found), (columns, before)
+    short = base64.b64encode(b"token=12345678").decode()
+    assert secrets.scan(f"x {short} y")[1] == [("assign", 2, 22)]
+    for start in ("x^ ", "x ", "x\x01 "):  # the first bytes of zlib streams, in plain text
+        assert [s[0] for s in secrets.scan(base64.b64encode(f"{start}token=abcdefgh12345678 {filler}".encode()).decode())[1]] == ["assign"]
+    across = secrets.scan(wrapped(b"x" * 36 + b" token=abcdefgh12345678 " + b"y" * 60, 64))[1]
+    assert across and all(k == "assign" for k, _, _ in across) and max(b for _, _, b in across) > 65
+
+
+def test_streams_longer_than_a_block(monkeypatch):
+    monkeypatch.setattr(secrets, "GROWTH", 4096)
+    monkeypatch.setattr(secrets, "SHARED", 256)
+    for place in (4080, 9000, 4096 * 5 - 10):
+        data = (b"a b " * 8000)[:place] + b" token=abcdefgh12345678 " + b"c d " * 3000
+        text = base64.b64encode(zlib.compress(zlib.compress(data))).decode()
+        assert secrets.scan(text)[1] == [("assign", 0, len(text))]
+
+
 def test_secrets_frame_and_redaction(spark, docs, empty):
     rows = [(1, "x token=abcdefghijk y", "a"), (2, None, "b"), (3, "", "c"), (4, "x " + nested("password=abcdefghijk", ["base64"]) + " z", "d")]
     some = spark.createDataFrame(rows, "doc_id long, text string, spans string")
