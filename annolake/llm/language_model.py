@@ -3,9 +3,12 @@
 1. Words of all training documents are counted (with one end token a document).
 2. The most frequent words get numbers of the recurrent model's vocabulary; each other
    word is an unknown of one of SHAPES kinds, told by its letters and last character.
-3. The model is trained where the documents lie: each task trains a copy on all windows of
-   its documents (with a `stride`, on each so many-th, one of each document at least), and
-   the copies are averaged, weighted by their tokens. Training grows with the corpus; what comes to the driver is one model.
+   Texts are kept as these numbers, two bytes a token.
+3. The model is trained on every token of every training document, in ROUNDS rounds. A hash
+   of the document deals it to a round, a shard and a place there; each shard trains a copy
+   of the model, and copies are averaged at the round's end, weighted by their tokens. So
+   the result does not depend on how rows lie in files or tasks. Shards grow in number with
+   the corpus, beyond MAX_SHARDS in size; what comes to the driver is one model a round.
 4. Each document is scored whole, the state carried to its end:
    log P = sum log P(number | state) + sum over unknown words log P(word | kind), with
    P(word | kind) = (c + 1) / (N_kind + V_kind + 1) from the corpus's counts.
@@ -26,18 +29,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.llm import recurrent
-from annolake.llm.common import fold, map_arrow, slices, stored, words
+from annolake.llm.common import fold, map_arrow, pieces, slices, stored, words
 
 END = "\n"  # cannot be a word
 SHAPES = 10
 TABLE_WORDS = 1 << 17
-#: Longer words are not in the broadcast table, which bounds its size.
-TABLE_LENGTH = 40
+#: The broadcast table's words hold so many characters at most; longer words than TABLE_LENGTH are not in it.
+TABLE_CHARS, TABLE_LENGTH = 8_000_000, 4_096
+ROUNDS = 4
+#: Tokens of a shard, about, until there are MAX_SHARDS of them (which bounds the copies to average).
+SHARD_TOKENS, MAX_SHARDS = 1_000_000, 4_096
+ROWS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, extra double, place long, ids binary, rest map<string, int>"
 
 
 def shape(word: str) -> int:
@@ -123,10 +131,10 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, table_words: int) -> Vocabulary:
     # The table is cut at a step of a logarithmic scale, so finding it moves few rows.
     listable = counts.filter((F.col("word") != END) & (F.length("word") <= TABLE_LENGTH)).withColumn("step", F.floor(64 * F.log2("c")))
-    held, least = 0, 1 << 20
-    for r in listable.groupBy("step").count().orderBy(F.desc("step")).collect():
-        held += r["count"]
-        if held > table_words:
+    held, chars, least = 0, 0, 1 << 20
+    for r in listable.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("word")).alias("chars")).orderBy(F.desc("step")).collect():  # some thousand rows at most
+        held, chars = held + r["n"], chars + r["chars"]
+        if held > table_words or chars > TABLE_CHARS:
             break
         least = r["step"]
     table = [(r["word"], r["c"]) for r in listable.filter(F.col("step") >= least).select("word", "c").collect()]  # `table_words` rows at most
@@ -141,56 +149,11 @@ def vocabulary(counts: DataFrame, table_words: int) -> Vocabulary:
     return Vocabulary(table, total, distinct, kinds, ends[0])
 
 
-def trained_windows(tokens: int, seen: int, stride: int) -> range:
-    """Windows of a document that are trained on: each `stride`-th, one at least."""
-    held = -(-tokens // recurrent.WINDOW)
-    return range(seen % min(stride, held), held, stride)
-
-
-def trained(docs: DataFrame, shared, stride: int, block: int = 8192) -> recurrent.Weights:
-    """The average of the copies that tasks train on their own documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, trainer, seen, size = shared.value, None, 0, recurrent.WINDOW
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                trainer = trainer or recurrent.Trainer(recurrent.initial(known.model_counts))
-                own = words(text, lower=True)
-                ids = known.numbers(own)[1]
-                for k in trained_windows(len(ids), seen, stride):
-                    trainer.feed(ids[max(0, k - 1) * size : k * size], ids[k * size : (k + 1) * size])
-                seen += 1
-        if trainer:
-            trainer.update()
-        if trainer and trainer.tokens:
-            values = recurrent.packed(trainer.w).astype(float) * trainer.tokens
-            parts = [values[k : k + block] for k in range(0, len(values), block)]
-            yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([trainer.tokens] * len(parts), pa.int64()), pa.array([p.astype(np.float32) for p in parts], pa.list_(pa.float32()))], ["block", "tokens", "values"])
-
-    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Sums by block number: memory holds one model, whatever the number of copies.
-        total: dict[int, list] = {}
-        for batch in batches:
-            for k, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                held = total.setdefault(k, [0, 0.0])
-                held[0] += n
-                held[1] = held[1] + v.values.to_numpy().astype(float)
-        if total:
-            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1].astype(np.float32) for x in total.values()], pa.list_(pa.float32()))], ["block", "tokens", "values"])
-
-    schema = "block int, tokens long, values array<float>"
-    copies = map_arrow(docs.select("text"), run, schema).repartition(docs.sparkSession.sparkContext.defaultParallelism, "block")
-    rows = map_arrow(copies, mean, schema).toArrow().sort_by("block")
-    if not len(rows):
-        return recurrent.initial(shared.value.model_counts)
-    return recurrent.unpacked(np.concatenate([np.array(v) / n for v, n in zip(rows.column("values").to_pylist(), rows.column("tokens").to_pylist())]))
-
-
-def scored(docs: DataFrame, shared, model) -> DataFrame:
-    """A row each document; `rest` holds the words that are not in the table."""
+def numbered(docs: DataFrame, shared) -> DataFrame:
+    """A row (ROWS) each document: its numbers, and what its score has besides the model; `rest` holds the words that are not in the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = shared.value, model.value
+        known = shared.value
         row = TaskContext.get().partitionId() << 33
         unit = -math.log10(known.total + known.distinct + 1)
         end = math.log10(known.model_counts[0]) + unit  # its count + 1
@@ -198,45 +161,117 @@ def scored(docs: DataFrame, shared, model) -> DataFrame:
             kind_unit = -np.log10(known.kind_total)
         table_logs = np.log10(known.counts + 1)
         for batch in batches:
-            for keys, texts in slices(batch, 40_000_000):
-                ids, base, extra, n, n_known, rest = [], [], [], [], [], []
-                for text in texts:
+            held, first = batch.column(2), 0
+            for keys, texts in slices(batch):
+                data, base, extra, n, n_known, place, rest = [], [], [], [], [], [], []
+                for key, text in zip(keys, texts):
                     own = words(text, lower=True)
                     at, number = known.numbers(own)
                     listed = at[at >= 0]
                     unknown = number[:-1][number[:-1] <= SHAPES]
                     logs = table_logs[listed]
-                    ids.append(number)
+                    data.append(number.astype("<u2").tobytes())
                     base.append(unit * len(own) + logs.sum() + end)
                     extra.append(kind_unit[unknown].sum() + logs[listed >= known.known].sum())
                     n.append(len(number))
                     n_known.append(len(listed) + (known.model_counts[0] > 1))
+                    place.append(xxhash.xxh3_64_intdigest(data[-1], seed=0 if key is None else key & 0xFFFFFFFF) >> 1)
                     found: dict[str, int] = {}
                     for k in np.flatnonzero(at < 0).tolist():
                         found[own[k]] = found.get(own[k], 0) + 1
                     rest.append(list(found.items()))
-                score = recurrent.score(w, ids) / math.log(10) + np.array(extra)
                 pairs = pa.MapArray.from_arrays(np.cumsum([0, *map(len, rest)]).astype(np.int32), pa.array([x for r in rest for x, _ in r], pa.string()), pa.array([c for r in rest for _, c in r], pa.int32()))
-                yield pa.record_batch([pa.array(range(row, row + len(keys)), pa.int64()), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pairs], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
-                row += len(keys)
+                yield pa.record_batch([
+                    pa.array(range(row, row + len(keys)), pa.int64()), pa.array(keys, pa.int64()), held.slice(first, len(keys)), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()),
+                    pa.array(base, pa.float64()), pa.array(extra, pa.float64()), pa.array(place, pa.int64()), pa.array(data, pa.binary()), pairs,
+                ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "extra", "place", "ids", "rest"])
+                row, first = row + len(keys), first + len(keys)
+
+    return map_arrow(docs.select("doc_id", "text", "held_out"), run, ROWS)
+
+
+COPIES = "block int, shard long, tokens long, values array<float>"
+
+
+def copy_of(shard: int, trainer: recurrent.Trainer, block: int = 8192) -> pa.RecordBatch:
+    """Rows (COPIES) of a trained copy, weighted by its tokens."""
+    trainer.finish()
+    values = recurrent.packed(trainer.w).astype(float) * trainer.tokens
+    parts = [values[k : k + block].astype(np.float32) for k in range(0, len(values), block)]
+    return pa.record_batch([pa.array(range(len(parts)), pa.int32()), *(pa.array([x] * len(parts), pa.int64()) for x in (shard, trainer.tokens)), pa.array(parts, pa.list_(pa.float32()))], ["block", "shard", "tokens", "values"])
+
+
+def averaged_round(rows: DataFrame, model, shards: int) -> recurrent.Weights:
+    """The average of the copies that the shards of rows (place, ids) train from `model`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, trainer = None, None
+        for batch in batches:
+            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if shard != own:
+                    if trainer:
+                        yield copy_of(own, trainer)
+                    own, trainer = shard, recurrent.Trainer(model.value)
+                trainer.feed(np.frombuffer(ids.as_buffer(), "<u2").astype(np.int64))
+        if trainer:
+            yield copy_of(own, trainer)
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sums by block number: memory holds one model, whatever the number of copies.
+        total: dict[int, list] = {}
+        for batch in batches:
+            for k, n, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                held = total.setdefault(k, [0, 0.0])
+                held[0] += n
+                held[1] = held[1] + v.values.to_numpy().astype(float)
+        if total:
+            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int64()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([(x[1] / x[0]).astype(np.float32) for x in total.values()], pa.list_(pa.float32()))], ["block", "shard", "tokens", "values"])
+
+    shard = F.pmod(F.shiftright("place", 8), F.lit(shards)).alias("shard")
+    dealt = rows.select(shard, "place", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "place", "ids").select("shard", "ids")
+    copies = map_arrow(dealt, run, COPIES).repartition(rows.sparkSession.sparkContext.defaultParallelism, "block").sortWithinPartitions("block", "shard")
+    made = map_arrow(copies, mean, COPIES).toArrow().sort_by("block")  # one model
+    return recurrent.unpacked(np.concatenate([np.array(v) for v in made.column("values").to_pylist()])) if len(made) else model.value
+
+
+def trained(rows: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> recurrent.Weights:
+    """The model after `rounds` rounds over rows (ROWS), each row in one of them."""
+    context, w = rows.sparkSession.sparkContext, recurrent.initial(known.model_counts)
+    shards = min(MAX_SHARDS, pieces(known.total, rounds * SHARD_TOKENS))
+    for k in range(rounds):
+        model = context.broadcast(w)
+        w = averaged_round(rows.filter(F.pmod("place", F.lit(rounds)) == k), model, shards)
+        model.unpersist()
+    return w
+
+
+def scored(rows: DataFrame, model) -> DataFrame:
+    """row, score: the model's log10 probability of each row's numbers, the state carried through it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = model.value
+        for batch in batches:
+            texts = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in batch.column(1)]
+            rest = batch.drop_columns(["ids"])
+            yield rest.append_column("score", pa.array(recurrent.score(w, texts) / math.log(10)))
 
-    return map_arrow(docs.select("doc_id", "text"), run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest map<string, int>")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, extra double, score double"
+    names = [c.split()[0] for c in schema.split(", ")[:-1]]
+    return map_arrow(rows.select(names[0], "ids", *names[1:]), run, schema)
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, stride: int = 1, table_words: int = TABLE_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held_out: int = 2, table_words: int = TABLE_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     context = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    training = docs.filter(fold("doc_id", folds) != held_out)
-    counts = stored(word_counts(training), "word-counts")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold("doc_id", folds) == held_out).alias("held_out"))
+    counts = stored(word_counts(docs.filter("not held_out")), "word-counts")
     known = vocabulary(counts, table_words)
-    shared = context.broadcast(known)
-    model = context.broadcast(trained(training, shared, stride))
-    rows = stored(scored(docs, shared, model), "scored")
+    rows = stored(numbered(docs, context.broadcast(known)), "numbered")
+    model = context.broadcast(trained(rows.filter("not held_out"), known, rounds))
     # Words outside the table: their counts are joined; a word without one has count 0.
     rest = rows.select("row", F.explode("rest").alias("word", "n")).join(counts, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), F.sum("n").alias("more"))
     more = F.coalesce("logs", F.lit(0.0))
-    return rows.drop("rest").join(rest, "row", "left").select(
-        "doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(known.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+    return scored(rows, model).join(rest, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        F.lit(known.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + F.col("extra") + more).alias("score"),
     )

@@ -4,7 +4,6 @@ import base64
 import collections
 import gzip
 import hashlib
-import inspect
 import math
 import random
 import re
@@ -382,7 +381,7 @@ def test_one_document_of_each_group_stays(spark, docs, empty):
 
 
 def test_base_scores_are_exact_and_the_model_is_a_distribution(spark, docs, empty):
-    found = by_id(language_model.score_documents(docs, stride=1, table_words=20))
+    found = by_id(language_model.score_documents(docs, table_words=20))
     texts = {r[0]: WORDS.findall(lowered(r[1])) + ["\n"] for r in corpus()}
     counts = collections.Counter(w for k, t in texts.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in t)
     n, v = sum(counts.values()), len(counts)
@@ -394,12 +393,41 @@ def test_base_scores_are_exact_and_the_model_is_a_distribution(spark, docs, empt
     assert language_model.score_documents(empty).count() == 0
 
 
-def test_every_token_is_trained_on():
-    stride = inspect.signature(language_model.score_documents).parameters["stride"].default
-    for tokens in (1, 2, 31, 32, 33, 64, 65, 1000):
-        for seen in range(9):
-            assert {t for k in language_model.trained_windows(tokens, seen, stride) for t in range(k * recurrent.WINDOW, min(tokens, (k + 1) * recurrent.WINDOW))} == set(range(tokens))
-            assert len(language_model.trained_windows(tokens, seen, 8))
+@pytest.mark.parametrize("sizes", [[1], [31, 32, 33], [5000], [700] * 300 + [9000, 1, 2], list(range(1, 400))])
+def test_every_token_is_trained_on_once(sizes, monkeypatch):
+    """Texts come to the lanes whole and in order, with their beginnings marked."""
+    rng, seen = np.random.default_rng(4), []
+    trainer = recurrent.Trainer(recurrent.initial(np.ones(recurrent.VOCABULARY)))
+
+    def learn(h, ids, begins, real):
+        seen.append((ids.copy(), begins.copy(), real.copy()))
+        trainer.tokens += int(real.sum())
+        return h
+
+    monkeypatch.setattr(trainer, "learn", learn)
+    texts = [rng.integers(0, recurrent.VOCABULARY, n) for n in sizes]
+    for t in texts:
+        trainer.feed(t)
+    trainer.finish()
+    assert trainer.tokens == sum(sizes) == sum(int(r.sum()) for _, _, r in seen)
+    assert np.array_equal(np.sort(np.concatenate(texts)), np.sort(np.concatenate([i[r] for i, _, r in seen])))
+    assert sum(int((b & r).sum()) for _, b, r in seen) == len(sizes)
+    if sizes == [5000]:
+        ids, begins, real = (np.concatenate(x) for x in zip(*seen))
+        assert np.array_equal(ids.T[real.T], texts[0]) and begins.T[real.T].tolist() == [True] + [False] * 4999
+
+
+def test_model_does_not_depend_on_partitions_and_beats_counts(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 4_000)
+    rng = random.Random(12)
+    rows = [(k, " ".join(f"w{(start + j * (1 + start % 3)) % 40}" for j in range(rng.randint(1, 200)))) for k in range(600) for start in [rng.randrange(40)]]
+    some = spark.createDataFrame(rows + [(None, "w1 w2 w3"), (None, None), (3, "w4 w5"), (3, "w4 w5")], "doc_id long, text string")
+    found = [sorted((r["doc_id"] or -1, r["n_tokens"], r["base_score"], r["score"], r["held_out"]) for r in language_model.score_documents(some.repartition(n)).collect()) for n in (4, 64)]
+    assert len(found[0]) == 604
+    for x, y in zip(*found):
+        assert x[:2] == y[:2] and x[2:4] == pytest.approx(y[2:4], rel=1e-5)
+    held = [r for r in found[0] if r[4]]
+    assert len(held) > 50 and sum(r[3] for r in held) > sum(r[2] for r in held)
 
 
 def test_class_factored_softmax_sums_to_one():
@@ -417,11 +445,10 @@ def test_training_beats_counts_and_state_is_carried():
     counts = np.bincount(np.concatenate(texts), minlength=recurrent.VOCABULARY).astype(float)
     trainer = recurrent.Trainer(recurrent.initial(counts))
     before = recurrent.score(trainer.w, texts).sum()
-    for _ in range(30):
+    for _ in range(60):
         for t in texts:
-            for k in range(0, len(t), recurrent.WINDOW):
-                trainer.feed(t[max(0, k - recurrent.WINDOW) : k], t[k : k + recurrent.WINDOW])
-    trainer.update()
+            trainer.feed(t)
+    trainer.finish()
     assert recurrent.score(trainer.w, texts).sum() > before / 2
     # Texts together score as each alone.
     assert recurrent.score(trainer.w, [texts[0], texts[1][:5], texts[2][:0]]) == pytest.approx([recurrent.score(trainer.w, [t])[0] for t in (texts[0], texts[1][:5])] + [0.0], rel=1e-4)
@@ -431,21 +458,29 @@ def test_gradients_against_differences():
     rng = np.random.default_rng(0)
     w = {k: (v + rng.normal(0, 0.1, v.shape)).astype(float) for k, v in recurrent.initial(rng.integers(1, 100, recurrent.VOCABULARY).astype(float)).items()}
     trainer = recurrent.Trainer(w)
-    ids, h = rng.integers(0, 500, (3, 8)), np.zeros((3, recurrent.HIDDEN))
+    ids, h = rng.integers(0, 500, (8, 3)), rng.normal(0, 0.3, (3, recurrent.HIDDEN)).astype(np.float32)
+    begins, real = np.zeros(ids.shape, bool), np.ones(ids.shape, bool)
+    begins[5, 1] = True
+    real[6:, 2] = False
     trainer.w = w
-    g = trainer.gradients(h, ids, np.ones(ids.shape, bool))
+    g, used, rows, _ = trainer.gradients(h, ids, begins, real)
+    g["emb"] = np.zeros_like(w["emb"])
+    g["emb"][used] = rows
 
     def loss(w):
-        state, total = h, 0.0
-        for t in range(ids.shape[1]):
+        state, total = h.astype(float), 0.0
+        for t in range(len(ids)):
+            state = state * ~begins[t][:, None]
             for k in range(3):
-                c, m = divmod(int(ids[k, t]), recurrent.MEMBERS)
+                c, m = divmod(int(ids[t, k]), recurrent.MEMBERS)
                 a, b = state[k] @ w["wc"] + w["bc"], state[k] @ w["wm"][c] + w["bm"][c]
-                total -= a[c] - np.log(np.exp(a).sum()) + b[m] - np.log(np.exp(b).sum())
-            state = recurrent.step(w, state, ids[:, t])[0]
-        return total / ids.size
+                total -= (a[c] - np.log(np.exp(a).sum()) + b[m] - np.log(np.exp(b).sum())) * real[t, k]
+            state = recurrent.step(w, state, ids[t])[0]
+        return total / real.sum()
 
-    for name, at in (("rec", (3, 5)), ("rec", (2, 30)), ("rec", (2, 60)), ("emb", (int(ids[0, 1]), 60)), ("wc", (1, 2)), ("bc", (3,))):
+    n = recurrent.HIDDEN
+    c = int(ids[2, 0]) // recurrent.MEMBERS
+    for name, at in (("rec", (3, 5)), ("rec", (2, n + 4)), ("rec", (2, 2 * n + 9)), ("emb", (int(ids[0, 1]), 2 * n + 3)), ("emb", (int(ids[1, 0]), 2)), ("wc", (1, 2)), ("bc", (3,)), ("wm", (c, 3, 4)), ("bm", (c, 5))):
         low, high = ({k: v.copy() for k, v in w.items()} for _ in range(2))
         low[name][at] -= 1e-4
         high[name][at] += 1e-4
