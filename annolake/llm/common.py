@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def words(text: str | None, lower: bool = False) -> list[str]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; lower: with A-Z, and no other letters, in lower case.
 
@@ -120,6 +121,25 @@ def slices(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[tuple[list
         yield ids, texts
 
 
+#: More rows than this are not broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, hot: Column) -> DataFrame:
+    """left with the columns of right, which has one row a key; left's rows without one go.
+
+    Rows of right for which `hot` holds have many rows on the left: they are broadcast (where
+    no more than BROADCAST_ROWS), so that no task gets all of a key. right is read twice.
+    """
+    some = right.filter(hot)
+    if not 0 < some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(right, key)
+    names = [c for c in right.columns if c != key]
+    marked = left.join(F.broadcast(some.withColumn("_hot", F.lit(True))), key, "left")
+    rest = marked.filter("_hot is null").drop(*names, "_hot").join(right.filter(~hot), key)
+    return marked.filter("_hot").drop("_hot").unionByName(rest)
+
+
 def pieces(total: float, each: float, least: int = 1) -> int:
     """How many groups of about `each` rows hold `total` rows."""
     return max(least, math.ceil(total / each))

@@ -8,8 +8,9 @@ A document's set holds its distinct n-word shingles as 64-bit hashes. All pairs
    content is hashed to a signature. Sizes fall in classes, and a set is entered in each
    class that a partner's size can reach. More parts are made than that, so that each set
    can leave out its weakest.
-2. *Groups.* Sets that share a signature are compared with one of those that have it:
-   a linear number of pairs, however many copies there are. Linked sets form groups.
+2. *Groups.* A signature's hub is the least set that has it. Each set is compared with
+   the hub of most of its signatures; linked sets form groups. Then each set is compared with one hub of each other
+   group that it shares a signature with. So a large group of copies costs a pair a set.
    Before sets are read, a small bitmap of each tells pairs that cannot link.
 3. *Token-group matrix.* Where a signature still spans several groups, the sets whose
    bitmaps let them link are dealt to blocks of similar ones. Pairs of blocks meet; a
@@ -21,7 +22,9 @@ compared in step 3, so no link is lost and nothing is capped. Equal sets count a
 
 Edge cases: null or empty text, or text without words: n_shingles 0, linked with nothing;
 fewer than n words: the whole sequence is one shingle; repeated rows of one doc_id count
-as one document; an empty table gives an empty result; extra columns are ignored.
+as one document, of different texts of one doc_id the largest set (then the largest key)
+gives its row, the others link as well; ties in a part's order fall to its signature; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.common import Cache, map_arrow, pieces, slices, stored, word_bytes, word_hash
+from annolake.llm.common import BROADCAST_ROWS, Cache, join_skewed, map_arrow, pieces, slices, stored, word_bytes, word_hash
 
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Shingles in a block of the matrix, about.
 BLOCK_SHINGLES = 40_000
-#: More entries than this are not broadcast.
-BROADCAST_ROWS = 1_000_000
 #: A class of sizes reaches from one limit to below this many times it.
 CLASS_RATIO = 1.3
 #: Parts that may be left out, as a share of those that linked sets can differ in.
@@ -50,6 +51,8 @@ SPARE = 0.4
 TASK_POSTINGS = 500_000
 #: Sets of one signature that are compared at once.
 RUN_SETS = 2_000
+#: Documents of one set from which its class is broadcast to them.
+HOT_COPIES = 1_000
 
 _hashes = Cache(word_hash, 150_000)
 
@@ -232,22 +235,26 @@ def compared(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of the nodes in edges (a, b): the smallest id each reaches.
 
-    Every round, each node adopts the smallest label among its own, its neighbours' and
-    its label's label; nothing but the changed-rows count comes to the driver.
+    Every round hooks each node to its smallest neighbour, follows hooks to their ends and
+    contracts the edges to these ends, so that edges within a component are gone after it.
+    What many nodes share (a hub, a label) is made distinct before it is looked up, so no
+    join meets one key in many rows; nothing but counts comes to the driver.
     """
-    edges = stored(edges.filter("a <> b").select("a", "b").distinct(), f"{name}-edges")
-    both = edges.union(edges.select("b", "a"))
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), f"{name}-labels")
+    rest = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-edges")
+    found: DataFrame | None = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        jump = labels.select("node", F.col("label").alias("at")).join(labels.select(F.col("node").alias("at"), "label"), "at").select("node", "label")
-        # A label's owner learns of smaller labels that its followers have found.
-        back = near.withColumnRenamed("label", "found").join(labels, "node").select(F.col("label").alias("node"), F.col("found").alias("label"))
-        made = stored(labels.select("node", "label", F.col("label").alias("old")).unionByName(near.union(jump).union(back).withColumn("old", F.lit(None).cast("long"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")), f"{name}-labels")
-        changed = made.filter("label <> old").limit(1).count()
-        labels = made.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        hooks = stored(rest.union(rest.select("b", "a")).groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), f"{name}-hooks")
+        while True:
+            ends = stored(hooks.select(F.col("label").alias("node")).distinct().join(hooks, "node").filter("label <> node").select(F.col("node").alias("label"), F.col("label").alias("to")), f"{name}-ends")
+            if not ends.limit(1).count():
+                break
+            hooks = stored(hooks.join(ends, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-hooks")
+        found = hooks if found is None else stored(found.join(hooks.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels")
+        half = rest.join(hooks.withColumnRenamed("node", "a"), "a").filter("label <> b").select(F.col("label").alias("x"), "b").distinct()
+        full = half.join(hooks.withColumnRenamed("node", "b"), "b").filter("label <> x")
+        rest = stored(full.select(F.greatest("x", "label").alias("a"), F.least("x", "label").alias("b")).distinct(), f"{name}-edges")
+        if not rest.limit(1).count():
+            return found.withColumnRenamed("label", "component")
 
 
 def surviving(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -324,24 +331,46 @@ def spanning(runs: DataFrame, percent: int) -> DataFrame:
     return map_arrow(runs.select("run", "key", "group", "size", "bitmap"), run, "a long, b long")
 
 
+def dealt_blocks(placed: DataFrame, keys: list[str], parts: DataFrame) -> DataFrame:
+    """placed with run: every set of a signature goes to each pair of blocks that its own block is in.
+
+    parts: signature, group, held. A group of RUN_SETS sets or more has blocks of its own,
+    which do not meet each other, as its sets need no comparison; the others share blocks.
+    """
+    parts = parts.withColumn("unit", F.when(F.col("held") >= RUN_SETS, F.col("group")).otherwise(F.lit(-1)))
+    units = parts.groupBy("signature", "unit").agg(F.ceil(F.sum("held") / RUN_SETS).alias("blocks"))
+    each = units.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("signature", "unit", "block")
+    left, right = (each.select("signature", F.col("unit").alias(f"unit{k}"), F.col("block").alias(f"block{k}")) for k in (1, 2))
+    meet = left.join(right, "signature").filter("unit1 < unit2 or (unit1 = unit2 and block1 < block2)").filter("unit1 = -1 or unit1 <> unit2")
+    meet = meet.withColumn("run", F.xxhash64("signature", "unit1", "block1", "unit2", "block2"))
+    alone = each.filter("unit = -1").withColumn("run", F.xxhash64("signature", "unit", "block"))
+    sides = [meet.select("signature", F.col(f"unit{k}").alias("unit"), F.col(f"block{k}").alias("block"), "run") for k in (1, 2)]
+    at = placed.join(parts.select("signature", "group", "unit"), ["signature", "group"]).join(units, ["signature", "unit"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    return at.join(alone.unionByName(sides[0]).unionByName(sides[1]), ["signature", "unit", "block"]).select("run", *keys)
+
+
 def runs(met: DataFrame, groups: DataFrame, maps: DataFrame, parts: int) -> DataFrame:
     """The sets of signatures that span groups: run, key, group, size, bitmap; many sets of one signature are dealt to pairs of blocks."""
     placed = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("signature", "key", F.coalesce("component", "key").alias("group"))
     spread = placed.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("held")).filter("low < high")
-    placed = placed.join(spread.select("signature", F.ceil(F.col("held") / RUN_SETS).alias("blocks")), "signature")
-    placed = placed.withColumns({"block": F.pmod(F.xxhash64("key"), F.col("blocks")), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
-    number = F.xxhash64("signature", F.least("block", "other"), F.greatest("block", "other"))
-    placed = placed.select(number.alias("run"), "key", "group")
-    return placed.join(maps, "key").repartition(parts, "run").sortWithinPartitions("run")
+    placed = stored(placed.join(spread.select("signature", "held"), "signature"), "spanning")
+    few = placed.filter(F.col("held") <= RUN_SETS).select(F.col("signature").alias("run"), "key", "group")
+    many = placed.filter(F.col("held") > RUN_SETS).drop("held")
+    if many.limit(1).count():
+        held = stored(many.groupBy("signature", "group").agg(F.count(F.lit(1)).alias("held")), "spanning-groups")
+        few = few.unionByName(dealt_blocks(many, ["key", "group"], held))
+    return few.join(maps, "key").repartition(parts, "run").sortWithinPartitions("run")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: the classes of linked documents. percent: 75 or more."""
+    if not 75 <= percent <= 100:
+        raise ValueError(f"percent must be 75 to 100, not {percent}: below, parts of sets are too many")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     summary = stored(summaries(docs, n, percent), "summaries")
-    keys = summary.select("doc_id", "key", "size").dropDuplicates(["doc_id"])
-    found = stored(summary.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")), "sets")
+    keys = summary.select("doc_id", "key", "size").groupBy("doc_id").agg(F.max(F.struct("size", "key")).alias("x")).select("doc_id", "x.*")
+    found = stored(summary.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("held"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")), "sets")
     maps = found.select("key", "size", "bitmap")
 
     # Signatures that more than one distinct set has. One shuffle serves the aggregate and the join.
@@ -349,24 +378,39 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     postings = summary.select("key", F.explode("signatures").alias("signature")).repartition(max(parts, pieces(total, TASK_POSTINGS)), "signature")
     shared = postings.groupBy("signature").agg(F.min("key").alias("hub"), F.max("key").alias("high")).filter("hub <> high").drop("high")
     met = stored(postings.join(shared.hint("shuffle_hash"), "signature").distinct(), "met")
-    pairs = stored(surviving(met.filter("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), maps, percent), "pairs")
-    links = stored(compared(pairs, token_sets(docs, found, pairs, n), percent), "links")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = stored(surviving(pairs, maps, percent), "pairs")
+        return stored(compared(pairs, token_sets(docs, found, pairs, n), percent), "links")
+
+    # Each set meets one hub, that of most of its signatures; then, where groups still differ, one hub of each other group.
+    hubs = stored(met.filter("key <> hub").groupBy(F.col("key").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("held")), "hubs")
+    links = links_of(hubs.groupBy("a").agg(F.max(F.struct("held", "b")).alias("x")).select("a", "x.b"))
     groups = components(links, "groups")
+    own, other = (groups.select(F.col("node").alias(k), F.col("component").alias(f"{k}_group")) for k in "ab")
+    apart = hubs.join(own, "a", "left").join(other, "b", "left").withColumn("b_group", F.coalesce("b_group", "b")).filter(F.coalesce("a_group", "a") != F.col("b_group"))
+    more = links_of(apart.groupBy("a", "b_group").agg(F.max(F.struct("held", "b")).alias("x")).select("a", "x.b"))
+    if more.limit(1).count():
+        links = links.union(more)
+        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "groups")
 
     # Signatures that still span groups: what can link there meets block by block in the matrix.
-    edges = stored(spanning(runs(met, groups, maps, parts), percent), "edges")
+    edges = stored(spanning(runs(met, groups, maps, parts), percent).distinct(), "edges")
     if edges.limit(1).count():
         clusters = components(edges, "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
         placed = clusters.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("group"))
-        links = stored(links.union(opened(placed, token_sets(docs, found, edges, n), percent)), "all-links")
+        last = stored(opened(placed, token_sets(docs, found, edges, n), percent), "last-links")
+        if last.limit(1).count():
+            # A link joins whole groups.
+            own, other = (groups.select(F.col("node").alias(k), F.col("component").alias(f"{k}_group")) for k in "ab")
+            joined = last.join(own, "a", "left").join(other, "b", "left").select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(joined), "groups")
 
     # A component's name is the smallest id of all its documents, copies included.
-    own = found.select("key", "rep")
-    ends = links.join(own.withColumnRenamed("key", "a"), "a").select("b", F.col("rep").alias("x")).join(own.withColumnRenamed("key", "b"), "b").select(F.col("x").alias("a"), F.col("rep").alias("b"))
-    groups = components(ends, "components")
-    copies = found.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = keys.filter("size > 0").join(copies, "key").select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
-    return out.unionByName(keys.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    placed = stored(found.select("key", "rep", "held").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", "held", F.coalesce("component", "key").alias("component")), "placed")
+    names = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    copies = stored(placed.join(names, "component").select("key", "held", "component_id"), "copies")
+    return join_skewed(keys.filter("size > 0"), copies, "key", F.col("held") >= HOT_COPIES).select("doc_id", F.col("size").alias("n_shingles"), "component_id").unionByName(keys.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def blocks(placed: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:

@@ -52,7 +52,7 @@ def op9_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds images: the vectors are shown as such, a grey cell each number."""
     vectors = read(spark, sf_dir, "embeddings").selectExpr("cast(vec_id as long) id", "cast(embedding as array<double>) v")
-    return media.find_copies(media.rendered(vectors), divisor=20)
+    return media.find_copies(media.rendered(vectors))
 
 
 def queries() -> dict[str, Query]:

@@ -338,6 +338,7 @@ def test_components_against_brute_force(spark, docs, n, percent):
 def test_families_of_near_copies_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 2000)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "HOT_COPIES", 2)
     monkeypatch.setattr(ngram_join, "RUN_SETS", 20)
     rng = random.Random(9)
     base, texts = [f"w{rng.randrange(500)}" for _ in range(70)], {}
@@ -346,6 +347,8 @@ def test_families_of_near_copies_against_brute_force(spark, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             own[rng.randrange(len(own))] = f"x{rng.randrange(40)}"
         texts[k] = " ".join(own[: rng.randint(60, 70)])
+        if k % 9 == 0:
+            texts[1000 + k] = texts[k]
     some = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(some, 3, 90).collect()}
     assert found == brute_components(texts, 3, 90)
@@ -622,49 +625,74 @@ def row(pixels):
     return (data.shape[1], data.shape[0], data.tobytes())
 
 
+IMAGES = "id long, image struct<width int, height int, pixels binary>, held int, component_id string"
+
+
 def test_edited_copies_are_found(spark):
     rng = np.random.default_rng(8)
     plain = [image(rng) for _ in range(30)]
     rows = {20 * k: row(p) for k, p in enumerate(plain)}
-    rows |= {1: row(plain[0][8:, 10:90]), 2: row(np.rot90(plain[1])), 3: row(plain[2] * 0.7 + rng.normal(0, 0.01, plain[2].shape)), 4: row(plain[3]), 5: None, 6: (2, 2, b"\0\0\0"), 7: (8, 8, bytes(64))}
-    some = spark.createDataFrame([(k, v) for k, v in rows.items()], "id long, image struct<width int, height int, pixels binary>")
+    rows |= {1: row(plain[0][8:, 10:90]), 2: row(np.rot90(plain[1])), 3: row(plain[2] * 0.7 + rng.normal(0, 0.01, plain[2].shape)), 4: row(plain[3]), 5: None, 6: (2, 2, b"\0\0\0"), 7: (8, 8, bytes(64)), 8: (8, 8, bytes(64))}
+    rows |= {9: row(media.resized(plain[4], 68, 68)), None: row(plain[5])}
+    some = spark.createDataFrame([(k, v, 1, "x") for k, v in rows.items()] + [(20, row(plain[1]), 2, "y")], IMAGES)
     found = media.find_copies(some).collect()
-    matches = {(r["a"], r["b"]) for r in found if r["kind"] == "match"}
-    assert {(0, 1), (20, 2), (40, 3)} <= matches
-    assert all(a in (0, 20, 40) for a, _ in matches)
-    members = {r["a"]: r["b"] for r in found if r["kind"] == "member"}
-    assert members[4] == members[60] == 4 and 5 not in members and 6 not in members and members[7] == 7
-    turned = next(r for r in found if r["kind"] == "match" and (r["a"], r["b"]) == (20, 2))
-    assert abs(abs(turned["angle"]) - math.pi / 2) < 0.2
+    by = {r["id"]: r for r in found}
+    assert len(found) == len(rows) - 3 + 1 and {5, 6, None}.isdisjoint(by)
+    groups = collections.defaultdict(set)
+    for r in found:
+        groups[r["component_id"]].add(r["id"])
+    assert {frozenset(x) for x in groups.values() if len(x) > 1} == {frozenset(x) for x in ((0, 1), (20, 2), (40, 3), (60, 4), (7, 8), (80, 9))}
+    assert all(min(x) == k for k, x in groups.items())
+    assert by[60]["class_id"] == 4 and by[60]["links"] == 0 and by[8]["class_id"] == 7 and by[100]["parent"] is None
+    assert by[20]["parent"] == 2 and by[2]["parent"] == 20 and abs(abs(by[20]["angle"]) - math.pi / 2) < 0.2
+    assert by[80]["parent"] == 9 and abs(by[80]["scale"] * by[9]["scale"] - 1) < 0.01
     assert media.find_copies(some.filter("false")).count() == 0
 
 
-def test_recall_against_all_pairs_of_descriptors(spark):
-    """Image pairs that all close pairs of corners give, and those that the tables find."""
+def votes(a, b, within):
+    """Corners of a that vote for one transform to b, counted in plain loops."""
+    (p, x), (q, y) = a, b
+    best = 0
+    for half in (0, 0.5):
+        cells = collections.defaultdict(set)
+        for i, j in np.argwhere(np.bitwise_count(x[:, None] ^ y[None]).sum(2, dtype=int) <= within):
+            turn, size = q[j, 3] - p[i, 3], q[j, 2] / p[i, 2]
+            dx = q[j, 0] - size * (math.cos(turn) * p[i, 0] - math.sin(turn) * p[i, 1])
+            dy = q[j, 1] - size * (math.sin(turn) * p[i, 0] + math.cos(turn) * p[i, 1])
+            cells[(math.floor(turn * 6 / math.pi + half) % 12, math.floor(math.log2(size) + half), math.floor(dx / 16 + half), math.floor(dy / 16 + half))].add(int(i))
+        best = max([best, *map(len, cells.values())])
+    return best
+
+
+def test_votes_against_plain_loops():
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        plain = image(rng)
+        a, b = (media.described(media.array_of(dict(zip(("width", "height", "pixels"), row(x))))) for x in (plain, plain[4:, 6:] + rng.normal(0, 0.05, plain[4:, 6:].shape)))
+        a, b = ((p.astype(np.float32).astype(float), x) for p, x in (a, b))
+        for within in (16, 40):
+            assert media.agreement(a, b, within, 1)[0] == votes(a, b, within)
+
+
+def test_recall_against_all_pairs_of_descriptors(spark, monkeypatch):
+    """Pairs of images that all corners' comparison links, and those that end in one component; a class of 300 near copies among them."""
+    monkeypatch.setattr(media, "HOT_ENTRIES", 50)
     rng = np.random.default_rng(3)
-    plain = [image(rng) for _ in range(40)]
-    edited = [p + rng.normal(0, 0.02, (96, 96)) * p.std() for p in plain]
-    rows = [(20 * k, row(p)) for k, p in enumerate(plain)] + [(20 * k + 1, row(p)) for k, p in enumerate(edited)]
-    some = spark.createDataFrame(rows, "id long, image struct<width int, height int, pixels binary>")
-    found = {(r["a"], r["b"]) for r in media.find_copies(some).filter("kind = 'match'").collect()}
-    described = {k: media.described(media.array_of({"width": w, "height": h, "pixels": p})) for k, (w, h, p) in rows}
-    expected = set()
-    for a in (k for k in described if k % 20 == 0):
-        for b in described:
-            if a == b:
-                continue
-            (pa_, ba, _), (pb, bb, _) = described[a], described[b]
-            close = np.argwhere(np.bitwise_count((ba[:, None] ^ bb[None]).view(np.uint32)).sum(2) <= 16)
-            for half in (0, 0.5):
-                cells = collections.defaultdict(set)
-                for i, j in close:
-                    turn, size = pb[j, 3] - pa_[i, 3], pb[j, 2] / pa_[i, 2]
-                    x = pb[j, 0] - size * (math.cos(turn) * pa_[i, 0] - math.sin(turn) * pa_[i, 1])
-                    y = pb[j, 1] - size * (math.sin(turn) * pa_[i, 0] + math.cos(turn) * pa_[i, 1])
-                    cells[(math.floor(turn * 6 / math.pi + half) % 12, math.floor(math.log2(size) + half), math.floor(x / 16 + half), math.floor(y / 16 + half))].add(i)
-                if max(map(len, cells.values()), default=0) >= 4:
-                    expected.add((a, b))
-    assert len(expected) >= 20 and len(found & expected) >= 0.9 * len(expected)
+    plain = [image(rng) for _ in range(60)]
+    noisy = lambda p, k: p + rng.normal(0, k, p.shape) * p.std()
+    shown = plain + [noisy(p, 0.03) for p in plain[:30]] + [noisy(p[6:, 4:], 0.02) for p in plain[:15]] + [noisy(plain[0], 0.04) for _ in range(300)]
+    rows = [(3 * k, row(p), 0, "x") for k, p in enumerate(shown)]
+    found = {r["id"]: r["component_id"] for r in media.find_copies(spark.createDataFrame(rows, IMAGES)).collect()}
+    described = {k: media.described(media.array_of(dict(zip(("width", "height", "pixels"), v)))) for k, v, *_ in rows}
+    ids = sorted(described)
+    expected = {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if max(media.agreement(described[a], described[b], 40, 6)[0], media.agreement(described[b], described[a], 40, 6)[0])}
+    assert len(expected) > 20_000 and sum(found[a] == found[b] for a, b in expected) >= 0.9 * len(expected)
+    # No image is with others but through links.
+    parent = {k: k for k in ids}
+    for a, b in sorted(expected):
+        old, new = sorted((parent[a], parent[b]), reverse=True)
+        parent = {k: new if v == old else v for k, v in parent.items()} if old != new else parent
+    assert all(parent[k] == parent[c] for k, c in found.items())
 
 
 def test_components_against_sql(spark, docs, tmp_path):
