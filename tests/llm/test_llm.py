@@ -149,6 +149,20 @@ def labelled(spark, good, bad, n=300):
     return spark.createDataFrame([(k, t, None, None, 0, 0.0, "x") for k, t, _ in rows], SCHEMA), spark.createDataFrame([(k, 1 - y, y) for k, _, y in rows], "doc_id long, quality int, toxic int"), {k: y for k, _, y in rows}
 
 
+def test_lexicon_counts_families_of_near_copies_once(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(9999)}" for _ in range(200)]
+    copies = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(0, 200, 10)]
+    others = [" ".join(f"x{rng.randrange(99999)}" for _ in range(60)) + " " + " ".join(base[:12]) for _ in range(20)]
+    rows = [(k, t, 1) for k, t in enumerate([*copies, *copies, *others, "", "one", "two", None])] + [(900, copies[0], 0)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int").fillna("", "text")
+    kept = {(r["doc_id"], r["label"]) for r in toxicity.families(sample).collect()}
+    assert {k for k, _ in kept if k < 40} == {0}
+    assert len({k for k, _ in kept if 40 <= k < 60}) >= 19  # they share a passage only
+    assert {x for x in kept if x[0] >= 60} == {(60, 1), (61, 1), (62, 1), (900, 0)}
+    assert toxicity.families(sample.limit(0)).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark, docs, empty):
     some, labels, truth = labelled(spark, lambda r: prose(r, 60), lambda r: prose(r, 30) + r.choice([" vermin ", " Vermin! ", " slimeball, ", " slimebal "]) + prose(r, 30))
     found = by_id(toxicity.toxicity(some, labels))
