@@ -29,6 +29,17 @@ def mark_pair(text: Column, s1: Column, e1: Column, s2: Column, e2: Column) -> C
     return F.when(s1 < s2, around(s1, e1, s2, e2, "E1", "E2")).otherwise(around(s2, e2, s1, e1, "E2", "E1"))
 
 
+def mark_pair_context(window: int, first: str, second: str, first_mark: str, second_mark: str) -> Column:
+    """Two marked spans with `window` characters around each (see spans.with_context), " … " for what is left out between.
+
+    first, second: prefixes of the columns start_idx, end_idx, before, text_span and after; the first span comes first.
+    """
+    gap = F.col(f"{second}_start_idx") - F.col(f"{first}_end_idx") - 1
+    after = F.col(f"{first}_after")
+    between = F.when(gap <= 2 * window, F.substring(after, F.lit(1), gap)).otherwise(F.concat(F.substring(after, 1, window), F.lit(" … "), f"{second}_before"))
+    return F.concat(f"{first}_before", F.lit(f"[{first_mark}]"), f"{first}_text_span", F.lit(f"[/{first_mark}]"), between, F.lit(f"[{second_mark}]"), f"{second}_text_span", F.lit(f"[/{second_mark}]"), F.substring(f"{second}_after", 1, window))
+
+
 def parse_label(response: Column, labels: list[str] = LABELS) -> Column:
     """The first line as a label: equal but for case, else the longest label that it holds, else NA."""
     line = F.lower(F.trim(F.split_part(response, F.lit("\n"), F.lit(1))))

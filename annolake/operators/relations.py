@@ -21,9 +21,9 @@ def forward_pairs(entities: DataFrame) -> DataFrame:
     return subjects.join(objects, ["paper_id", "location"]).filter("subject_ord < object_ord")
 
 
-def ordered_pairs(entities: DataFrame) -> DataFrame:
-    """All pairs of different entities of one section, both ways."""
-    subjects, objects = sides(entities)
+def ordered_pairs(entities: DataFrame, *extra: str) -> DataFrame:
+    """All pairs of different entities of one section, both ways, with `extra` columns of both."""
+    subjects, objects = sides(entities, *extra)
     return subjects.join(objects, ["paper_id", "location"]).filter("subject_ord <> object_ord")
 
 

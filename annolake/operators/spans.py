@@ -39,6 +39,14 @@ def span_text(spans: DataFrame, texts: DataFrame) -> DataFrame:
     return spans.join(texts, ["paper_id", "location"]).withColumn("text_span", F.substring(F.col("text"), F.col("start_idx") + 1, F.col("end_idx") - F.col("start_idx") + 1)).drop("text")
 
 
+def with_context(spans: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """Adds text_span, `before` (at most `window` characters before it) and `after` (twice as many), so that pairs need no whole texts."""
+    start, end = F.col("start_idx"), F.col("end_idx")
+    first = F.greatest(start - window, F.lit(0))
+    known = span_text(spans, texts).join(texts, ["paper_id", "location"])
+    return known.withColumns({"before": F.substring(F.col("text"), first + 1, start - first), "after": F.substring(F.col("text"), end + 2, F.lit(2 * window))}).drop("text")
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 

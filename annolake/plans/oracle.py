@@ -35,8 +35,8 @@ for _h, _t, _p in valid_triples():
     _valid.setdefault((_h, _t), []).append(_p)
 VALID = ", ".join(f"({quoted(h)}, {quoted(t)}, [{', '.join(map(quoted, p))}])" for (h, t), p in _valid.items())
 
-PREFIX = f"""WITH papers AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, substr(split_part(text, chr(10), 1), 1, 300) AS title,
-  CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1, 2000) ELSE '' END AS abstract FROM documents),
+PREFIX = f"""WITH papers AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, split_part(text, chr(10), 1) AS title,
+  CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS abstract FROM documents),
 sections AS (SELECT paper_id, 'title' AS location, title AS text FROM papers UNION ALL SELECT paper_id, 'abstract', abstract FROM papers),
 tokens AS ({tokenised('sections', WORDPUNCT)}),
 words AS (SELECT *, lead(e) OVER (PARTITION BY paper_id, location ORDER BY i) AS ne FROM tokens WHERE length(tok) >= 4 AND regexp_full_match(tok, '[\\p{{L}}\\p{{N}}_]+')),

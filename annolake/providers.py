@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.functions.text import mark_entity, mark_pair
+from annolake.functions.text import mark_entity, mark_pair, mark_pair_context
 from annolake.operators import relations, spans
 from annolake.schema import LABELS
 
@@ -132,13 +132,23 @@ def classify_terms(entities: DataFrame, texts: DataFrame, classifier: Classifier
     return judged(seen, "seen", classifier).select("*", "verdict.label", "verdict.confscore").drop("verdict", "seen", "text")
 
 
-def extract_relations(entities: DataFrame, texts: DataFrame, valid: DataFrame, classifier: Classifier) -> DataFrame:
-    """Predicates of all ordered pairs that pass the gates, NA dropped."""
-    pairs = relations.apart(relations.gated(relations.ordered_pairs(entities), valid)).join(texts, ["paper_id", "location"])
-    seen = pairs.withColumn("seen", mark_pair(F.col("text"), *(F.col(f"{s}_{c}_idx") for s in ("subject", "object") for c in ("start", "end"))))
+def extract_relations(entities: DataFrame, texts: DataFrame, valid: DataFrame, classifier: Classifier, window: int | None = None) -> DataFrame:
+    """Predicates of all ordered pairs that pass the gates, NA dropped.
+
+    window: the classifier sees so many characters around each span, which are cut once an
+    entity; without it, it sees the whole text once a pair.
+    """
+    if window is None:
+        pairs = relations.apart(relations.gated(relations.ordered_pairs(entities), valid)).join(texts, ["paper_id", "location"])
+        seen = pairs.withColumn("seen", mark_pair(F.col("text"), *(F.col(f"{s}_{c}_idx") for s in ("subject", "object") for c in ("start", "end")))).drop("text")
+    else:
+        more = ("before", "text_span", "after")
+        pairs = relations.apart(relations.gated(relations.ordered_pairs(spans.with_context(entities, texts, window), *more), valid))
+        forward, backward = mark_pair_context(window, "subject", "object", "E1", "E2"), mark_pair_context(window, "object", "subject", "E2", "E1")
+        seen = pairs.withColumn("seen", F.when(F.col("subject_start_idx") < F.col("object_start_idx"), forward).otherwise(backward)).drop(*[f"{s}_{c}" for s in relations.SIDES for c in more])
     seen = seen.withColumn("choices", F.array_append("predicates", F.lit("NA")))
     made = judged(seen, "seen", classifier, "choices").withColumns({"predicate": F.col("verdict.label"), "confscore": F.col("verdict.confscore")})
-    return made.filter("predicate <> 'NA'").drop("verdict", "seen", "text", "choices", "predicates")
+    return made.filter("predicate <> 'NA'").drop("verdict", "seen", "choices", "predicates")
 
 
 def answered(prompts: DataFrame, chat: Chat, temperature: float = 1.0) -> DataFrame:

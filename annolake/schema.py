@@ -10,38 +10,73 @@ LABELS = ["anatomical location", "animal", "biomedical technique", "bacteria", "
 #: Relation predicates (NA: none).
 PREDICATES = ["administered", "affect", "change abundance", "change effect", "change expression", "compared to", "impact", "influence", "interact", "is a", "is linked to", "located in", "part of", "produced by", "strike", "target", "used by"]
 
-#: Predicates that a head and a tail label allow, as "head: tail = predicate, ...".
-VALID_RELATIONS = """
-anatomical location: human = located in; animal = located in
-bacteria: bacteria = interact; chemical = interact; drug = interact; DDF = influence; gene = change expression; human = located in; animal = located in; microbiome = part of
-chemical: anatomical location = located in; human = located in, administered; animal = located in, administered; chemical = interact, part of; microbiome = impact, produced by; bacteria = impact; DDF = influence; gene = change expression
-dietary supplement: bacteria = impact; microbiome = impact; DDF = influence; gene = change expression; human = administered; animal = administered
-drug: bacteria = impact; microbiome = impact; gene = change expression; human = administered; animal = administered; chemical = interact; drug = interact; DDF = change effect
-food: bacteria = impact; microbiome = impact; DDF = influence; gene = change expression; human = administered; animal = administered
-DDF: anatomical location = strike; bacteria = change abundance; microbiome = change abundance; chemical = interact; DDF = affect, is a; human = target; animal = target
-human: biomedical technique = used by
-animal: biomedical technique = used by
-microbiome: biomedical technique = used by; anatomical location = located in; human = located in; animal = located in; gene = change expression; DDF = is linked to; microbiome = compared to
-"""
+#: Head label, tail label and the predicates that they allow.
+VALID_RELATIONS = [
+    ("anatomical location", "human", ["located in"]),
+    ("anatomical location", "animal", ["located in"]),
+    ("bacteria", "bacteria", ["interact"]),
+    ("bacteria", "chemical", ["interact"]),
+    ("bacteria", "drug", ["interact"]),
+    ("bacteria", "DDF", ["influence"]),
+    ("bacteria", "gene", ["change expression"]),
+    ("bacteria", "human", ["located in"]),
+    ("bacteria", "animal", ["located in"]),
+    ("bacteria", "microbiome", ["part of"]),
+    ("chemical", "anatomical location", ["located in"]),
+    ("chemical", "human", ["located in", "administered"]),
+    ("chemical", "animal", ["located in", "administered"]),
+    ("chemical", "chemical", ["interact", "part of"]),
+    ("chemical", "microbiome", ["impact", "produced by"]),
+    ("chemical", "bacteria", ["impact"]),
+    ("chemical", "DDF", ["influence"]),
+    ("chemical", "gene", ["change expression"]),
+    ("dietary supplement", "bacteria", ["impact"]),
+    ("dietary supplement", "microbiome", ["impact"]),
+    ("dietary supplement", "DDF", ["influence"]),
+    ("dietary supplement", "gene", ["change expression"]),
+    ("dietary supplement", "human", ["administered"]),
+    ("dietary supplement", "animal", ["administered"]),
+    ("drug", "bacteria", ["impact"]),
+    ("drug", "microbiome", ["impact"]),
+    ("drug", "gene", ["change expression"]),
+    ("drug", "human", ["administered"]),
+    ("drug", "animal", ["administered"]),
+    ("drug", "chemical", ["interact"]),
+    ("drug", "drug", ["interact"]),
+    ("drug", "DDF", ["change effect"]),
+    ("food", "bacteria", ["impact"]),
+    ("food", "microbiome", ["impact"]),
+    ("food", "DDF", ["influence"]),
+    ("food", "gene", ["change expression"]),
+    ("food", "human", ["administered"]),
+    ("food", "animal", ["administered"]),
+    ("DDF", "anatomical location", ["strike"]),
+    ("DDF", "bacteria", ["change abundance"]),
+    ("DDF", "microbiome", ["change abundance"]),
+    ("DDF", "chemical", ["interact"]),
+    ("DDF", "DDF", ["affect", "is a"]),
+    ("DDF", "human", ["target"]),
+    ("DDF", "animal", ["target"]),
+    ("human", "biomedical technique", ["used by"]),
+    ("animal", "biomedical technique", ["used by"]),
+    ("microbiome", "biomedical technique", ["used by"]),
+    ("microbiome", "anatomical location", ["located in"]),
+    ("microbiome", "human", ["located in"]),
+    ("microbiome", "animal", ["located in"]),
+    ("microbiome", "gene", ["change expression"]),
+    ("microbiome", "DDF", ["is linked to"]),
+    ("microbiome", "microbiome", ["compared to"]),
+]
 
 
 def valid_triples() -> list[tuple[str, str, str]]:
     """(head, tail, predicate) rows, predicates in alphabetical order."""
-    out = []
-    for line in VALID_RELATIONS.strip().splitlines():
-        head, tails = line.split(": ")
-        for part in tails.split("; "):
-            tail, predicates = part.split(" = ")
-            out += [(head, tail, p) for p in sorted(predicates.split(", "))]
-    return out
+    return [(head, tail, p) for head, tail, predicates in VALID_RELATIONS for p in sorted(predicates)]
 
 
 def valid_relations(spark: SparkSession) -> DataFrame:
     """head, tail, predicates (array): one row for each pair of labels that can be related."""
-    pairs: dict[tuple[str, str], list[str]] = {}
-    for head, tail, predicate in valid_triples():
-        pairs.setdefault((head, tail), []).append(predicate)
-    return spark.createDataFrame([(h, t, p) for (h, t), p in pairs.items()], "head string, tail string, predicates array<string>")
+    return spark.createDataFrame([(head, tail, sorted(predicates)) for head, tail, predicates in VALID_RELATIONS], "head string, tail string, predicates array<string>")
 
 
 ENTITY = "start_idx int, end_idx int, location string, text_span string, label string, uri string, uri_source string, predicted_label string, confscore double"

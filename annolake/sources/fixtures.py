@@ -34,9 +34,10 @@ def label_of(number: Column) -> Column:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts: the first line is the title, all that follows it the abstract."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("paper_id"), "text")
     cut = F.instr("text", "\n")
-    return docs.select("paper_id", F.substring(F.substring_index("text", "\n", 1), 1, 300).alias("title"), F.when(cut > 0, F.substring(F.col("text"), cut + 1, F.lit(2000))).otherwise("").alias("abstract"))
+    return docs.select("paper_id", F.substring_index("text", "\n", 1).alias("title"), F.when(cut > 0, F.substring(F.col("text"), cut + 1, F.length("text"))).otherwise("").alias("abstract"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

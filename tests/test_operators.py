@@ -304,3 +304,26 @@ def test_stream_takes_only_what_is_new(spark, tmp_path):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines))
         resume.process_new(spark, source, "paper_id string, text string", work, sink, check).awaitTermination()
     assert sorted((r["paper_id"], r["size"]) for r in spark.read.parquet(sink).collect()) == [("1", 3), ("2", 1)]
+
+
+def test_relations_from_context_are_those_of_whole_texts(spark):
+    from annolake import providers
+    from annolake.functions.text import mark_pair_context
+    from annolake.operators import relations, spans
+
+    text = "alpha é beta, gamma " + "x" * 60 + " delta"
+    texts = spark.createDataFrame([("p", "title", text), ("q", "abstract", "")], "paper_id string, location string, text string")
+    marks = [("alpha", "bacteria"), ("beta", "chemical"), ("gamma", "chemical"), ("delta", "bacteria")]
+    rows = [("p", "title", text.index(w), text.index(w) + len(w) - 1, label, k) for k, (w, label) in enumerate(marks)]
+    entities = spark.createDataFrame(rows, "paper_id string, location string, start_idx int, end_idx int, label string, ord int")
+    kind = providers.HashClassifier(PREDICATES)
+
+    def found(window):
+        made = providers.extract_relations(entities, texts, valid_relations(spark), kind, window)
+        return sorted((r["subject_start_idx"], r["object_start_idx"], r["predicate"], r["confscore"]) for r in made.collect())
+
+    assert found(None) == found(500) != []
+    pairs = relations.ordered_pairs(spans.with_context(entities, texts, 5), "before", "text_span", "after").filter("subject_ord < object_ord")
+    seen = {(r["subject_ord"], r["object_ord"]): r["x"] for r in pairs.select("subject_ord", "object_ord", mark_pair_context(5, "subject", "object", "E1", "E2").alias("x")).collect()}
+    assert seen[0, 1] == "[E1]alpha[/E1] é [E2]beta[/E2], gam"
+    assert seen[2, 3] == "eta, [E1]gamma[/E1] xxxx … xxxx [E2]delta[/E2]"
