@@ -3,14 +3,18 @@
 Documents are tokenised with a public byte-level vocabulary, long ones are cut into
 pieces of at most `capacity` tokens, and pieces are packed into sequences:
 
-1. the pieces are dealt into groups by a hash of their key; each group packs its own
+1. the pieces are dealt into groups by a hash of their row; each group packs its own
    by best fit, longest first;
-2. bins with at most `slack` free tokens are emitted; the others become items;
+2. bins with at most `slack` free tokens are emitted; all others become items;
 3. groups merge `fan` to one and pack these items again, up to one root group, which
    emits all it has.
 
-A group holds about `group_rows` pieces and passes on at most `carry` underfull bins
-(the emptiest); the rest are emitted as they stand, so no group grows with the input.
+A group holds about `group_rows` pieces. Where a merged group would hold more than twice
+as many (the input has more pieces than fit each other, such as long ones alone), items are
+dealt anew into as many groups as that takes, by a hash of bin and round, so each round
+meets other partners. Rounds without a merge go on until one makes less than a share `gain`
+of the bins vanish; the last emits all. So no group grows with the input and no bin is
+emitted half empty before a whole round over random partners could not fill it.
 
 Edge cases: a null or empty text is the end token alone (one piece of length 1); a text
 of any length is cut, never truncated; repeated rows are packed once per row; an empty
@@ -20,6 +24,7 @@ table gives an empty result; further input columns are ignored.
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -107,7 +112,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
-def packed(parts: DataFrame, capacity: int = 1024, slack: int = 8, group_rows: int = 40_000, fan: int = 4, carry: int = 20_000) -> DataFrame:
+def packed(parts: DataFrame, capacity: int = 1024, slack: int = 8, group_rows: int = 40_000, fan: int = 4, gain: float = 0.01) -> DataFrame:
     """parts (PIECES) with sequence_id and offset."""
     parts = stored(parts, "pieces")
     groups = pieces(parts.count(), group_rows)
@@ -123,26 +128,34 @@ def packed(parts: DataFrame, capacity: int = 1024, slack: int = 8, group_rows: i
         first = np.concatenate([[True], own[1:] != own[:-1]])
         item = np.cumsum(first) - 1
         bins, offsets, fill = best_fit(table.column("fill").to_numpy()[first], capacity)
-        done = np.ones(len(fill), bool)
-        if not last:
-            done = fill >= capacity - slack
-            done[np.flatnonzero(~done)[np.argsort(fill[~done], kind="stable")[carry:]]] = True
+        done = np.full(len(fill), last) | (fill >= capacity - slack)
         node = int(table.column("node")[0].as_py())
         bin_of = bins[item]
         columns = {c: table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "node")}
-        columns |= {"bin": pa.array((level << 57) + (node << 28) + bin_of), "offset": pa.array(before + offsets[item]), "fill": pa.array(fill[bin_of]), "done": pa.array(done[bin_of])}
+        columns |= {"bin": pa.array((level << 53) + (node << 28) + bin_of), "offset": pa.array(before + offsets[item]), "fill": pa.array(fill[bin_of]), "done": pa.array(done[bin_of])}
         return pa.table(columns)
 
-    # Row numbers within a key keep repeated rows apart: each row is an item of its own.
-    items = parts.withColumns({"node": F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)), "bin": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "fill": F.col("length"), "done": F.lit(False)})
+    # Row numbers keep repeated rows apart, also in their groups: each row is an item of its own.
+    items = parts.withColumns({"bin": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "fill": F.col("length"), "done": F.lit(False)})
+    items = items.withColumn("node", F.pmod(F.xxhash64("doc_id", "piece", "start", "bin"), F.lit(groups)))
+    last = groups == 1
+    bins: float = math.inf
     while True:
-        last = groups == 1
         made = stored(items.groupBy("node").applyInArrow(packer(last, level), PACKED), f"packed{level}")
-        found.append(made if last else made.filter("done"))
+        found.append(made.filter("done"))
         if last:
             break
-        groups, level = pieces(groups, fan), level + 1
-        items = made.filter("not done").withColumn("node", F.floor(F.col("node") / fan))
+        level += 1
+        # Every bin has one piece at offset 0.
+        items = made.filter("not done")
+        rows, held = items.agg(F.count(F.lit(1)), F.count_if(F.col("offset") == 0)).first()
+        if not held:
+            break
+        tree, least = pieces(groups, fan), pieces(rows, 2 * group_rows)
+        node = F.floor(F.col("node") / fan) if tree >= least else F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(least))
+        last = max(tree, least) == 1 or (least >= groups and held > (1 - gain) * bins)
+        groups, bins = max(tree, least), held
+        items = items.withColumn("node", node)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -570,6 +570,24 @@ def test_best_fit_takes_the_tightest_bin():
     assert fill.max() <= 10 and len(fill) == 3 and bins[2] == bins[1] and offsets[2] == 7
 
 
+def test_packing_keeps_underfull_bins_until_no_round_helps(spark):
+    def parts(sizes, doc="id"):
+        return spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "id long, length long").selectExpr(f"{doc} AS doc_id", "0 AS piece", "0L AS start", "length", "0L AS ids_crc32")
+
+    # More long pieces than a group may hold, the short ones of which only every eighth piece is one.
+    rng = np.random.default_rng(3)
+    sizes = [int(rng.integers(60, 100) if k % 8 == 0 else rng.integers(540, 900)) for k in range(3000)]
+    made = packing.packed(parts(sizes), group_rows=100).collect()
+    whole = len(packing.best_fit(np.array(sizes), 1024)[2])
+    filled = collections.Counter()
+    for r in made:
+        filled[r["sequence_id"]] += r["length"]
+    assert len(made) == 3000 and max(filled.values()) <= 1024 and len(filled) <= 1.01 * whole
+    # Nothing fits anything; one document holds all rows.
+    made = packing.packed(parts([600] * 500, "7L"), group_rows=50).collect()
+    assert len(made) == 500 == len({r["sequence_id"] for r in made}) and {r["offset"] for r in made} == {0}
+
+
 # --- 9: licenses
 
 
