@@ -40,6 +40,17 @@ def mark_pair_context(window: int, first: str, second: str, first_mark: str, sec
     return F.concat(f"{first}_before", F.lit(f"[{first_mark}]"), f"{first}_text_span", F.lit(f"[/{first_mark}]"), between, F.lit(f"[{second_mark}]"), f"{second}_text_span", F.lit(f"[/{second_mark}]"), F.substring(f"{second}_after", 1, window))
 
 
+def marked_tokens(marked: Column, most: int) -> Column:
+    """The first `most` tokens of a marked text: markers, words and single other characters."""
+    return F.slice(F.regexp_extract_all(marked, F.lit(r"\[/?E[12]\]|\w+|[^\w\s]"), F.lit(0)), 1, most)
+
+
+def keeps_markers(tokens: Column, *markers: str) -> Column:
+    """Whether both opening markers (or those given) are among the tokens, so that no cut has lost one."""
+    kept = [F.array_contains(tokens, m) for m in markers or ("[E1]", "[E2]")]
+    return F.coalesce(F.array_size(F.filter(F.array(*kept), lambda x: x)) == len(kept), F.lit(False))
+
+
 def parse_label(response: Column, labels: list[str] = LABELS) -> Column:
     """The first line as a label: equal but for case, else the longest label that it holds, else NA."""
     line = F.lower(F.trim(F.split_part(response, F.lit("\n"), F.lit(1))))

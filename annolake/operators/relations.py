@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annolake.schema import LABELS, PREDICATES
+
 SIDES = ("subject", "object")
 
 
@@ -72,6 +74,11 @@ def completed(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return relations
 
 
+def legal(relations: DataFrame) -> DataFrame:
+    """Relations, of mentions or concepts, whose labels and predicate are all of the scheme; a null one is not."""
+    return relations.filter(F.col("subject_label").isin(LABELS) & F.col("object_label").isin(LABELS) & F.col("predicate").isin(PREDICATES))
+
+
 def mention_level(relations: DataFrame) -> DataFrame:
     return relations.select("paper_id", "subject_text_span", "subject_label", "predicate", "object_text_span", "object_label").distinct()
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annolake.operators import ensemble, merge, scoring, spans
+from annolake.operators.relations import legal as legal_relations
 from annolake.plans.oracle import LABEL_LIST, hashed
 from annolake.plans.registry import query
+from annolake.schema import PREDICATES
 from annolake.sources import fixtures as fx
 
 SPAN = spans.SPAN
@@ -188,6 +190,35 @@ def corpus_merge_last_wins(spark, sf_dir):
     return spans.last_wins(files, ["paper_id"], ["m"]).select("paper_id", "m", "n")
 
 
+ODD_RELATION = {"subject_label": "CASE WHEN subject_start_idx % 7 = 0 THEN 'disease' ELSE subject_label END", "predicate": "CASE WHEN object_start_idx % 5 = 0 THEN 'causes' ELSE predicate END"}
+PREDICATE_LIST = "[" + ", ".join(f"'{p}'" for p in PREDICATES) + "]"
+
+
+def illegal_relations_sql(keys: str) -> str:
+    odd = ", ".join(f"{x} AS {c}" for c, x in ODD_RELATION.items())
+    legal = f"list_contains({LABEL_LIST}, subject_label) AND list_contains({LABEL_LIST}, object_label) AND list_contains({PREDICATE_LIST}, predicate)"
+    return f"SELECT CAST(m AS BIGINT) AS m, count(*) AS n, CAST(sum(CASE WHEN {legal} THEN 0 ELSE 1 END) AS BIGINT) AS illegal FROM (SELECT DISTINCT m, {keys} FROM (SELECT * REPLACE ({odd}) FROM ({full_sql('pred_relations')}))) GROUP BY m"
+
+
+def illegal_relations(spark, sf_dir, keys):
+    odd = full(spark, sf_dir, fx.pred_relations(spark, sf_dir)).selectExpr("*", *(f"{x} AS odd_{c}" for c, x in ODD_RELATION.items()))
+    own = odd.drop(*ODD_RELATION).withColumnsRenamed({f"odd_{c}": c for c in ODD_RELATION}).select("m", *keys.split(", ")).distinct()
+    kept = legal_relations(own).groupBy("m").agg(F.count(F.lit(1)).alias("kept"))
+    return own.groupBy("m").agg(F.count(F.lit(1)).alias("n")).join(kept, "m", "left").select(F.col("m").cast("long").alias("m"), "n", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("illegal"))
+
+
+@query(illegal_relations_sql(MENTION))
+def illegal_mention_relations(spark, sf_dir):
+    """How many mention-level relations the label and predicate filter removes; some are made illegal first."""
+    return illegal_relations(spark, sf_dir, MENTION)
+
+
+@query(illegal_relations_sql(CONCEPT))
+def illegal_concept_relations(spark, sf_dir):
+    """The same of concept-level relations."""
+    return illegal_relations(spark, sf_dir, CONCEPT)
+
+
 # --- ensembles
 
 VOTES = """, w(m, weight) AS (VALUES (0, 0.5), (1, 0.25), (2, 0.25)), cast_votes AS (SELECT d.*, w.weight FROM dedup d JOIN w USING (m)),

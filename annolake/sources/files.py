@@ -126,5 +126,42 @@ def read_sidecar(path: str) -> dict:
     return held.get("run_config", held)
 
 
+def read_prompts(path: str, system: str = "base", user: str = "base") -> tuple[str, str]:
+    """System prompt and user template of a JSON file, each by its key; an unknown key raises KeyError."""
+    with open(path, encoding="utf-8") as lines:
+        held = json.load(lines)
+    return held["system_prompts"][system], held["user_prompts"][user]
+
+
+#: Tables of a stored knowledge base.
+KNOWLEDGE = ("by_text", "by_label", "definitions")
+
+
+def write_knowledge_base(folder: str, by_text: DataFrame, by_label: DataFrame, definitions: DataFrame) -> None:
+    """The exact-match tables (see linking.known_uris) and definition_id, uri; each a table in the folder."""
+    for name, table in zip(KNOWLEDGE, (by_text, by_label, definitions), strict=True):
+        table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def read_knowledge_base(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in KNOWLEDGE}
+
+
+def read_knowledge_base_json(spark: SparkSession, by_text: str, by_label: str, definitions: str) -> dict[str, DataFrame]:
+    """The same tables of three JSON objects: text to uris, '["text", "label"]' to uris, definition to uri."""
+
+    def entries(path: str, value: str) -> DataFrame:
+        raw = spark.read.text(path, wholetext=True)
+        return raw.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "held"))
+
+    uris = [F.array_sort("held").alias("uris"), F.array_min("held").alias("uri")]
+    pair = F.from_json("key", "array<string>")
+    return {
+        "by_text": entries(by_text, "array<string>").select(F.col("key").alias("text_norm"), *uris),
+        "by_label": entries(by_label, "array<string>").select(pair[0].alias("text_norm"), pair[1].alias("label"), *uris),
+        "definitions": entries(definitions, "string").select(F.col("key").alias("definition_id"), F.col("held").alias("uri")),
+    }
+
+
 def struct_of(schema: str) -> T.StructType:
     return T.StructType.fromDDL(schema)

@@ -327,3 +327,35 @@ def test_relations_from_context_are_those_of_whole_texts(spark):
     seen = {(r["subject_ord"], r["object_ord"]): r["x"] for r in pairs.select("subject_ord", "object_ord", mark_pair_context(5, "subject", "object", "E1", "E2").alias("x")).collect()}
     assert seen[0, 1] == "[E1]alpha[/E1] é [E2]beta[/E2], gam"
     assert seen[2, 3] == "eta, [E1]gamma[/E1] xxxx … xxxx [E2]delta[/E2]"
+
+
+def test_illegal_relations_go(spark):
+    rows = [("drug", "interact", "drug"), ("disease", "interact", "drug"), ("drug", "interact", "NA"), ("drug", "causes", "drug"), (None, "interact", "drug"), ("drug", None, "drug")]
+    made = relations.legal(spark.createDataFrame(rows, "subject_label string, predicate string, object_label string"))
+    assert [tuple(r) for r in made.collect()] == rows[:1]
+
+
+def test_samples_that_lost_a_marker_go(spark):
+    from annolake.functions.text import keeps_markers, marked_tokens
+
+    texts = [("[E1]a b[/E1] c [E2]d[/E2]",), ("one two three four [E1]a[/E1] [E2]b[/E2]",), ("",), (None,)]
+    kept = spark.createDataFrame(texts, "x string").select(keeps_markers(marked_tokens(F.col("x"), 6)).alias("k"), keeps_markers(marked_tokens(F.col("x"), 50)).alias("all"))
+    assert [tuple(r) for r in kept.collect()] == [(True, True), (False, True), (False, False), (False, False)]
+
+
+def test_knowledge_base_and_prompts_round_trip(spark, tmp_path):
+    found = spark.createDataFrame([("Gut ", "human", "u2"), ("gut", "human", "u1"), ("gut", "food", "u3"), ("x", "food", None)], "text_span string, label string, uri string")
+    tables = [linking.known_uris(found, ["text_norm"]), linking.known_uris(found, ["text_norm", "label"]), spark.createDataFrame([("d1", "u1")], "definition_id string, uri string")]
+    files.write_knowledge_base(str(tmp_path / "kb"), *tables)
+    stored = files.read_knowledge_base(spark, str(tmp_path / "kb"))
+    (tmp_path / "t").write_text(json.dumps({"gut": ["u2", "u1", "u3"]}))
+    (tmp_path / "l").write_text(json.dumps({json.dumps(["gut", "human"]): ["u2", "u1"], json.dumps(["gut", "food"]): ["u3"]}, indent=2))
+    (tmp_path / "d").write_text(json.dumps({"d1": "u1"}))
+    read = files.read_knowledge_base_json(spark, *(str(tmp_path / k) for k in "tld"))
+    for name, table in zip(files.KNOWLEDGE, tables):
+        rows = sorted(map(str, table.select(sorted(table.columns)).collect()))
+        assert rows == [*sorted(map(str, stored[name].select(sorted(table.columns)).collect()))] == sorted(map(str, read[name].select(sorted(table.columns)).collect())) != []
+    (tmp_path / "p").write_text(json.dumps({"system_prompts": {"base": "s", "long": "S"}, "user_prompts": {"base": "u {text}"}}))
+    assert files.read_prompts(str(tmp_path / "p"), "long") == ("S", "u {text}")
+    with pytest.raises(KeyError):
+        files.read_prompts(str(tmp_path / "p"), user="none")
