@@ -55,18 +55,24 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, threshold: float = -1.
     """query_id, id, score, rank: the k nearest by cosine similarity, ties to the smaller id.
 
     queries: query_id, vector; index: id, vector. The index is compared in blocks, each with
-    all queries; queries must be a bounded set (`most` at most), as they are broadcast. Each
-    block keeps k rows a query, so what is ranked at the end is k rows a query and block.
+    all queries. Up to `most` queries are broadcast; more are dealt to blocks of about `most`
+    too, and each pair of blocks meets by a shuffle, so the index is read once a block of
+    queries. Each block keeps k rows a query, so what is ranked at the end is k rows a query
+    and block.
     """
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries: search them in parts")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     unit = lambda v: F.transform(v, lambda x: x.cast("double"))
     q = queries.select("query_id", unit("vector").alias("q"))
     q = q.withColumn("q_norm", F.sqrt(dot("q", "q")))
     x = index.select("id", unit("vector").alias("x"))
     x = x.withColumns({"x_norm": F.sqrt(dot("x", "x")), "block": F.spark_partition_id()})
-    scored = x.join(F.broadcast(q)).withColumn("score", F.try_divide(dot("q", "x"), F.col("q_norm") * F.col("x_norm"))).filter(F.col("score") >= threshold)
+    if queries.limit(most + 1).count() <= most:
+        pairs = x.join(F.broadcast(q))
+    else:
+        parts, blocks = -(-queries.count() // most), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        own, every = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+        pairs = x.withColumn("block", own("id", blocks)).withColumn("part", every(parts)).join(q.withColumn("part", own("query_id", parts)).withColumn("block", every(blocks)), ["part", "block"])
+    scored = pairs.withColumn("score", F.try_divide(dot("q", "x"), F.col("q_norm") * F.col("x_norm"))).filter(F.col("score") >= threshold)
     order = [F.desc("score"), "id"]
     local = scored.select("query_id", "id", "score", "block").withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).filter(F.col("rank") <= k)
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).drop("block")

@@ -90,7 +90,7 @@ def mre_score(spark, sf_dir):
     """Mention-level relations, distinct tuples, by triple of labels and predicate."""
     keys = MENTION.split(", ")
     gold = full(spark, sf_dir, fx.gold_relations(spark, sf_dir)).select(*keys).distinct()
-    return score(full(spark, sf_dir, fx.pred_relations(spark, sf_dir)).select("m", *keys).distinct(), gold, keys, ["subject_label", "predicate", "object_label"])
+    return score(legal_relations(full(spark, sf_dir, fx.pred_relations(spark, sf_dir))).select("m", *keys).distinct(), gold, keys, ["subject_label", "predicate", "object_label"])
 
 
 @query(score_sql(f"SELECT DISTINCT m, {CONCEPT} FROM ({full_sql('pred_relations')})", f"SELECT DISTINCT {CONCEPT} FROM ({full_sql('gold_relations')})", CONCEPT, "subject_label, predicate, object_label"))
@@ -98,7 +98,7 @@ def cre_score(spark, sf_dir):
     """Concept-level relations."""
     keys = CONCEPT.split(", ")
     gold = full(spark, sf_dir, fx.gold_relations(spark, sf_dir)).select(*keys).distinct()
-    return score(full(spark, sf_dir, fx.pred_relations(spark, sf_dir)).select("m", *keys).distinct(), gold, keys, ["subject_label", "predicate", "object_label"])
+    return score(legal_relations(full(spark, sf_dir, fx.pred_relations(spark, sf_dir))).select("m", *keys).distinct(), gold, keys, ["subject_label", "predicate", "object_label"])
 
 
 @query(f", board AS ({score_sql('SELECT * FROM clean', 'SELECT * FROM gold', S5, 'label').lstrip(',').replace('hits AS', 'WITH hits AS', 1)}) SELECT 'model_'||m AS name, * EXCLUDE (m), row_number() OVER (ORDER BY micro_f1 DESC, m) AS place FROM board")

@@ -181,8 +181,9 @@ def test_nearest_against_plain_python(spark):
     for q in range(4):
         best = sorted(vectors, key=lambda v: (-cos(vectors[q][1], v[1]), v[0]))[:3]
         assert [found[(q, k)] for k in (1, 2, 3)] == [b[0] for b in best]
-    with pytest.raises(ValueError):
-        linking.nearest(df.withColumnRenamed("id", "query_id"), df, 3, most=10)
+    every = df.withColumnRenamed("id", "query_id")
+    rows = [sorted(map(tuple, linking.nearest(every, df, 3, most=most).select("query_id", "rank", "id").collect())) for most in (10, 1000)]
+    assert rows[0] == rows[1] and len(rows[0]) == 3 * df.count()
 
 
 def test_pairs_and_gates(spark):
