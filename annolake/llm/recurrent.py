@@ -24,10 +24,9 @@ SHAPES = {"emb": (VOCABULARY, 3 * HIDDEN), "rec": (HIDDEN, 3 * HIDDEN), "wc": (H
 
 
 def initial(counts: np.ndarray) -> Weights:
-    """Weights before training. counts: of each vocabulary number, 0 where it is not used."""
+    """Weights before training. counts: of each vocabulary number, 0 where it is not used; more numbers than the vocabulary has are folded onto it."""
     rng = np.random.default_rng(11)
-    mass = np.zeros(VOCABULARY)
-    mass[: len(counts)] = np.where(counts > 0, counts, 0)
+    mass = np.bincount(np.arange(len(counts)) % VOCABULARY, np.maximum(counts, 0), minlength=VOCABULARY)
     mass = np.maximum(mass, 1e-30).reshape(CLASSES, MEMBERS)
     w = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
     w["emb"] = rng.normal(0, 0.3, SHAPES["emb"]).astype(np.float32)
