@@ -46,8 +46,12 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
+#: Bytes of a posting: its document's place in the block (2), its frequency (4), its document's length (4); kept as three arrays, one behind the other.
+POSTING = 10
+
+
 def list_rows(block: int, ids: list, found: list[Counter]) -> Iterator[pa.RecordBatch]:
-    """A row for the documents (term null) and one for each term: places, frequencies, and lengths of the documents."""
+    """A row for the documents (term null) and one for each term, with its postings."""
     order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
     found, ids = [found[k] for k in order], [ids[k] for k in order]
     size = np.array([c.total() for c in found], np.int64)
@@ -59,20 +63,18 @@ def list_rows(block: int, ids: list, found: list[Counter]) -> Iterator[pa.Record
     ends = np.cumsum(np.bincount(term, minlength=len(number)))
     place, tf = place[by_term].astype(np.uint16), tf[by_term]
     n = np.minimum(size[place], 2**32 - 1).astype(np.uint32)
-    yield pa.record_batch([pa.array([block]), pa.array([None], pa.string()), pa.array([len(ids)]), pa.array([int(size.sum())]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([ids], pa.list_(pa.int64()))], NAMES)
+    yield pa.record_batch([pa.array([block]), pa.array([None], pa.string()), pa.nulls(1, pa.binary()), pa.array([int(size.sum())]), pa.array([ids], pa.list_(pa.int64()))], NAMES)
     names, starts = list(number), ends - np.diff(ends, prepend=0)
     for k in range(0, len(names), 10_000):
-        a, b = starts[k : k + 10_000].tolist(), ends[k : k + 10_000].tolist()
-        cut = lambda x: pa.array([x[p:q].tobytes() for p, q in zip(a, b)], pa.binary())  # noqa: B023, E731
-        rows = len(a)
-        yield pa.record_batch([pa.array([block] * rows), pa.array([t.decode() for t in names[k : k + 10_000]]), pa.array([q - p for p, q in zip(a, b)]), pa.nulls(rows, pa.int64()), cut(place), cut(tf), cut(n), pa.nulls(rows, pa.list_(pa.int64()))], NAMES)
+        own = [place[p:q].tobytes() + tf[p:q].tobytes() + n[p:q].tobytes() for p, q in zip(starts[k : k + 10_000].tolist(), ends[k : k + 10_000].tolist())]
+        yield pa.record_batch([pa.array([block] * len(own)), pa.array([t.decode() for t in names[k : k + 10_000]]), pa.array(own, pa.binary()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.list_(pa.int64()))], NAMES)
 
 
-NAMES = ["block", "term", "held", "length", "places", "tf", "n", "ids"]
+NAMES = ["block", "term", "postings", "length", "ids"]
 
 
 def posting_lists(docs: DataFrame) -> DataFrame:
-    """block, term, held, places, tf, n of every term of a block; the block's documents in a row without a term."""
+    """block, term, postings of every term of a block; the block's documents (ids, and length: their terms in all) in a row without a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         block, ids, found, postings = TaskContext.get().partitionId() << 32, [], [], 0
@@ -90,7 +92,7 @@ def posting_lists(docs: DataFrame) -> DataFrame:
         if ids:
             yield from list_rows(block, ids, found)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "block long, term string, held long, length long, places binary, tf binary, n binary, ids array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "block long, term string, postings binary, length long, ids array<long>")
 
 
 def impact_slices(impact: np.ndarray) -> tuple[int, bytes]:
@@ -101,29 +103,31 @@ def impact_slices(impact: np.ndarray) -> tuple[int, bytes]:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """block, term, held, places (16-bit numbers of documents in the block), slices, bits; a row without a term has the block's ids.
+    """block, term, places (16-bit numbers of documents in the block), slices, bits; a row without a term has the block's ids.
 
     docs: doc_id, text. Every term of every document is indexed; only a term of weight 0 has no slices, and no row.
     """
     lists = stored(posting_lists(docs), "lists")
-    total, length = lists.filter("term is null").agg(F.sum("held"), F.sum("length")).first()
+    total, length = lists.filter("term is null").agg(F.sum(F.size("ids")), F.sum("length")).first()
     total, length = total or 0, length or 1
-    weights = lists.filter("term is not null").groupBy("term").agg(F.sum("held").alias("df")).select("term", F.floor(1000 * F.log((2 * total + 2) / (2 * F.col("df") + 1))).cast("long").alias("w"))
+    counted = lists.filter("term is not null").groupBy("term").agg(F.sum(F.octet_length("postings") / POSTING).cast("long").alias("df"))
+    weights = counted.select("term", F.floor(1000 * F.log((2 * total + 2) / (2 * F.col("df") + 1))).cast("long").alias("w")).filter("w > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, 20_000):
-                tf, n = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint32).astype(np.int64) for k in (4, 5))
-                held = part.column(2).to_numpy()
+                data = part.column(2).to_pylist()
+                held = np.array([len(x) for x in data]) // POSTING
+                places = [x[: 2 * h] for x, h in zip(data, held.tolist())]
+                tf, n = (np.frombuffer(b"".join(x[(4 * k + 2) * h : (4 * k + 6) * h] for x, h in zip(data, held.tolist())), np.uint32).astype(np.int64) for k in (0, 1))
                 m = 50 + (50 * n * total) // length
-                impact = np.repeat(part.column(6).to_numpy(), held) * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
+                impact = np.repeat(part.column(3).to_numpy(), held) * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
                 ends = np.cumsum(held)
                 made = [impact_slices(impact[b - h : b]) for h, b in zip(held.tolist(), ends.tolist())]
-                yield pa.record_batch([*(part.column(k) for k in range(4)), pa.array([x for x, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary()), pa.nulls(part.num_rows, pa.list_(pa.int64()))], ["block", "term", "held", "places", "slices", "bits", "ids"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(places, pa.binary()), pa.array([x for x, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary()), pa.nulls(part.num_rows, pa.list_(pa.int64()))], ["block", "term", "places", "slices", "bits", "ids"])
 
-    sliced = lists.filter("term is not null").join(weights.filter("w > 0"), "term").select("block", "term", "held", "places", "tf", "n", "w")
-    sliced = map_arrow(sliced, run, "block long, term string, held long, places binary, slices int, bits binary, ids array<long>")
-    blocks = lists.filter("term is null").select("block", "term", "held", "places", F.lit(None).cast("int").alias("slices"), F.lit(None).cast("binary").alias("bits"), "ids")
+    sliced = map_arrow(lists.filter("term is not null").select("block", "term", "postings").join(weights, "term").select("block", "term", "postings", "w"), run, "block long, term string, places binary, slices int, bits binary, ids array<long>")
+    blocks = lists.filter("term is null").select("block", "term", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("int").alias("slices"), F.lit(None).cast("binary").alias("bits"), "ids")
     return stored(sliced.unionByName(blocks), "impact-index")
 
 
@@ -198,12 +202,12 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     items, wanted, batches = query_terms(index.sparkSession, queries)
     wanted = stored(wanted, "wanted")
     few = wanted.count() <= BROADCAST_ROWS // 10
-    lists = index.filter("term is not null").join(F.broadcast(wanted) if few else wanted, "term").select("block", "batch", "held", "places", "slices", "bits", "ids", "items")
+    lists = index.filter("term is not null").join(F.broadcast(wanted) if few else wanted, "term").select("block", "batch", "places", "slices", "bits", "ids", "items")
     blocks = index.filter("term is null").withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)).cast("array<bigint>")))
-    both = lists.unionByName(blocks.select("block", "batch", "held", "places", "slices", "bits", "ids", F.lit(None).cast("array<int>").alias("items")))
+    both = lists.unionByName(blocks.select("block", "batch", "places", "slices", "bits", "ids", F.lit(None).cast("array<int>").alias("items")))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.drop_columns(["block", "held"]).to_pylist()
+        rows = table.drop_columns(["block"]).to_pylist()
         ids = next(r["ids"] for r in rows if r["items"] is None)
         own: dict[int, list[np.ndarray]] = {}
         for r in rows:
