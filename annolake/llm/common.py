@@ -52,11 +52,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_scratch[key]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/annolake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

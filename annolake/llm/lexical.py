@@ -107,7 +107,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text. Every term of every document is indexed; only a term of weight 0 has no slices, and no row.
     """
-    lists = stored(posting_lists(docs), "lists")
+    lists = stored(posting_lists(docs), "lists", "zstd")
     total, length = lists.filter("term is null").agg(F.sum(F.size("ids")), F.sum("length")).first()
     total, length = total or 0, length or 1
     counted = lists.filter("term is not null").groupBy("term").agg(F.sum(F.octet_length("postings") / POSTING).cast("long").alias("df"))
@@ -128,7 +128,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     sliced = map_arrow(lists.filter("term is not null").select("block", "term", "postings").join(weights, "term").select("block", "term", "postings", "w"), run, "block long, term string, places binary, slices int, bits binary, ids array<long>")
     blocks = lists.filter("term is null").select("block", "term", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("int").alias("slices"), F.lit(None).cast("binary").alias("bits"), "ids")
-    return stored(sliced.unionByName(blocks), "impact-index")
+    return stored(sliced.unionByName(blocks), "impact-index", "zstd")
 
 
 def spread(places: np.ndarray, slices: int, bits: bytes, docs: int) -> np.ndarray:
