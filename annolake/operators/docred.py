@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annolake.operators.intervals import at_or_before, held
+
 SENTENCE = r"[^.!?]+[.!?]*\s*|[.!?]+\s*"
 
 
@@ -17,7 +19,7 @@ def split_tokens(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """paper_id, location, s, e, tok: tokens without white space, cut where an entity starts or ends within."""
     cuts = entities.select("paper_id", "location", F.explode(F.array(F.col("start_idx"), F.col("end_idx") + 1)).alias("cut")).distinct()
     solid = tokens.filter(r"tok rlike '\\S'")
-    inner = solid.join(cuts, ["paper_id", "location"]).filter("cut > s and cut < e").groupBy("paper_id", "location", "s").agg(F.collect_set("cut").alias("cuts"))
+    inner = at_or_before(cuts, F.col("cut") - 1, solid, "s", {"s": "s", "e": "e"}).filter("cut < e").groupBy("paper_id", "location", "s").agg(F.collect_set("cut").alias("cuts"))
     places = F.array_sort(F.concat(F.array("s", "e"), F.coalesce("cuts", F.array().cast("array<int>"))))
     parts = solid.join(inner, ["paper_id", "location", "s"], "left").withColumn("p", places)
     made = parts.select("paper_id", "location", F.col("s").alias("first"), "tok", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.struct(F.element_at("p", k).alias("s"), F.element_at("p", k + 1).alias("e")))).alias("x"))
@@ -26,24 +28,24 @@ def split_tokens(tokens: DataFrame, entities: DataFrame) -> DataFrame:
 
 def merged_sentences(sentences: DataFrame, entities: DataFrame) -> DataFrame:
     """paper_id, location, sent_id, s, e: sentences (i, s, e), merged wherever an entity crosses an end."""
-    crossed = sentences.join(entities.select("paper_id", "location", "start_idx", "end_idx"), ["paper_id", "location"]).filter("start_idx < e and end_idx >= e").select("paper_id", "location", "i").distinct().withColumn("cut", F.lit(1))
+    crossed = held(sentences, F.col("e") - 1, entities, "start_idx", "end_idx", "reach").withColumn("cut", F.when(F.col("reach") >= F.col("e"), 1))
     section = Window.partitionBy("paper_id", "location").orderBy("i")
-    marked = sentences.join(crossed, ["paper_id", "location", "i"], "left").withColumn("begins", F.when(F.lag("cut").over(section) == 1, 0).otherwise(1))
+    marked = crossed.withColumn("begins", F.when(F.lag("cut").over(section) == 1, 0).otherwise(1))
     marked = marked.withColumn("sent_id", F.sum("begins").over(section.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     return marked.groupBy("paper_id", "location", "sent_id").agg(F.min("s").alias("s"), F.max("e").alias("e"))
 
 
 def sentence_tokens(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
     """Tokens with sent_id and pos, their rank in the sentence."""
-    inside = tokens.join(sentences.select("paper_id", "location", "sent_id", F.col("s").alias("from_s"), F.col("e").alias("to_e")), ["paper_id", "location"]).filter("s >= from_s and e <= to_e")
-    return inside.withColumn("pos", F.row_number().over(Window.partitionBy("paper_id", "location", "sent_id").orderBy("s")) - 1).drop("from_s", "to_e")
+    inside = at_or_before(tokens, "s", sentences, "s", {"sent_id": "sent_id", "_to": "e"}).filter("e <= _to").drop("_to")
+    return inside.withColumn("pos", F.row_number().over(Window.partitionBy("paper_id", "location", "sent_id").orderBy("s")) - 1)
+
 
+def placed_entities(entities: DataFrame, tokens: DataFrame, mode: str = "drop") -> DataFrame:
+    """Entities with sent_id, first and end (exclusive) place; each boundary is a token's boundary. Others go, or (strict) are an error; see `rejects.placed_entities`."""
+    from annolake.operators import rejects
 
-def placed_entities(entities: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Entities with sent_id, first and end (exclusive) place; each boundary is a token's boundary."""
-    starts = tokens.select("paper_id", "location", F.col("s").alias("start_idx"), "sent_id", F.col("pos").alias("first"))
-    ends = tokens.select("paper_id", "location", (F.col("e") - 1).alias("end_idx"), "sent_id", (F.col("pos") + 1).alias("end"))
-    return entities.join(starts, ["paper_id", "location", "start_idx"]).join(ends, ["paper_id", "location", "end_idx", "sent_id"])
+    return rejects.routed(rejects.placed_entities(entities, tokens), "placed_entities", mode)[0]
 
 
 def nested(entities: DataFrame, tokens: DataFrame) -> DataFrame:

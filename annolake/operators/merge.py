@@ -17,12 +17,11 @@ def missing(terms: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def merged(terms: DataFrame, classes: DataFrame, mode: str = "ignore", include_na: bool = False) -> DataFrame:
-    """SPAN, label, confscore; of several labels of a span the last counts. strict: terms without one are an error, raised at once."""
-    if MODES[mode.lower()] == "strict":
-        lost = missing(terms, classes).select(*SPAN).limit(1).collect()
-        if lost:
-            raise ValueError(f"no label for {tuple(lost[0])}")
-    made = terms.select(*SPAN).join(last_wins(classes, SPAN, ["ord"]).select(*SPAN, "label", "confscore"), SPAN)
+    """SPAN, label, confscore; of several labels of a span the last counts. strict: a term without one is an error of the job."""
+    from annolake.operators import rejects
+
+    known = rejects.labelled(terms.select(*SPAN), last_wins(classes, SPAN, ["ord"]))
+    made = rejects.routed(known, "merged", "strict" if MODES[mode.lower()] == "strict" else "drop")[0]
     return made if include_na else made.filter("label <> 'NA'")
 
 

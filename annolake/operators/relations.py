@@ -17,9 +17,9 @@ def sides(entities: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
     return tuple(entities.select("paper_id", "location", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in SIDES)
 
 
-def forward_pairs(entities: DataFrame) -> DataFrame:
-    """Pairs of one section, the subject before the object in the list."""
-    subjects, objects = sides(entities)
+def forward_pairs(entities: DataFrame, *extra: str) -> DataFrame:
+    """Pairs of one section, the subject before the object in the list, with `extra` columns of both."""
+    subjects, objects = sides(entities, *extra)
     return subjects.join(objects, ["paper_id", "location"]).filter("subject_ord < object_ord")
 
 
@@ -63,15 +63,11 @@ def negatives(pairs: DataFrame, relations: DataFrame, multiplier: int, order: Co
     return ranked.join(room, "paper_id").filter("_n <= _room").drop("_n", "_room")
 
 
-def completed(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations with uri and text of both ends; the first entity of a span counts, unmatched relations go."""
-    from annolake.operators.spans import SPAN, first_wins
+def completed(relations: DataFrame, entities: DataFrame, mode: str = "drop") -> DataFrame:
+    """Relations with uri and text of both ends; the first entity of a span counts. Unmatched relations go, or (strict) are an error; see `rejects.completed` to keep them."""
+    from annolake.operators import rejects
 
-    first = first_wins(entities, SPAN, ["ord"])
-    for side in SIDES:
-        own = first.select("paper_id", "location", *(F.col(c).alias(f"{side}_{c}") for c in ("start_idx", "end_idx", "uri", "text_span")))
-        relations = relations.join(own, ["paper_id", "location", f"{side}_start_idx", f"{side}_end_idx"])
-    return relations
+    return rejects.routed(rejects.completed(relations, entities, SIDES), "completed", mode)[0]
 
 
 def legal(relations: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annolake.operators.intervals import held, touched
+
 WHITESPACE = r"\s+|\S+"
 GLINER = r"[\p{L}\p{N}_]+|[.,!?;:'\"()\[\]{}<>]|\s+|\S"
 
@@ -25,15 +27,29 @@ def solid(tokens: DataFrame) -> DataFrame:
 
 
 def ngrams(tokens: DataFrame, most: int) -> DataFrame:
-    """Spans (start_idx, end_idx, n) of 1 to `most` words, by `most` leads over the section."""
+    """Spans (start_idx, end_idx, n) of 1 to `most` words, by `most` leads over the section; `opens` and `closes` are their first and last characters."""
     section = Window.partitionBy("paper_id", "location").orderBy("i")
-    led = tokens.withColumns({f"end{n}": F.lead("e", n - 1).over(section) for n in range(1, most + 1)})
+    ended = tokens.withColumn("_end", F.struct("e", F.right("tok", F.lit(1)).alias("closes")))
+    led = ended.withColumns({f"end{n}": F.lead("_end", n - 1).over(section) for n in range(1, most + 1)})
     ends = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"end{n}").alias("end")) for n in range(1, most + 1)])
-    made = led.select("paper_id", "location", F.col("s").alias("start_idx"), F.inline(ends)).filter("end is not null")
-    return made.select("paper_id", "location", "start_idx", (F.col("end") - 1).alias("end_idx"), "n")
+    made = led.select("paper_id", "location", F.col("s").alias("start_idx"), F.left("tok", F.lit(1)).alias("opens"), F.inline(ends)).filter("end is not null")
+    return made.select("paper_id", "location", "start_idx", (F.col("end.e") - 1).alias("end_idx"), "n", "opens", "end.closes")
 
 
 def covered_tokens(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """first and last token (and label) of each entity: the tokens that it touches."""
-    met = tokens.join(entities.select("paper_id", "location", "start_idx", "end_idx", "ord", "label"), ["paper_id", "location"]).filter("s <= end_idx and e - 1 >= start_idx")
-    return met.groupBy("paper_id", "location", "start_idx", "end_idx", "ord", "label").agg(F.min("i").alias("first_tok"), F.max("i").alias("last_tok"))
+    own = entities.select("paper_id", "location", "start_idx", "end_idx", "ord", "label")
+    return touched(own, "start_idx", "end_idx", tokens.select("paper_id", "location", "i", "s", "e"), "i").withColumnsRenamed({"first": "first_tok", "last": "last_tok"})
+
+
+def free_spans(spans: DataFrame, entities: DataFrame) -> DataFrame:
+    """spans that share no character with an entity: none that begins by their end ends at or after their start."""
+    met = held(spans, "end_idx", entities, "start_idx", "end_idx", "_reach")
+    return met.filter("_reach is null or _reach < start_idx").drop("_reach")
+
+
+def negative_spans(spans: DataFrame, entities: DataFrame, order: Column, opening: str = "(", closing: str = ")") -> DataFrame:
+    """As many free spans (of `ngrams`) as a paper has entities, in a given order; none that begins with `opening` or ends with `closing`."""
+    some = spans.filter((F.col("opens") != opening) & (F.col("closes") != closing))
+    ranked = free_spans(some, entities).withColumn("_n", F.row_number().over(Window.partitionBy("paper_id").orderBy(order, "location", "start_idx", "end_idx")))
+    return ranked.join(entities.groupBy("paper_id").agg(F.count(F.lit(1)).alias("_room")), "paper_id").filter("_n <= _room").drop("_n", "_room")

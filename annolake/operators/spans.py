@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annolake.operators.intervals import inside
 from annolake.schema import LABELS
 
 SPAN = ["paper_id", "location", "start_idx", "end_idx"]
@@ -96,12 +97,16 @@ def out_of_bounds(spans: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def bio_tags(tokens: DataFrame, entities: DataFrame, typed: bool = False) -> DataFrame:
-    """A tag each token: B where it starts an entity, I inside one, else O; of several, the last entity wins."""
-    tag = F.when(F.col("s") == F.col("start_idx"), "B").otherwise("I")
-    tag = F.concat_ws("-", tag, "label") if typed else tag
-    inside = tokens.alias("t").join(entities.select(*SPAN, "ord", "label").alias("n"), ["paper_id", "location"]).filter("s >= start_idx and e - 1 <= end_idx")
-    found = inside.groupBy("paper_id", "location", "i").agg(F.max_by(tag, "ord").alias("tag"))
-    return tokens.join(found, ["paper_id", "location", "i"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
+    """A tag each token: B where it starts an entity, I inside one, else O; of several, the last entity wins.
+
+    An entity finds its first and last token by a sweep, so the work is the tokens in entities, not the pairs of a section.
+    """
+    tag = F.when(F.col("s") == F.col("_won.start_idx"), "B").otherwise("I")
+    tag = F.concat_ws("-", tag, "_won.label") if typed else tag
+    found = inside(entities.select(*SPAN, "ord", "label"), "start_idx", "end_idx", tokens.select("paper_id", "location", "i", "s", "e"), "i")
+    each = found.select("paper_id", "location", "start_idx", "ord", "label", F.explode(F.sequence("first", "last")).alias("i"))
+    won = each.groupBy("paper_id", "location", "i").agg(F.max_by(F.struct("start_idx", "label"), "ord").alias("_won"))
+    return tokens.join(won, ["paper_id", "location", "i"], "left").withColumn("tag", F.when(F.col("_won").isNull(), "O").otherwise(tag)).drop("_won")
 
 
 def merged_tags(tagged: DataFrame, typed: bool = False) -> DataFrame:
