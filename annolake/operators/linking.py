@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annolake.operators.dense import nearest, nearest_listed  # noqa: F401  linking's vector search
 from annolake.operators.spans import first_wins
 
 #: Spellings of "no concept".
@@ -30,6 +33,25 @@ def cascade(mentions: DataFrame, by_label: DataFrame, by_text: DataFrame) -> Dat
     return made.withColumns({"uri": F.coalesce("_a", "_b", F.lit("NA")), "uri_source": source}).drop("_a", "_b")
 
 
+def routed(mentions: DataFrame, by_label: DataFrame, by_text: DataFrame, search: Callable[[DataFrame], DataFrame], uris: DataFrame, threshold: float) -> DataFrame:
+    """The whole cascade: uri, uri_source (text_label, text, similarity or none) and link_score of each mention.
+
+    A mention leaves at the first stage that knows it. Only the texts that no exact stage knows, each once,
+    reach `search`, which takes them (query_id: the text) and gives query_id, id, score of the nearest
+    definitions; uris: id, uri. Below the threshold, or where the definition has no uri, it is NA.
+    """
+    exact = cascade(mentions, by_label, by_text)
+    rest = F.col("uri_source") == "none"
+    texts = exact.filter(rest & F.col("text_span").isNotNull()).select(F.col("text_span").alias("query_id")).distinct()
+    best = first_wins(search(texts).filter(F.col("score") >= threshold), ["query_id"], [F.desc("score"), "id"])
+    best = best.join(uris.select("id", F.col("uri").alias("_uri")), "id").select(F.col("query_id").alias("_text"), "_uri", "score")
+    # Mentions that are linked already get keys of their own, which no text has, so that they are spread over tasks.
+    key = F.when(rest, F.col("text_span")).otherwise(F.concat(F.lit("\0"), F.xxhash64("paper_id", "start_idx").cast("string")))
+    met = exact.withColumn("_text", key).join(best, "_text", "left")
+    found = F.col("_uri").isNotNull()
+    return met.withColumns({"uri": F.when(found, F.col("_uri")).otherwise(F.col("uri")), "uri_source": F.when(found, "similarity").otherwise(F.col("uri_source")), "link_score": F.when(found, F.col("score"))}).drop("_text", "_uri", "score")
+
+
 def mention_reasons(entities: DataFrame, dictionary: DataFrame) -> DataFrame:
     """name and reason ('counted' or why not) of each mention; the checks come in this order."""
     known = entities.join(dictionary.select(F.col("id").alias("uri"), "name"), "uri", "left")
@@ -51,33 +73,6 @@ def dictionary(rows: DataFrame, order: str) -> DataFrame:
     return first_wins(rows.filter("trim(id) <> '' and trim(name) <> ''"), ["id"], [order])
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, threshold: float = -1.0, most: int = 200_000) -> DataFrame:
-    """query_id, id, score, rank: the k nearest by cosine similarity, ties to the smaller id.
-
-    queries: query_id, vector; index: id, vector. The index is compared in blocks, each with
-    all queries. Up to `most` queries are broadcast; more are dealt to blocks of about `most`
-    too, and each pair of blocks meets by a shuffle, so the index is read once a block of
-    queries. Each block keeps k rows a query, so what is ranked at the end is k rows a query
-    and block.
-    """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda v: F.transform(v, lambda x: x.cast("double"))
-    q = queries.select("query_id", unit("vector").alias("q"))
-    q = q.withColumn("q_norm", F.sqrt(dot("q", "q")))
-    x = index.select("id", unit("vector").alias("x"))
-    x = x.withColumns({"x_norm": F.sqrt(dot("x", "x")), "block": F.spark_partition_id()})
-    if queries.limit(most + 1).count() <= most:
-        pairs = x.join(F.broadcast(q))
-    else:
-        parts, blocks = -(-queries.count() // most), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        own, every = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
-        pairs = x.withColumn("block", own("id", blocks)).withColumn("part", every(parts)).join(q.withColumn("part", own("query_id", parts)).withColumn("block", every(blocks)), ["part", "block"])
-    scored = pairs.withColumn("score", F.try_divide(dot("q", "x"), F.col("q_norm") * F.col("x_norm"))).filter(F.col("score") >= threshold)
-    order = [F.desc("score"), "id"]
-    local = scored.select("query_id", "id", "score", "block").withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).filter(F.col("rank") <= k)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).drop("block")
-
-
 def bm25(queries: DataFrame, documents: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, id, score of documents that share a term. queries: query_id, term; documents: id, term."""
     n = F.count(F.lit(1))

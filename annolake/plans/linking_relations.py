@@ -60,12 +60,20 @@ def link_source_stats(spark, sf_dir):
     return made.groupBy("uri_source").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("uri_source", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
 
 
-@query("SELECT q.vec_id AS query_id, x.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings x WHERE q.vec_id < 20 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) DESC, x.vec_id) <= 5", bare=True)
+@query("SELECT q.vec_id AS query_id, x.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings x WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) DESC, x.vec_id) <= 5", bare=True)
 def link_knn_topk(spark, sf_dir):
-    """The five nearest vectors of a stated query set."""
+    """The five nearest vectors of every vector whose id is divisible by 20."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     index = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return linking.nearest(index.filter("id < 20").withColumnRenamed("id", "query_id"), index, 5).select("query_id", "id", F.round("score", 6).alias("score"))
+    return linking.nearest(index.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), index, 5).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query()
+def link_ivf_topk(spark, sf_dir):
+    """The same through an inverted file: five nearest of those found in the lists that a query opens."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return linking.nearest_listed(index.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), index, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 DICT = "dictionary AS (SELECT DISTINCT uri AS id, 'concept '||CAST(CAST(substr(uri, 2) AS INT) % 90 AS VARCHAR) AS name FROM gold WHERE uri <> '-1' AND CAST(substr(uri, 2) AS INT) % 10 <> 0)"

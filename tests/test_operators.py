@@ -182,7 +182,7 @@ def test_nearest_against_plain_python(spark):
         best = sorted(vectors, key=lambda v: (-cos(vectors[q][1], v[1]), v[0]))[:3]
         assert [found[(q, k)] for k in (1, 2, 3)] == [b[0] for b in best]
     every = df.withColumnRenamed("id", "query_id")
-    rows = [sorted(map(tuple, linking.nearest(every, df, 3, most=most).select("query_id", "rank", "id").collect())) for most in (10, 1000)]
+    rows = [sorted(map(tuple, linking.nearest(every, df, 3, most_bytes=most).select("query_id", "rank", "id").collect())) for most in (10, 64_000_000)]
     assert rows[0] == rows[1] and len(rows[0]) == 3 * df.count()
 
 
@@ -297,14 +297,53 @@ def test_settings():
         config.required({"a": ""}, ["a"])
 
 
+def arrived(tmp_path, number, lines):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    (tmp_path / "in" / f"{number}.json").write_text("\n".join(lines))
+
+
 def test_stream_takes_only_what_is_new(spark, tmp_path):
     source, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     work = lambda df: df.withColumn("size", F.length("text"))
-    for k, lines in enumerate((['{"paper_id": "1", "text": "abc"}', '{"paper_id'], ['{"paper_id": "1", "text": "abc"}', '{"paper_id": "2", "text": "d"}'])):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines))
-        resume.process_new(spark, source, "paper_id string, text string", work, sink, check).awaitTermination()
-    assert sorted((r["paper_id"], r["size"]) for r in spark.read.parquet(sink).collect()) == [("1", 3), ("2", 1)]
+    for k, lines in enumerate((['{"paper_id": "1", "text": "abc"}', '{"paper_id'], ['{"paper_id": "1", "text": "abc"}', '{"paper_id": "2", "text": "d"}', '{"paper_id": "2", "text": "d"}', '{"paper_id": "9", "text": "done"}'])):
+        arrived(tmp_path, k, lines)
+        done = spark.createDataFrame([("9",)], "paper_id string")
+        resume.process_new(spark, source, "paper_id string, text string", work, sink, check, done=done).awaitTermination()
+    assert sorted((r["paper_id"], r["size"]) for r in resume.results(spark, sink).collect()) == [("1", 3), ("2", 1)]
+
+
+def test_stream_killed_between_write_and_commit(spark, tmp_path):
+    """The batch has written all its results when it dies; run again, it replaces them, and later batches still know its keys."""
+    source, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    run = lambda work: resume.process_new(spark, source, "paper_id string, text string", work, sink, check)
+    work = lambda df: df.withColumn("size", F.length("text"))
+
+    class Dying:
+        def __init__(self, df):
+            self.df = work(df)
+
+        @property
+        def write(self):
+            return self
+
+        def mode(self, mode):
+            self.how = mode
+            return self
+
+        def parquet(self, path):
+            self.df.write.mode(self.how).parquet(path)
+            raise RuntimeError("killed")
+
+    arrived(tmp_path, 0, [json.dumps({"paper_id": str(k), "text": "x" * k}) for k in range(50)])
+    with pytest.raises(Exception, match="killed"):
+        run(Dying).awaitTermination()
+    assert resume.results(spark, sink).count() == 50  # written, but not committed
+    arrived(tmp_path, 1, [json.dumps({"paper_id": str(k), "text": "new"}) for k in range(40, 60)])
+    run(work).awaitTermination()
+    run(work).awaitTermination()
+    found = resume.results(spark, sink).collect()
+    assert sorted(int(r["paper_id"]) for r in found) == list(range(60))
+    assert {r["paper_id"]: r["size"] for r in found if int(r["paper_id"]) < 50} == {str(k): k for k in range(50)}
 
 
 def test_relations_from_context_are_those_of_whole_texts(spark):
