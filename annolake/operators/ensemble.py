@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,6 +94,67 @@ def relation_ensemble(predictions: DataFrame, spark: SparkSession, method: str,
     return ensembled(cast, keys, "predicate", ["subject_label", "object_label"], method, weights, explicit, mean_of_winner=True).drop("kind")
 
 
+#: Where a relation stands: places if it has all of them, else texts and labels.
+PLACES = ["subject_start_idx", "subject_end_idx", "subject_location", "object_start_idx", "object_end_idx", "object_location"]
+TEXTS = ["subject_text_span", "subject_label", "object_text_span", "object_label"]
+FIELDS = ["subject_text_span", "subject_label", "subject_uri", "object_text_span", "object_label", "object_uri"]
+
+
+def has_all(*columns: str) -> Column:
+    """Whether every one of the columns is there."""
+    return F.forall(F.array(*[F.col(c).isNotNull() for c in columns]), lambda x: x)
+
+
+def relation_key(relations: DataFrame) -> DataFrame:
+    """relations with pair: struct(by, and the fields of PLACES or of TEXTS; those that don't count are null)."""
+    whole = has_all(*PLACES)
+    own = [F.when(whole, F.col(c)).alias(c) for c in PLACES] + [F.when(~whole, F.col(c)).alias(c) for c in TEXTS]
+    return relations.withColumn("pair", F.struct(F.when(whole, "places").otherwise("texts").alias("by"), *own))
+
+
+def placed_votes(keyed: DataFrame) -> DataFrame:
+    """Votes by texts with the pair of places that has the same texts in the paper, where there is just one; with none, or several, they stay as they are.
+
+    Several pairs of places with one text are told apart by nothing that such a vote carries, so it is given to none of them.
+    """
+    text = ["paper_id", *TEXTS]
+    known = keyed.filter("pair.by = 'places'").filter(has_all(*TEXTS)).groupBy(*text).agg(F.min("pair").alias("_low"), F.max("pair").alias("_high")).filter("_low = _high")
+    met = keyed.join(known.select(*text, F.col("_low").alias("_pair")), text, "left")
+    return met.withColumn("pair", F.when(F.col("pair.by") == "texts", F.coalesce("_pair", "pair")).otherwise(F.col("pair"))).drop("_pair")
+
+
+def mixed_relation_ensemble(predictions: DataFrame, spark: SparkSession, method: str, weights: list[float], explicit: float | None = None, link: bool = False, order: str = "ord") -> DataFrame:
+    """Relation ensemble of votes of which some carry no places: paper_id, places, texts, labels and uris (null: unknown), predicate, score, confscore.
+
+    predictions: m, paper_id, PLACES, FIELDS, predicate, confscore and the place in the model's list. Votes with all places
+    meet by these, the others by texts and labels; link: see `placed_votes`. Every field of the result is voted for.
+    """
+    weights = checked_weights(weights, len(weights))
+    keyed = relation_key(predictions)
+    keyed = placed_votes(keyed) if link else keyed
+    keys = ["paper_id", "pair", *(["kind"] if method_of(method) == "union" else [])]
+    cast = votes(weighted(keyed, spark, weights).withColumn("kind", F.col("predicate")), keys, order)
+    # All fields are voted for at once: a model has one vote an item, so a count of votes is one of models.
+    each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("predicate", *FIELDS)])
+    sums = cast.select(*keys, "weight", "confscore", F.inline(each)).filter("value is not null").groupBy(*keys, "field", "value").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("models"), F.avg("confscore").alias("confscore"))
+    best = sums.groupBy(*keys, "field").agg(F.min(F.struct((-F.col("weight")).alias("w"), (-F.col("models")).alias("n"), "value", "confscore")).alias("x"))
+    of = lambda field, value: F.max(F.when(F.col("field") == field, value))
+    score = -F.col("x.w") if method_of(method) == "weighted" else (-F.col("x.n")).cast("double")
+    made = best.groupBy(*keys).agg(*(of(c, F.col("x.value")).alias(c) for c in ("predicate", *FIELDS)), of("predicate", score).alias("score"), of("predicate", F.col("x.confscore")).alias("confscore"))
+    if method_of(method) != "union":
+        made = made.filter(F.col("score") >= threshold(method_of(method), weights, explicit))
+    fields = [F.coalesce(F.col("pair")[c], F.col(c)).alias(c) if c in TEXTS else F.col(c) for c in FIELDS]
+    return made.select("paper_id", *(F.col("pair")[c].alias(c) for c in PLACES), *fields, "predicate", "score", F.round("confscore", 6).alias("confscore"))
+
+
+def listed_relations(relations: DataFrame) -> DataFrame:
+    """relations: each paper's list, sorted by where the subject and the object are, then predicate and texts; what is missing comes as "" or -1."""
+    order = ["subject_location", "subject_start_idx", "object_location", "object_start_idx", "predicate", "subject_text_span", "object_text_span"]
+    key = F.struct(*(F.coalesce(F.col(c), F.lit(-1 if c.endswith("idx") else "")).alias(c) for c in order))
+    rows = F.array_sort(F.collect_list(F.struct(key.alias("key"), F.struct(*(c for c in relations.columns if c != "paper_id")).alias("x"))))
+    return relations.groupBy("paper_id").agg(F.transform(rows, lambda r: r["x"]).alias("relations"))
+
+
 def sweep(predictions: DataFrame, spark: SparkSession, models: int, least: int, most: int, methods: list[str]) -> DataFrame:
     """Majority, intersection and union ensembles of all model combinations in one job: combo, method, the kept spans."""
     chosen = [c for k in range(least, most + 1) for c in combinations(range(models), k)]

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from annolake import providers
 from annolake.functions import scores
-from annolake.functions.text import occurrences, parse_label, split_term_label
-from annolake.operators import docred, finetune, relations, segment, spans
+from annolake.functions.text import parse_label, split_term_label
+from annolake.operators import anchors, docred, finetune, relations, segment, sentences, spans
 from annolake.plans.oracle import LABEL_LIST, hashed, quoted, tokenised
 from annolake.plans.registry import query
 from annolake.schema import LABELS, PREDICATES, valid_relations
 from annolake.sources import fixtures as fx
+from annolake.streaming import resume
 
 SPAN = spans.SPAN
 
@@ -75,15 +75,8 @@ GRAM = hashed("'w|'||paper_id||'|'||location||'|'||start_idx||'|'||end_idx")
 @query(WORDS + f", ok AS (SELECT g.* FROM grams g JOIN sections s USING (paper_id, location) WHERE substr(s.text, g.start_idx + 1, 1) <> '(' AND substr(s.text, g.end_idx + 1, 1) <> ')' AND NOT EXISTS (SELECT 1 FROM gold x WHERE x.paper_id = g.paper_id AND x.location = g.location AND x.start_idx <= g.end_idx AND g.start_idx <= x.end_idx)), room AS (SELECT paper_id, count(*) AS room FROM gold GROUP BY paper_id), k AS (SELECT ok.*, row_number() OVER (PARTITION BY paper_id ORDER BY {GRAM}, location, start_idx, end_idx) AS r FROM ok) SELECT paper_id, location, start_idx, end_idx FROM k JOIN room USING (paper_id) WHERE r <= room")
 def negative_spans(spark, sf_dir):
     """As many unannotated spans of up to four words as a paper has entities, in a fixed random order."""
-    gold = fx.gold(spark, sf_dir)
-    made = grams(spark, sf_dir).join(texts(spark, sf_dir), ["paper_id", "location"])
-    made = made.filter("substring(text, start_idx + 1, 1) <> '(' and substring(text, end_idx + 1, 1) <> ')'").drop("text").alias("g")
-    positive = gold.select("paper_id", "location", "start_idx", "end_idx").alias("x")
-    clash = (F.col("g.paper_id") == F.col("x.paper_id")) & (F.col("g.location") == F.col("x.location")) & (F.col("x.start_idx") <= F.col("g.end_idx")) & (F.col("g.start_idx") <= F.col("x.end_idx"))
-    free = made.join(positive, clash, "left_anti")
     order = fx.hashed("w|", F.col("paper_id"), "|", F.col("location"), "|", F.col("start_idx"), "|", F.col("end_idx"))
-    ranked = free.withColumn("r", F.row_number().over(Window.partitionBy("paper_id").orderBy(order, "location", "start_idx", "end_idx")))
-    return ranked.join(gold.groupBy("paper_id").count(), "paper_id").filter("r <= count").select("paper_id", "location", "start_idx", "end_idx")
+    return segment.negative_spans(grams(spark, sf_dir), fx.gold(spark, sf_dir), order).select("paper_id", "location", "start_idx", "end_idx")
 
 
 def bio_sql(tag: str) -> str:
@@ -184,6 +177,62 @@ def docred_nested(spark, sf_dir):
     return docred.nested(fx.with_text(docred.placed_entities(big, tokens), spark, sf_dir), tokens)
 
 
+# --- learnt sentences
+
+CORE = f"regexp_replace(regexp_replace(tok, {quoted(sentences.OPENING)}, ''), {quoted(sentences.CLOSING)}, '')"
+
+
+def likelihood_sql(hits: str, rows: str, p: str) -> str:
+    return f"(CASE WHEN {hits} = 0 THEN 0 ELSE {hits} * ln({p}) END + CASE WHEN {hits} = {rows} THEN 0 ELSE ({rows} - {hits}) * ln(1 - {p}) END)"
+
+
+def ratio_sql(both: str, first: str, second: str) -> str:
+    rest, other, p = f"({second} - {both})", f"(total - {first})", f"({second} / total)"
+    return f"CASE WHEN {both} * total > {first} * {second} THEN -2 * ({likelihood_sql(both, first, p)} + {likelihood_sql(rest, other, p)} - {likelihood_sql(both, first, f'({both} / {first})')} - {likelihood_sql(rest, other, f'({rest} / {other})')}) ELSE 0 END"
+
+
+LETTERS = "length(replace(type, '.', ''))"
+LEARNT = f""", w0 AS (SELECT paper_id, location, s, e, {CORE} AS core FROM ({tokenised('sections', segment.WHITESPACE)}) WHERE regexp_matches(tok, '\\S')),
+w1 AS (SELECT *, regexp_matches(core, '[^.]\\.$') AS period, regexp_matches(core, '[!?]$') AS stop, regexp_matches(core, '^\\p{{Lu}}') AS upper_, regexp_matches(core, '^\\p{{Ll}}') AS lower_ FROM w0),
+w2 AS (SELECT *, regexp_replace(lower(CASE WHEN period THEN left(core, length(core) - 1) ELSE core END), '^\\d+([.,]\\d+)*$', '#') AS type FROM w1),
+wt AS (SELECT *, lead(type) OVER o AS after_type, lead(upper_) OVER o AS after_upper, lead(s) OVER o AS after_s, lag(NOT (period OR stop)) OVER o AS middle FROM w2 WINDOW o AS (PARTITION BY paper_id, location ORDER BY s)),
+tot AS (SELECT count(*) AS total, count(*) FILTER (period) AS periods FROM wt),
+ab0 AS (SELECT type, count(*) FILTER (period) AS n_with, count(*) FILTER (NOT period) AS n_without FROM wt WHERE regexp_matches(type, '\\p{{L}}') GROUP BY type),
+ab1 AS (SELECT type, n_with, n_without, -2 * ({likelihood_sql('n_with', '(n_with + n_without)', '(periods / total)')} - {likelihood_sql('n_with', '(n_with + n_without)', str(sentences.CERTAIN))}) * exp(-{LETTERS}) * (length(type) - {LETTERS} + 1) * pow({LETTERS}, -n_without) AS score FROM ab0, tot WHERE n_with > 0),
+ab AS (SELECT * FROM ab1 WHERE score >= {sentences.ABBREVIATION}),
+kn AS (SELECT wt.*, ab.type AS abbreviation, stop OR (period AND ab.type IS NULL) AS is_end FROM wt LEFT JOIN ab USING (type)),
+types AS (SELECT type, count(*) AS n, count(*) FILTER (lower_) AS n_lower, count(*) FILTER (upper_ AND middle) AS n_middle FROM wt GROUP BY type),
+tot2 AS (SELECT count(*) AS total, count(*) FILTER (is_end) AS ends FROM kn),
+st0 AS (SELECT after_type AS type, count(*) AS hits FROM kn WHERE is_end AND after_type IS NOT NULL AND regexp_matches(after_type, '\\p{{L}}') GROUP BY ALL),
+starters AS (SELECT * FROM (SELECT type, hits, n, {ratio_sql('hits', 'ends', 'n')} AS ratio FROM st0 JOIN types USING (type), tot2) WHERE ratio >= {sentences.STARTER}),
+pr0 AS (SELECT type, after_type AS next, count(*) AS hits FROM kn WHERE period AND after_type IS NOT NULL AND (abbreviation IS NOT NULL OR regexp_matches(type, '^(#|\\p{{L}})$')) GROUP BY ALL HAVING count(*) > 1),
+pairs AS (SELECT type, next, hits, ratio FROM (SELECT p.type, p.next, hits, {ratio_sql('hits', 'a.n', 'b.n')} AS ratio FROM pr0 p JOIN types a ON a.type = p.type JOIN types b ON b.type = p.next, tot2) WHERE ratio >= {sentences.PAIR}),
+cut AS (SELECT k.paper_id, k.location, k.after_s AS s FROM kn k LEFT JOIN starters st ON st.type = k.after_type LEFT JOIN pairs p ON p.type = k.type AND p.next = k.after_type LEFT JOIN types t ON t.type = k.after_type AND t.n_lower > 0 AND t.n_middle = 0
+ WHERE (k.period OR k.stop) AND k.after_s IS NOT NULL AND (k.stop OR (p.type IS NULL AND (NOT (k.abbreviation IS NOT NULL OR regexp_matches(k.type, '^\\p{{L}}$')) OR (k.after_upper AND (st.type IS NOT NULL OR t.type IS NOT NULL)))))),
+began AS (SELECT paper_id, location, 0 AS s FROM sections WHERE text <> '' UNION ALL SELECT * FROM cut),
+learnt AS (SELECT b.paper_id, b.location, CAST(b.s AS BIGINT) AS s, CAST(coalesce(lead(b.s) OVER (PARTITION BY b.paper_id, b.location ORDER BY b.s), length(x.text)) AS BIGINT) AS e FROM began b JOIN sections x USING (paper_id, location))"""
+
+
+def known_sentences(spark, sf_dir):
+    return sentences.learnt(texts(spark, sf_dir))
+
+
+@query(LEARNT + " SELECT 'abbreviation' AS kind, type, NULL AS next, n_with AS n, round(score, 6) AS ratio FROM ab UNION ALL SELECT 'starter', type, NULL, hits, round(ratio, 6) FROM starters UNION ALL SELECT 'pair', type, next, hits, round(ratio, 6) FROM pairs")
+def sentence_statistics(spark, sf_dir):
+    """Abbreviations, sentence starters and pairs that the corpus tells."""
+    known = known_sentences(spark, sf_dir)
+    none = F.lit(None).cast("string").alias("next")
+    rows = known.abbreviations.select(F.lit("abbreviation").alias("kind"), "type", none, F.col("n_with").alias("n"), F.round("score", 6).alias("ratio"))
+    rows = rows.unionByName(known.starters.select(F.lit("starter").alias("kind"), "type", none, F.col("hits").alias("n"), F.round("ratio", 6).alias("ratio")))
+    return rows.unionByName(known.pairs.select(F.lit("pair").alias("kind"), "type", "next", F.col("hits").alias("n"), F.round("ratio", 6).alias("ratio")))
+
+
+@query(LEARNT + " SELECT paper_id, location, row_number() OVER (PARTITION BY paper_id, location ORDER BY s) - 1 AS i, s, e FROM learnt")
+def sentence_spans(spark, sf_dir):
+    """Sentences that these statistics tell apart."""
+    return sentences.split(texts(spark, sf_dir), known_sentences(spark, sf_dir)).select("paper_id", "location", "i", "s", "e")
+
+
 # --- fine-tuning
 
 SYSTEM, TEMPLATE = "You are an annotator.", "Annotate {as JSON}: {text}"
@@ -261,9 +310,9 @@ FIND = ", w AS (SELECT DISTINCT paper_id, location, word FROM gold), t AS (SELEC
 @query(FIND + " SELECT paper_id, location, word, CAST(len(parts) - 1 AS BIGINT) AS n, CAST(CASE WHEN len(parts) > 1 THEN length(parts[1]) END AS BIGINT) AS first FROM t")
 def find_spans(spark, sf_dir):
     """All occurrences of each mention's word in its section, whatever the case."""
-    made = fx.gold(spark, sf_dir).select("paper_id", "location", "word").distinct().join(texts(spark, sf_dir), ["paper_id", "location"])
-    made = made.withColumn("found", occurrences(F.col("text"), F.col("word")))
-    return made.select("paper_id", "location", "word", F.size("found").alias("n"), F.try_element_at("found", F.lit(1)).alias("first"))
+    words = fx.gold(spark, sf_dir).select("paper_id", "location", F.col("word").alias("term")).distinct()
+    found = anchors.anchored(words, texts(spark, sf_dir))
+    return found.groupBy("paper_id", "location", F.col("term").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.min("start_idx").alias("first"))
 
 
 LOGITS = "CAST(embedding[1:18] AS DOUBLE[])"
@@ -319,8 +368,7 @@ def resume_antijoin(spark, sf_dir):
     """Stored papers are kept, only the others are processed."""
     own = fx.pred(spark, sf_dir).filter("m = 0").groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
     stored = own.filter("cast(paper_id as long) % 3 = 0").withColumn("origin", F.lit("stored"))
-    fresh = own.join(stored.select("paper_id"), "paper_id", "left_anti").withColumn("origin", F.lit("new"))
-    return stored.unionByName(fresh).select("paper_id", "origin", "n")
+    return resume.resumed(own, stored, lambda df: df.withColumn("origin", F.lit("new"))).select("paper_id", "origin", "n")
 
 
 @query("SELECT name, micro_f1, n FROM (SELECT 'm'||m AS name, round(avg(confscore), 6) AS micro_f1, count(*) AS n FROM pred GROUP BY m UNION ALL SELECT 'dedup'||m, round(avg(confscore), 6), count(*) FROM dedup GROUP BY m)")

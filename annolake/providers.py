@@ -1,25 +1,31 @@
 """Models as pluggable providers, called in Arrow batches; parsers of their responses.
 
 A provider is any object with the methods that an operator needs; it is sent to the workers,
-so it should make clients when first called there. Stand-ins that need no model are given.
+so it should make clients when first called there. One that has the plural method (`tag_all`,
+`classify_all`, `chat_all`) gets whole lists, as a model on an accelerator wants them; else each
+text is a call. Stand-ins that need no model are given.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.functions.text import mark_entity, mark_pair, mark_pair_context
+from annolake.functions.responses import known_label, term_label_pairs
+from annolake.functions.text import mark_entity, mark_pair, mark_pair_context, parse_label, prompt
 from annolake.operators import relations, spans
-from annolake.schema import LABELS
+from annolake.operators.anchors import anchored
+from annolake.schema import LABELS, PREDICATES
 
 WORD = re.compile(r"[^\W_]\w*|_\w*")
 
@@ -28,6 +34,15 @@ class Chat(Protocol):
     def chat_completion(self, system: str, user: str, temperature: float = 1.0) -> str: ...
 
 
+class Spans(Protocol):
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        """(start, end (exclusive), label, score) of the candidates in each text; they may overlap."""
+
+
+class Embedder(Protocol):
+    def embed(self, texts: list[str]) -> list[list[float]]: ...
+
+
 class Tagger(Protocol):
     def tag(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, BIO tag, score) of the tokens of a text."""
@@ -86,6 +101,53 @@ class HashClassifier:
         return labels[h % len(labels)], h % 1000 / 1000
 
 
+@register("hash-spans")
+@dataclass
+class HashSpans:
+    """Words of four letters or more by their md5, and some with the next word, so that candidates overlap and scores are equal."""
+
+    every: int = 5
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        out = []
+        for text in texts:
+            words = [m for m in WORD.finditer(text) if len(m[0]) >= 4]
+            own = []
+            for k, m in enumerate(words):
+                h = number("s|" + m[0].lower())
+                if h % self.every == 0:
+                    own.append((m.start(), m.end(), LABELS[h % 13], h % 20 / 20))
+                    if h % 2 == 0 and k + 1 < len(words):
+                        own.append((m.start(), words[k + 1].end(), LABELS[(h + 1) % 13], h % 7 / 7))
+            out.append(own)
+        return out
+
+
+@register("hash-chat")
+@dataclass
+class HashChat:
+    """Answers with the words that HashTagger tags and their labels, in a form that the text's length tells."""
+
+    every: int = 7
+
+    def chat_completion(self, system: str, user: str, temperature: float = 1.0) -> str:
+        found = dict.fromkeys((user[s:e].lower(), tag[2:]) for s, e, tag, _ in HashTagger(self.every).tag(user))
+        forms = (
+            lambda: json.dumps([{"term": t, "label": x} for t, x in found]), lambda: "\n".join(f"- {t}: {x}" for t, x in found),
+            lambda: "Entities: " + json.dumps([{"term": t, "label": x} for t, x in found])[:-1] + ", {\"term\": \"cut o", lambda: "".join(f"{t}: {x.upper()}, " for t, x in found),
+        )
+        return forms[len(user) % 4]() if found else "[]"
+
+
+@register("letters")
+@dataclass
+class Letters:
+    """A vector of letter counts."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
 @register("echo")
 @dataclass
 class Echo:
@@ -95,17 +157,83 @@ class Echo:
         return user
 
 
+def all_of(provider, one: str, texts: list, *more) -> list:
+    """What a provider gives for each text: from its method for lists (`<one>_all`), else a call each. more: a list each, of the other arguments."""
+    many = getattr(provider, f"{one.removesuffix('_completion')}_all", None)
+    if many:
+        return list(many(texts, *more))
+    return [getattr(provider, one)(*x) for x in zip(texts, *more)]
+
+
 def tagged(texts: DataFrame, tagger: Tagger) -> DataFrame:
     """paper_id, location, i, s, e, tag, score of the non-empty sections."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, l, i, s, e, tag, score) for p, l, t in zip(batch.paper_id, batch.location, batch.text) for i, (s, e, tag, score) in enumerate(tagger.tag(t))]
+            said = all_of(tagger, "tag", batch.text.tolist())
+            rows = [(p, l, i, s, e, tag, score) for p, l, own in zip(batch.paper_id, batch.location, said) for i, (s, e, tag, score) in enumerate(own)]
             yield pd.DataFrame(rows, columns=["paper_id", "location", "i", "s", "e", "tag", "score"])
 
     return texts.filter("text <> ''").select("paper_id", "location", "text").mapInPandas(run, "paper_id string, location string, i int, s int, e int, tag string, score double")
 
 
+def flat(candidates: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Of overlapping candidates the best by score, ties to the first start, then the shorter, then the label: greedy, as each kept one bars all that overlap it."""
+    starts: list[int] = []
+    kept: list[tuple[int, int, str, float]] = []
+    for x in sorted(candidates, key=lambda x: (-x[3], x[0], x[1], x[2])):
+        k = bisect.bisect_left(starts, x[0])
+        if (k == 0 or kept[k - 1][1] <= x[0]) and (k == len(kept) or x[1] <= kept[k][0]):
+            starts.insert(k, x[0])
+            kept.insert(k, x)
+    return kept
+
+
+def extract_spans(texts: DataFrame, provider: Spans, threshold: float = 0.5, overlapping: bool = False) -> DataFrame:
+    """paper_id, location, start_idx, end_idx (inclusive), label, confscore, text_span of candidates with a score of `threshold` or more.
+
+    Of overlapping ones the best stays, unless `overlapping`. Texts reach the provider in lists of a batch; empty ones don't.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p, l, t, own in zip(batch.paper_id, batch.location, batch.text, provider.spans(batch.text.tolist())):
+                some = [x for x in own if x[3] >= threshold]
+                rows += [(p, l, s, e - 1, label, score, t[s:e]) for s, e, label, score in (sorted(some) if overlapping else flat(some))]
+            yield pd.DataFrame(rows, columns=["paper_id", "location", "start_idx", "end_idx", "label", "confscore", "text_span"])
+
+    return texts.filter("text <> ''").select("paper_id", "location", "text").mapInPandas(run, "paper_id string, location string, start_idx int, end_idx int, label string, confscore double, text_span string")
+
+
+def flattened(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """The same choice on rows: by, start_idx, end_idx (inclusive), label, confscore; other columns go."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("start_idx", "end_idx", "label", "confscore"))))
+        kept = flat([(s, e + 1, label, score) for s, e, label, score in rows if score is not None])
+        own = [table.column(c)[:1].to_pylist() * len(kept) for c in by]
+        made = [*own, *([x[0] for x in kept], [x[1] - 1 for x in kept], [x[2] for x in kept], [x[3] for x in kept])]
+        return pa.table([pa.array(x, table.schema.field(c).type) for x, c in zip(made, names)], names)
+
+    names = [*by, "start_idx", "end_idx", "label", "confscore"]
+    some = candidates.select(*names)
+    return some.groupBy(*by).applyInArrow(run, some.schema)
+
+
+def embedded(texts: DataFrame, text: str, provider: Embedder) -> DataFrame:
+    """texts with vector; nulls get none."""
+
+    @F.pandas_udf("array<double>")
+    def run(said: pd.Series) -> pd.Series:
+        real = said.notna()
+        out = pd.Series([None] * len(said), dtype=object)
+        out[real] = pd.Series(provider.embed(said[real].tolist()), index=said.index[real], dtype=object)
+        return out
+
+    return texts.withColumn("vector", run(F.col(text)))
+
+
 def extract_terms(texts: DataFrame, tagger: Tagger) -> DataFrame:
     """Spans of the tags, labels dropped, with the text that they cover."""
     plain = tagged(texts, tagger).withColumn("tag", F.substring("tag", 1, 1))
@@ -121,7 +249,7 @@ def judged(df: DataFrame, text: str, classifier: Classifier, allowed: str | None
 
     @F.pandas_udf("label string, confscore double")
     def run(seen: pd.Series, choices: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([classifier.classify(t, None if c is None else list(c)) for t, c in zip(seen, choices)], columns=["label", "confscore"])
+        return pd.DataFrame(all_of(classifier, "classify", seen.tolist(), [None if c is None else list(c) for c in choices]), columns=["label", "confscore"])
 
     return df.withColumn("verdict", run(F.col(text), F.col(allowed) if allowed else F.lit(None).cast("array<string>")))
 
@@ -132,39 +260,106 @@ def classify_terms(entities: DataFrame, texts: DataFrame, classifier: Classifier
     return judged(seen, "seen", classifier).select("*", "verdict.label", "verdict.confscore").drop("verdict", "seen", "text")
 
 
+def marked_pairs(entities: DataFrame, texts: DataFrame, paired: Callable, window: int | None) -> DataFrame:
+    """The pairs that `paired` makes of entities (with more columns), with `seen`: the text around both, marked."""
+    if window is None:
+        pairs = paired(entities, ()).join(texts, ["paper_id", "location"])
+        return pairs.withColumn("seen", mark_pair(F.col("text"), *(F.col(f"{s}_{c}_idx") for s in ("subject", "object") for c in ("start", "end")))).drop("text")
+    more = ("before", "text_span", "after")
+    pairs = paired(spans.with_context(entities, texts, window), more)
+    forward, backward = mark_pair_context(window, "subject", "object", "E1", "E2"), mark_pair_context(window, "object", "subject", "E2", "E1")
+    return pairs.withColumn("seen", F.when(F.col("subject_start_idx") < F.col("object_start_idx"), forward).otherwise(backward)).drop(*[f"{s}_{c}" for s in relations.SIDES for c in more])
+
+
 def extract_relations(entities: DataFrame, texts: DataFrame, valid: DataFrame, classifier: Classifier, window: int | None = None) -> DataFrame:
     """Predicates of all ordered pairs that pass the gates, NA dropped.
 
     window: the classifier sees so many characters around each span, which are cut once an
     entity; without it, it sees the whole text once a pair.
     """
-    if window is None:
-        pairs = relations.apart(relations.gated(relations.ordered_pairs(entities), valid)).join(texts, ["paper_id", "location"])
-        seen = pairs.withColumn("seen", mark_pair(F.col("text"), *(F.col(f"{s}_{c}_idx") for s in ("subject", "object") for c in ("start", "end")))).drop("text")
-    else:
-        more = ("before", "text_span", "after")
-        pairs = relations.apart(relations.gated(relations.ordered_pairs(spans.with_context(entities, texts, window), *more), valid))
-        forward, backward = mark_pair_context(window, "subject", "object", "E1", "E2"), mark_pair_context(window, "object", "subject", "E2", "E1")
-        seen = pairs.withColumn("seen", F.when(F.col("subject_start_idx") < F.col("object_start_idx"), forward).otherwise(backward)).drop(*[f"{s}_{c}" for s in relations.SIDES for c in more])
+    seen = marked_pairs(entities, texts, lambda x, more: relations.apart(relations.gated(relations.ordered_pairs(x, *more), valid)), window)
     seen = seen.withColumn("choices", F.array_append("predicates", F.lit("NA")))
     made = judged(seen, "seen", classifier, "choices").withColumns({"predicate": F.col("verdict.label"), "confscore": F.col("verdict.confscore")})
     return made.filter("predicate <> 'NA'").drop("verdict", "seen", "choices", "predicates")
 
 
 def answered(prompts: DataFrame, chat: Chat, temperature: float = 1.0) -> DataFrame:
-    """prompts (with system, user) and response; a failed call gives null, and its row stays."""
+    """prompts (with system, user) with response and failure: a failed call gives no response but its reason, and its row stays.
+
+    Where a list fails (`chat_all`), its prompts are asked one by one, so that one of them does not take the others with it.
+    """
+
+    def one(system: str, user: str) -> tuple[str | None, str | None]:
+        try:
+            return chat.chat_completion(system, user, temperature), None
+        except Exception as x:  # noqa: BLE001  a provider may raise anything
+            return None, f"{type(x).__name__}: {x}"
+
+    @F.pandas_udf("response string, failure string")
+    def run(system: pd.Series, user: pd.Series) -> pd.DataFrame:
+        try:
+            many = chat.chat_all if hasattr(chat, "chat_all") else None
+            rows = [(x, None) for x in many(system.tolist(), user.tolist(), [temperature] * len(user))] if many else None
+        except Exception:  # noqa: BLE001
+            rows = None
+        return pd.DataFrame(rows or [one(s, u) for s, u in zip(system, user)], columns=["response", "failure"], dtype=object)
+
+    return prompts.withColumn("_said", run("system", "user")).select("*", "_said.response", "_said.failure").drop("_said")
+
 
-    @F.pandas_udf("string")
-    def run(system: pd.Series, user: pd.Series) -> pd.Series:
-        def one(s: str, u: str) -> str | None:
-            try:
-                return chat.chat_completion(s, u, temperature)
-            except Exception:  # noqa: BLE001  a provider may raise anything
-                return None
+#: Fixed value: the score of what a chat model finds, which tells none.
+NO_SCORE = -1.0
 
-        return pd.Series([one(s, u) for s, u in zip(system, user)], dtype=object)
 
-    return prompts.withColumn("response", run("system", "user"))
+def asked(texts: DataFrame, chat: Chat, system: str, template: str, temperature: float = 1.0) -> DataFrame:
+    """texts (any columns, text) with response and failure of the template filled with text; empty texts are not asked."""
+    prompts = texts.filter("text <> ''").withColumns({"system": F.lit(system), "user": prompt(template, F.col("text"))})
+    return answered(prompts, chat, temperature).drop("system", "user")
+
+
+def llm_entities(texts: DataFrame, chat: Chat, system: str, template: str, temperature: float = 1.0, labels: list[str] = LABELS) -> DataFrame:
+    """paper_id, location, start_idx, end_idx, text_span, label, confscore: what answers name, at all its places in its section.
+
+    Answers are read by `functions.responses` and anchored in one pass a section; a pair named twice counts once.
+    """
+    said = asked(texts.select("paper_id", "location", "text"), chat, system, template, temperature)
+    return anchored_entities(said.select("paper_id", "location", "response"), texts, labels)
+
+
+def anchored_entities(responses: DataFrame, texts: DataFrame, labels: list[str] = LABELS) -> DataFrame:
+    """The entities of responses (paper_id, location, response)."""
+    named = responses.select("paper_id", "location", F.explode(term_label_pairs(F.col("response"))).alias("x")).select("paper_id", "location", "x.term", known_label(F.col("x.label"), labels).alias("label")).distinct()
+    return anchored(named, texts).drop("term").withColumn("confscore", F.lit(NO_SCORE))
+
+
+def llm_labels(entities: DataFrame, texts: DataFrame, chat: Chat, system: str, template: str, temperature: float = 1.0, labels: list[str] = LABELS) -> DataFrame:
+    """entities with label and confscore from answers about their marked text."""
+    seen = entities.drop("label").join(texts, ["paper_id", "location"]).withColumn("text", mark_entity(F.col("text"), F.col("start_idx"), F.col("end_idx")))
+    said = asked(seen, chat, system, template, temperature)
+    return said.withColumns({"label": parse_label(F.col("response"), labels), "confscore": F.lit(NO_SCORE)}).drop("text", "response", "failure")
+
+
+def llm_relations(entities: DataFrame, texts: DataFrame, valid: DataFrame, chat: Chat, system: str, template: str, temperature: float = 1.0, across: bool = False, window: int | None = None) -> DataFrame:
+    """Relations that answers about marked pairs tell; NA goes, and so does what cannot hold between labels only before it is asked.
+
+    Pairs are those of one section whose labels can be related, the subject before the object in the list; across:
+    of the whole paper, seen in title + ' ' + abstract (texts: of both sections). window: as in `extract_relations`.
+    Places are those in their sections: subject_location and object_location tell which.
+    """
+    own = entities.withColumn("section", F.col("location"))
+    if across:
+        both = texts.groupBy("paper_id").agg(F.max(F.when(F.col("location") == "title", F.col("text"))).alias("title"), F.max(F.when(F.col("location") == "abstract", F.col("text"))).alias("abstract")).fillna("")
+        own = spans.shifted(own, both).withColumn("location", F.lit("all"))
+        texts = both.select("paper_id", F.lit("all").alias("location"), F.concat("title", F.lit(" "), "abstract").alias("text"))
+    pairs = marked_pairs(own, texts, lambda x, more: relations.gated(relations.forward_pairs(x, "section", *more), valid), window)
+    said = asked(pairs.withColumnRenamed("seen", "text"), chat, system, template, temperature)
+    made = said.withColumns({"predicate": parse_label(F.col("response"), PREDICATES), "confscore": F.lit(NO_SCORE)}).filter("predicate <> 'NA'")
+    made = made.withColumnsRenamed({f"{s}_section": f"{s}_location" for s in relations.SIDES}).drop("text", "response", "failure", "predicates", "location")
+    if across:
+        for s in relations.SIDES:
+            by = F.when(F.col(f"{s}_location") == "abstract", F.col("_by")).otherwise(0)
+            made = made.join(both.select("paper_id", (F.length("title") + 1).alias("_by")), "paper_id").withColumns({f"{s}_{c}_idx": F.col(f"{s}_{c}_idx") - by for c in ("start", "end")}).drop("_by")
+    return made
 
 
 BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+")

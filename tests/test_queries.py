@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from annolake.plans import evaluation, linking_relations, registry, text  # noqa: F401  they register their queries
+from annolake.plans import evaluation, linking_relations, models, registry, text  # noqa: F401  they register their queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
