@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annolake.operators import ensemble, merge, scoring, spans
+from annolake.operators import ensemble, merge, records, scoring, spans
 from annolake.operators.relations import legal as legal_relations
 from annolake.plans.oracle import LABEL_LIST, hashed
 from annolake.plans.registry import query
@@ -179,8 +179,7 @@ ODD = "CASE WHEN ord % 9 = 0 THEN 'disease' ELSE label END"
 def illegal_filter_counts(spark, sf_dir):
     """How many entities the label filter removes; every ninth label is made illegal first."""
     odd = fx.pred(spark, sf_dir).withColumn("label", F.expr(ODD))
-    legal = spans.legal(odd).groupBy("m").agg(F.count(F.lit(1)).alias("kept"))
-    return odd.groupBy("m").agg(F.count(F.lit(1)).alias("n")).join(legal, "m", "left").select("m", "n", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("illegal"))
+    return records.removed(odd, spans.legal(odd), "m").withColumnRenamed("removed", "illegal")
 
 
 @query("SELECT paper_id, CAST(max(m) AS BIGINT) AS m, arg_max(n, m) AS n FROM (SELECT paper_id, m, count(*) AS n FROM pred WHERE (CAST(paper_id AS BIGINT) + m) % 3 <> 0 GROUP BY ALL) GROUP BY paper_id")
@@ -203,8 +202,7 @@ def illegal_relations_sql(keys: str) -> str:
 def illegal_relations(spark, sf_dir, keys):
     odd = full(spark, sf_dir, fx.pred_relations(spark, sf_dir)).selectExpr("*", *(f"{x} AS odd_{c}" for c, x in ODD_RELATION.items()))
     own = odd.drop(*ODD_RELATION).withColumnsRenamed({f"odd_{c}": c for c in ODD_RELATION}).select("m", *keys.split(", ")).distinct()
-    kept = legal_relations(own).groupBy("m").agg(F.count(F.lit(1)).alias("kept"))
-    return own.groupBy("m").agg(F.count(F.lit(1)).alias("n")).join(kept, "m", "left").select(F.col("m").cast("long").alias("m"), "n", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("illegal"))
+    return records.removed(own, legal_relations(own), "m").withColumnRenamed("removed", "illegal")
 
 
 @query(illegal_relations_sql(MENTION))
@@ -352,13 +350,15 @@ def tc_missing_na(spark, sf_dir):
 @query("SELECT paper_id, location, start_idx, end_idx, coalesce(CASE WHEN ord % 5 = 0 THEN 'gene' END, label) AS label FROM pred WHERE m = 2")
 def tc_fallback_labels(spark, sf_dir):
     """A classifier's label, else the extractor's."""
-    return fx.pred(spark, sf_dir).filter("m = 2").withColumn("label", F.coalesce(F.expr("case when ord % 5 = 0 then 'gene' end"), "label")).select(*SPAN, "label")
+    own = fx.pred(spark, sf_dir).filter("m = 2").withColumn("predicted_label", F.expr("case when ord % 5 = 0 then 'gene' end"))
+    return records.with_fallback_label(own).select(*SPAN, "label")
 
 
 @query("SELECT CAST(count(*) FILTER (WHERE confscore IS NOT NULL) AS BIGINT) AS n, count(*) AS n_all, CAST(sum(CAST(round(confscore * 1000) AS BIGINT)) AS BIGINT) AS milli FROM (SELECT CASE WHEN ord % 4 = 0 THEN NULL ELSE confscore END AS confscore FROM pred)")
 def numeric_confscores(spark, sf_dir):
     """Only numeric scores count in means."""
-    some = fx.pred(spark, sf_dir).withColumn("confscore", F.expr("case when ord % 4 <> 0 then confscore end"))
+    said = fx.pred(spark, sf_dir).withColumn("confscore", F.expr("case when ord % 8 = 0 then 'high' when ord % 4 <> 0 then cast(confscore as string) end"))
+    some = said.withColumn("confscore", records.numeric(F.col("confscore")))
     return some.agg(F.count("confscore").alias("n"), F.count(F.lit(1)).alias("n_all"), F.sum(F.round(F.col("confscore") * 1000).cast("long")).alias("milli"))
 
 
@@ -366,13 +366,7 @@ def numeric_confscores(spark, sf_dir):
 def paper_set_ops(spark, sf_dir):
     """Union, intersection and differences of tuple sets."""
     keys = [*SPAN, "label"]
-    a, b = fx.gold(spark, sf_dir).select(*keys).distinct(), fx.pred(spark, sf_dir).filter("m = 0").select(*keys).distinct()
-    parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "fp": b.subtract(a), "fn": a.subtract(b)}
-    out = None
-    for name, part in parts.items():
-        one = part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("op"), "n")
-        out = one if out is None else out.union(one)
-    return out
+    return records.set_sizes(fx.gold(spark, sf_dir), fx.pred(spark, sf_dir).filter("m = 0"), keys)
 
 
 @query("SELECT CAST(m AS BIGINT) AS m, CAST(tp AS BIGINT) AS tp, round(tp / (n + 1e-10), 9) AS guarded, CASE WHEN tp > 0 THEN round(tp / n, 9) ELSE 0.0 END AS ratio FROM (SELECT m, count(*) AS n, sum(CASE WHEN label = 'gene' THEN 1 ELSE 0 END) AS tp FROM pred GROUP BY m)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annolake.functions.text import mark_entity, mark_pair
-from annolake.operators import linking, relations, spans
+from annolake.operators import linking, records, relations, spans
 from annolake.plans.oracle import hashed, quoted
 from annolake.plans.registry import query
 from annolake.schema import valid_relations
@@ -55,9 +55,7 @@ def link_cascade(spark, sf_dir):
 
 @query(CASCADE + " SELECT uri_source, count(*) AS n, round(count(*) / (SELECT count(*) FROM linked), 9) AS share FROM linked GROUP BY uri_source")
 def link_source_stats(spark, sf_dir):
-    made = linked(spark, sf_dir)
-    total = made.agg(F.count(F.lit(1)).alias("total"))
-    return made.groupBy("uri_source").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("uri_source", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
+    return records.source_shares(linked(spark, sf_dir)).withColumn("share", F.round("share", 9))
 
 
 @query("SELECT q.vec_id AS query_id, x.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings x WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) DESC, x.vec_id) <= 5", bare=True)
@@ -107,9 +105,7 @@ def prior_link(spark, sf_dir):
 @query(f", {DICT} SELECT id, replace(name, ' ', '_') AS name, CAST(CASE WHEN name <> replace(name, ' ', '_') THEN 1 ELSE 0 END AS BIGINT) AS changed FROM dictionary")
 def prior_dictionary(spark, sf_dir):
     """The dictionary as written: underscores for spaces."""
-    rows = linking.dictionary(named(spark, sf_dir), "name")
-    under = F.replace(F.col("name"), F.lit(" "), F.lit("_"))
-    return rows.select("id", under.alias("name"), (under != F.col("name")).cast("int").alias("changed"))
+    return records.dictionary_rows(linking.dictionary(named(spark, sf_dir), "name")).withColumn("changed", F.col("changed").cast("int"))
 
 
 BM25 = """, d AS (SELECT uri AS id, word AS term FROM gold WHERE uri <> '-1'), tf AS (SELECT id, term, count(*) AS tf FROM d GROUP BY ALL), sz AS (SELECT id, count(*) AS size FROM d GROUP BY id),
@@ -144,9 +140,7 @@ RAW = ", raw AS (SELECT uri AS id, list_sort(list(DISTINCT word)) AS names FROM
 def concept_dictionary(spark, sf_dir):
     """Names and definitions to dictionary rows: the first name, and a description with the others."""
     raw = fx.gold(spark, sf_dir).filter("uri <> '-1'").groupBy(F.col("uri").alias("id")).agg(F.array_sort(F.collect_set("word")).alias("names"))
-    first = F.try_element_at("names", F.lit(1))
-    rest = F.slice("names", F.lit(2), F.greatest(F.size("names") - 1, F.lit(0)))
-    return raw.select("id", first.alias("name"), F.concat(F.lit("about "), first, F.when(F.size("names") > 1, F.concat(F.lit(" Sinonimi: "), F.array_join(rest, ", "))).otherwise("")).alias("description"))
+    return records.concept_rows(raw.withColumn("definition", F.concat(F.lit("about "), F.try_element_at("names", F.lit(1)))))
 
 
 @query("SELECT uri, CAST(substr(uri, 2) AS BIGINT) AS definition_id, count(*) AS n FROM gold WHERE uri <> '-1' GROUP BY ALL")
@@ -155,21 +149,28 @@ def definition_to_uri(spark, sf_dir):
     gold = fx.gold(spark, sf_dir).filter("uri <> '-1'")
     known = gold.select(F.expr("cast(substring(uri, 2) as long)").alias("definition_id"), "uri").distinct()
     asked = gold.select(F.expr("cast(substring(uri, 2) as long)").alias("definition_id"))
-    return asked.join(known, "definition_id").groupBy("uri", "definition_id").agg(F.count(F.lit(1)).alias("n"))
+    return records.uris_of(asked, known).groupBy("uri", "definition_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT paper_id||'-'||location AS id, count(*) AS n, min(start_idx) AS first_start, max(end_idx + 1) AS last_end, CAST(sum(CASE WHEN uri = '-1' THEN 1 ELSE 0 END) AS BIGINT) AS nil FROM gold GROUP BY ALL")
 def gbie_to_el(spark, sf_dir):
     """Entity-linking records: exclusive ends, the uri (or -1) as label, one record a section."""
-    rows = fx.gold(spark, sf_dir).groupBy(F.concat_ws("-", "paper_id", "location").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("start_idx").alias("start"), (F.col("end_idx") + 1).alias("end"), F.array(F.coalesce("uri", F.lit("-1"))).alias("label")))).alias("entities"))
+    rows = records.linking_records(fx.gold(spark, sf_dir))
     return rows.select("id", F.size("entities").alias("n"), F.col("entities")[0]["start"].alias("first_start"), F.array_max(F.col("entities.end")).alias("last_end"), F.size(F.filter("entities", lambda x: x["label"][0] == "-1")).alias("nil"))
 
 
+@query("SELECT paper_id||'_'||location AS id, count(*) AS n, md5(array_to_string(list(start_idx||'-'||(end_idx + 1)||'-'||label ORDER BY start_idx, end_idx, label), ',')) AS entities FROM gold GROUP BY ALL")
+def gbie_to_labelled_records(spark, sf_dir):
+    """The same with the entity's label, as a tokenizer's samples want them."""
+    rows = records.linking_records(fx.gold(spark, sf_dir), "label", separator="_")
+    said = F.transform("entities", lambda x: F.concat_ws("-", x["start"], x["end"], x["label"][0]))
+    return rows.select("id", F.size("entities").alias("n"), F.md5(F.array_join(said, ",")).alias("entities"))
+
+
 @query("SELECT p.paper_id, p.location, p.start_idx, p.end_idx, p.ord, coalesce(g.uri, '-1') AS uri FROM pred p LEFT JOIN (SELECT paper_id, location, start_idx, end_idx, min(uri) AS uri FROM gold GROUP BY ALL) g USING (paper_id, location, start_idx, end_idx) WHERE p.m = 2")
 def el_writeback(spark, sf_dir):
     """Linked spans written back to the entity list; those without an answer get -1."""
-    answers = fx.gold(spark, sf_dir).groupBy(*SPAN).agg(F.min("uri").alias("uri"))
-    return fx.pred(spark, sf_dir).filter("m = 2").join(answers, SPAN, "left").select(*SPAN, "ord", F.coalesce("uri", F.lit("-1")).alias("uri"))
+    return records.written_back(fx.pred(spark, sf_dir).filter("m = 2"), fx.gold(spark, sf_dir)).select(*SPAN, "ord", "uri")
 
 
 # --- pairs

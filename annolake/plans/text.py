@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from annolake import providers
 from annolake.functions import scores
 from annolake.functions.text import parse_label, split_term_label
-from annolake.operators import anchors, docred, finetune, relations, segment, sentences, spans
+from annolake.operators import anchors, docred, finetune, records, relations, segment, sentences, spans
 from annolake.plans.oracle import LABEL_LIST, hashed, quoted, tokenised
 from annolake.plans.registry import query
 from annolake.schema import LABELS, PREDICATES, valid_relations
@@ -29,7 +29,7 @@ def sections_split(spark, sf_dir):
 @query("SELECT paper_id, location, count(*) AS n, min(label) AS label FROM (SELECT DISTINCT paper_id, location, start_idx, end_idx, 'term' AS label FROM gold) GROUP BY ALL")
 def term_only_gold(spark, sf_dir):
     """Gold entities with 'term' for every label."""
-    made = fx.gold(spark, sf_dir).withColumn("label", F.lit("term")).select(*SPAN, "label").distinct()
+    made = records.as_terms(fx.gold(spark, sf_dir)).select(*SPAN, "label").distinct()
     return made.groupBy("paper_id", "location").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("label"))
 
 
@@ -129,7 +129,7 @@ def gliner_samples(spark, sf_dir):
 def gliner_token_level(spark, sf_dir):
     """One row a token of each entity, counted by label."""
     words = segment.solid(segment.tokenise(texts(spark, sf_dir), segment.GLINER))
-    each = segment.covered_tokens(words, fx.gold(spark, sf_dir)).withColumn("tok", F.explode(F.sequence("first_tok", "last_tok")))
+    each = records.entity_tokens(segment.covered_tokens(words, fx.gold(spark, sf_dir)))
     return each.groupBy("paper_id", "location", "label").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
@@ -144,7 +144,7 @@ sent2 AS (SELECT *, sum(b) OVER (PARTITION BY paper_id, location ORDER BY i) - 1
 st AS (SELECT p.*, q.sent_id, row_number() OVER (PARTITION BY p.paper_id, p.location, q.sent_id ORDER BY p.s) - 1 AS pos FROM parts p JOIN sents q ON p.paper_id = q.paper_id AND p.location = q.location AND p.s >= q.s AND p.e <= q.e)"""
 
 
-def records(spark, sf_dir):
+def document_records(spark, sf_dir):
     big = docred.with_enough_entities(fx.gold(spark, sf_dir))
     parts = docred.split_tokens(fx.tokens(spark, sf_dir), big)
     sents = docred.merged_sentences(segment.tokenise(texts(spark, sf_dir), docred.SENTENCE), big)
@@ -154,26 +154,26 @@ def records(spark, sf_dir):
 @query(DOC + " SELECT paper_id, location, s, e, tok FROM parts")
 def docred_tokens(spark, sf_dir):
     """Tokens, cut at entity boundaries."""
-    return records(spark, sf_dir)[1]
+    return document_records(spark, sf_dir)[1]
 
 
 @query(DOC + " SELECT * FROM sents")
 def docred_sentences(spark, sf_dir):
     """Sentences, merged where an entity crosses an end."""
-    return records(spark, sf_dir)[2]
+    return document_records(spark, sf_dir)[2]
 
 
 @query(DOC + " SELECT x.paper_id, x.location, x.ord, a.sent_id, a.pos AS first, b.pos + 1 AS end FROM big x JOIN st a ON a.paper_id = x.paper_id AND a.location = x.location AND a.s = x.start_idx JOIN st b ON b.paper_id = x.paper_id AND b.location = x.location AND b.e = x.end_idx + 1 AND a.sent_id = b.sent_id")
 def docred_entities(spark, sf_dir):
     """Places of entities in their sentences."""
-    big, _, _, tokens = records(spark, sf_dir)
+    big, _, _, tokens = document_records(spark, sf_dir)
     return docred.placed_entities(big, tokens).select("paper_id", "location", "ord", "sent_id", "first", "end")
 
 
 @query()
 def docred_nested(spark, sf_dir):
     """Whole records: title, sents, vertexSet."""
-    big, _, _, tokens = records(spark, sf_dir)
+    big, _, _, tokens = document_records(spark, sf_dir)
     return docred.nested(fx.with_text(docred.placed_entities(big, tokens), spark, sf_dir), tokens)
 
 

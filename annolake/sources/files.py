@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +110,42 @@ def safe_name(text: str, most: int = 80) -> str:
     return re.sub(r"_+", "_", re.sub(r"[^A-Za-z0-9.-]", "_", text)).strip("_")[:most] or "run"
 
 
+def output_id(given: str | None = None) -> str:
+    """An id for file names: letters, digits, dash and underscore of the one given, else the time and a random part."""
+    text = f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}Z_{uuid.uuid4().hex[:8]}" if given is None else str(given)
+    safe = re.sub(r"[^\w-]", "_", text).strip("_")
+    if not safe:
+        raise ValueError("an output id needs a letter, a digit or a dash")
+    return safe
+
+
+def free_paths(folder: str, given: str | None = None, kind: str = "ensemble") -> tuple[str, str, str]:
+    """(predictions, settings, id): paths in a driver-side folder that neither file has yet; a given id gets a number until they are free."""
+    os.makedirs(folder, exist_ok=True)
+    first = name = output_id(given)
+    number = 0
+    while True:
+        paths = tuple(os.path.join(folder, f"{kind}_{what}_{name}.json") for what in ("predictions", "config"))
+        if not any(map(os.path.exists, paths)):
+            return (*paths, name)
+        number += 1
+        name = output_id() if given is None else f"{first}_{number}"
+
+
+def write_model_metadata(folder: str, labels: list[str], settings: dict, name: str = "labels") -> None:
+    """label_mapping.json and training_args.json beside a model (driver-side files)."""
+    os.makedirs(folder, exist_ok=True)
+    for file, held in (("label_mapping.json", {name: labels}), ("training_args.json", settings)):
+        with open(os.path.join(folder, file), "w", encoding="utf-8") as out:
+            json.dump(held, out, indent=2, ensure_ascii=False, default=str)
+
+
+def read_label_mapping(folder: str, name: str = "labels") -> dict[int, str]:
+    """Number to label, as a model counts its outputs."""
+    with open(os.path.join(folder, "label_mapping.json"), encoding="utf-8") as lines:
+        return dict(enumerate(json.load(lines)[name]))
+
+
 def display_name(file: str) -> str:
     return re.sub(r"\.json$", "", file).replace("_", " ")
 
