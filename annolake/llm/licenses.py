@@ -9,8 +9,10 @@ the coverage.
 
 Edge cases: null and empty texts have no licenses; any length of text is scanned whole, in
 overlapping windows longer than a template, so notices that follow each other are found each; repeated rows get a row each; an empty table gives an
-empty result; extra columns are ignored. Of templates that match the same words, the one
-with most matched words wins, then the first by name.
+empty result; extra columns are ignored. A find needs the words that tell its license from its
+relatives (a version, "Affero", a clause), and none of theirs may be left over among its matches;
+within three words after a negation of the same sentence it is none. Of templates that match the same words, the one
+with most matched words wins, then the narrower, then the first by name.
 """
 
 from __future__ import annotations
@@ -33,20 +35,57 @@ TOKEN = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC-BY-4.0-notice": "This work is licensed under the Creative Commons Attribution 4.0 International License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "MIT-notice": "Released under the MIT License",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "all-rights-reserved": "All rights reserved",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software.",
+    "CC0-1.0-notice": "This work is marked with CC0 1.0 Universal",
+    "Apache-2.0-text": 'TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License. "Legal Entity" shall mean the union of the acting entity and all other entities that control, are controlled by, or are under common control with that entity.',
+    "MPL-2.0-text": "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. Contributor Version means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution.",
+    "GPL-2.0-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "GPL-3.0-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "AGPL-3.0-text": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "LGPL-3.0-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
 }
+#: Words that a template has to have matched (they tell it from its relatives), and words that bar it where they are left over among its matches.
+DECIDING: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("apache", "2.0"), "Apache-2.0-header": ("apache", "2.0"), "MIT-notice": ("mit",), "MPL-2.0-notice": ("mozilla", "2.0"), "MPL-2.0-text": ("mozilla", "2.0"), "CC0-1.0": ("cc0",), "CC0-1.0-notice": ("cc0",),
+    "GPL-2.0-text": ("2", "1991"), "GPL-3.0-text": ("3", "2007"), "AGPL-3.0-text": ("affero", "3"), "LGPL-3.0-text": ("lesser", "3"), "all-rights-reserved": ("all", "rights", "reserved"),
+}
+BARRING: dict[str, tuple[str, ...]] = {"GPL-2.0-text": ("affero", "lesser"), "GPL-3.0-text": ("affero", "lesser")}
+
+#: The GNU licenses: name, what it speaks of, its kind, its version. Their notices and short forms differ in these only.
+for _name, _what, _kind, _version in (("GPL-2.0", "program", "", "2"), ("GPL-3.0", "program", "", "3"), ("LGPL-2.1", "library", "Lesser ", "2.1"), ("LGPL-3.0", "program", "Lesser ", "3"), ("AGPL-3.0", "program", "Affero ", "3")):
+    TEMPLATES[f"{_name}-notice"] = (
+        f"This {_what} is free software: you can redistribute it and/or modify it under the terms of the GNU {_kind}General Public License as published by the Free Software Foundation, either version {_version} of the License, or (at your option) any later version. "
+        f"This {_what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {_kind}General Public License for more details."
+    )
+    TEMPLATES[_name] = f"This work is licensed under the GNU {_kind}General Public License, version {_version}"
+    for _form in (_name, f"{_name}-notice"):
+        DECIDING[_form] = ("gnu", _version, *(w.lower() for w in _kind.split()))
+        BARRING[_form] = tuple(w for w in ("affero", "lesser") if w not in _kind.lower())
+
+#: Creative Commons 4.0: the short name and the words of each kind.
+for _short, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    TEMPLATES[f"CC-{_short}-4.0"] = f"Licensed under CC {_short} 4.0"
+    TEMPLATES[f"CC-{_short}-4.0-notice"] = f"This work is licensed under the Creative Commons {_long} 4.0 International License"
+    DECIDING[f"CC-{_short}-4.0"], DECIDING[f"CC-{_short}-4.0-notice"] = ("cc", _short.lower(), "4.0"), (_long.lower(), "4.0")
+
+#: The two BSD licenses: the third clause tells them apart.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+)
+TEMPLATES["BSD-2-Clause"], TEMPLATES["BSD-3-Clause"] = _BSD[0] + _BSD[2], "".join(_BSD)
+DECIDING["BSD-3-Clause"], BARRING["BSD-2-Clause"] = ("neither", "endorse", "promote"), ("neither", "endorse", "promote")
+
+#: A find right after one of these is none: the text says that the license does not hold.
+SENTENCE = re.compile(r"[.;:!?\n]")
+NEGATIONS, NEGATED = frozenset(("not", "never", "no", "neither", "isn't", "aren't", "wasn't", "weren't", "longer")), 3
 #: Common words, which say nothing about a license.
 COMMON = frozenset("a above all an and any are as at be but by can for form from if in include included including is it list may must new not of on one or other out provided see shall that the these this to use used version was which will with without you your".split())
 
@@ -105,6 +144,8 @@ class Template:
     name: str
     words: list[str]
     marks: frozenset  # distinctive words
+    needed: frozenset
+    barred: frozenset
 
 
 @dataclass(frozen=True)
@@ -122,7 +163,7 @@ def templates() -> tuple[list[Template], dict[str, list[int]]]:
     made = []
     for name, text in sorted(TEMPLATES.items()):
         own = [w.lower() for w in TOKEN.findall(text)]
-        made.append(Template(name, own, frozenset(w for w in own if w not in COMMON and len(w) > 1)))
+        made.append(Template(name, own, frozenset(w for w in own if w not in COMMON and len(w) > 1), frozenset(DECIDING.get(name, ())), frozenset(BARRING.get(name, ()))))
     return made, {w: [k for k, t in enumerate(made) if w in t.marks] for t in made for w in t.marks}
 
 
@@ -185,9 +226,14 @@ def scan(text: str, least: float = 0.75) -> list[Find]:
             pairs = near_the_rest([(p + first, q) for p, q in aligned(own[first : last + 1], t.words)], reach)
             if len(pairs) >= least * size:
                 a, b = pairs[0][0], pairs[-1][0]
+                matched = {p for p, _ in pairs}
+                if not t.needed <= {own[p] for p in matched} or not t.barred.isdisjoint(own[p] for p in range(a, b + 1) if p not in matched):
+                    continue
+                if any(own[p] in NEGATIONS and not SENTENCE.search(text, spots[p][1], spots[a][0]) for p in range(max(0, a - NEGATED), a)):
+                    continue
                 found.append((Find(t.name, spots[a][0], spots[b][1], len(pairs), len(pairs) / size), a, b))
     best: list[tuple[Find, int, int]] = []
-    for f in sorted(found, key=lambda f: (-f[0].matched, -f[0].coverage, f[0].name, f[1])):
+    for f in sorted(found, key=lambda f: (-f[0].matched, -f[0].coverage, f[2] - f[1], f[0].name, f[1])):
         if not any(f[1] <= g[2] and g[1] <= f[2] for g in best):
             best.append(f)
     return sorted((f[0] for f in best), key=lambda f: f.start)
