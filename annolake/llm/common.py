@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -40,10 +41,12 @@ _own_scratch: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own, removed at exit, only where none is set."""
+    """The folder that driver and executors share; one of our own, removed at exit, only where none is set and all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _own_scratch:
         path = tempfile.mkdtemp(prefix="annolake-")
