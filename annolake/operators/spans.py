@@ -48,6 +48,14 @@ def with_context(spans: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     return known.withColumns({"before": F.substring(F.col("text"), first + 1, start - first), "after": F.substring(F.col("text"), end + 2, F.lit(2 * window))}).drop("text")
 
 
+def byte_places(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """start_byte and end_byte (exclusive) of each distinct span in its section's UTF-8: counted once a span, however many pairs it is in."""
+    own = spans.select(*SPAN).distinct().join(texts, ["paper_id", "location"])
+    start = F.octet_length(F.substring(F.col("text"), F.lit(1), F.col("start_idx")))
+    size = F.octet_length(F.substring(F.col("text"), F.col("start_idx") + 1, F.col("end_idx") - F.col("start_idx") + 1))
+    return own.select(*SPAN, start.alias("start_byte"), (start + size).alias("end_byte"))
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 

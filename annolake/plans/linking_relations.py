@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annolake.functions.text import mark_entity, mark_pair
+from annolake.functions.text import mark_entity, mark_pair_bytes
 from annolake.operators import linking, records, relations, spans
 from annolake.plans.oracle import hashed, quoted
 from annolake.plans.registry import query
@@ -234,9 +234,16 @@ def mark_sql(source: str) -> str:
 
 
 def marked(spark, sf_dir, pairs):
+    """Places are turned to bytes once a span; pairs carry eight of them, and meet the text as bytes."""
     texts = spans.sections(fx.papers(spark, sf_dir))
-    ends = [F.col(f"{s}_{c}_idx") for s in ("subject", "object") for c in ("start", "end")]
-    return relations.apart(pairs).join(texts, ["paper_id", "location"]).select("paper_id", "location", "subject_start_idx", "object_start_idx", F.md5(mark_pair(F.col("text"), *ends)).alias("marked"))
+    own = relations.apart(pairs)
+    ends = own.select("paper_id", "location", F.inline(F.array(*[F.struct(F.col(f"{s}_start_idx").alias("start_idx"), F.col(f"{s}_end_idx").alias("end_idx")) for s in relations.SIDES])))
+    known = spans.byte_places(ends, texts)
+    for s in relations.SIDES:
+        own = own.join(known.withColumnsRenamed({c: f"{s}_{c}" for c in ("start_idx", "end_idx", "start_byte", "end_byte")}), ["paper_id", "location", f"{s}_start_idx", f"{s}_end_idx"])
+    data = texts.select("paper_id", "location", F.encode("text", "UTF-8").alias("data"))
+    bytes_ = [F.col(f"{s}_{c}_byte") for s in relations.SIDES for c in ("start", "end")]
+    return own.join(data, ["paper_id", "location"]).select("paper_id", "location", "subject_start_idx", "object_start_idx", F.md5(mark_pair_bytes(F.col("data"), *bytes_)).alias("marked"))
 
 
 @query(mark_sql("gold_relations"))

@@ -23,6 +23,13 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _kept[key]
 
 
+def release() -> None:
+    """Gives up what is kept, so that the next query makes its collections itself."""
+    for df in _kept.values():
+        df.unpersist()
+    _kept.clear()
+
+
 def hashed(*parts) -> Column:
     """The first six hex digits of the md5 of the joined parts, as a number."""
     text = F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
