@@ -62,12 +62,15 @@ def keeps_markers(tokens: Column, *markers: str) -> Column:
     return F.coalesce(F.array_size(F.filter(F.array(*kept), lambda x: x)) == len(kept), F.lit(False))
 
 
-def parse_label(response: Column, labels: list[str] = LABELS) -> Column:
-    """The first line as a label: equal but for case, else the longest label that it holds, else NA."""
+def parse_label(response: Column, labels: list[str] = LABELS, longest: bool = True) -> Column:
+    """The first line as a label: equal but for case, else the longest label that it holds, else NA.
+
+    longest=False: of several labels that it holds the first of the list, whatever their length.
+    """
     line = F.lower(F.trim(F.split_part(response, F.lit("\n"), F.lit(1))))
-    longest = sorted(labels, key=lambda x: (-len(x), x))
+    order = sorted(labels, key=lambda x: (-len(x), x)) if longest else labels
     exact = F.coalesce(*[F.when(line == x.lower(), F.lit(x)) for x in labels])
-    return F.coalesce(exact, *[F.when(F.contains(line, F.lit(x.lower())), F.lit(x)) for x in longest], F.lit("NA"))
+    return F.coalesce(exact, *[F.when(F.contains(line, F.lit(x.lower())), F.lit(x)) for x in order], F.lit("NA"))
 
 
 def split_term_label(line: Column) -> Column:
@@ -87,12 +90,17 @@ def occurrences(text: Column, term: Column) -> Column:
     return F.when(F.length(term) > 0, ends).otherwise(F.array().cast("array<int>"))
 
 
+#: The short escapes of JSON; other control characters are written as \\u and four digits.
+SHORT = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
 def json_string(value: Column) -> Column:
     """A JSON string literal, non-ASCII characters as they are."""
-    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    plain = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    out = plain
+    for code in range(32):
+        out = F.replace(out, F.lit(chr(code)), F.lit(SHORT.get(chr(code), f"\\u{code:04x}")))
+    return F.concat(F.lit('"'), F.when(value.rlike(r"[\x00-\x1f]"), out).otherwise(plain), F.lit('"'))
 
 
 def json_array(values: Column) -> Column:

@@ -7,6 +7,7 @@ import os
 import re
 import time
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,12 +85,14 @@ def read_tables(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
 
 
 def merged_tables(tables: list[DataFrame], sort: str | None = None, ascending: bool = False) -> DataFrame:
-    """Tables below each other, columns by name, sorted if the column exists."""
+    """Tables below each other, columns by name, sorted if the column exists; a warning tells if it doesn't."""
     out = tables[0]
     for more in tables[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
     if sort in out.columns:
         out = out.orderBy(F.col(sort).asc() if ascending else F.col(sort).desc())
+    elif sort:
+        warnings.warn(f"no column {sort} to sort by: {', '.join(out.columns)}", stacklevel=2)
     return out
 
 
@@ -105,6 +108,17 @@ def prediction_files(spark: SparkSession, folder: str, pattern: str = "*.json")
     return sorted(found, key=os.path.basename)
 
 
+def read_predictions(spark: SparkSession, folder: str, field: str = "entities", pattern: str = "*.json") -> DataFrame:
+    """name, paper_id, ord and the fields of each entity (or relation) of all prediction files of a folder; name: the file as it is shown.
+
+    Names of files that would be shown alike are an error of the caller: they would be scored as one.
+    """
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    corpus = raw.select("file", F.explode(F.from_json("value", f"map<string, {PAPER}>")).alias("paper_id", "content"))
+    name = F.replace(F.regexp_replace("file", r"\.json$", ""), F.lit("_"), F.lit(" "))
+    return corpus.select(name.alias("name"), "paper_id", F.posexplode(f"content.{field}").alias("ord", "x")).select("name", "paper_id", "ord", "x.*")
+
+
 def safe_name(text: str, most: int = 80) -> str:
     """A name for files: letters, digits, dot, dash and underscore, runs of others as one underscore."""
     return re.sub(r"_+", "_", re.sub(r"[^A-Za-z0-9.-]", "_", text)).strip("_")[:most] or "run"

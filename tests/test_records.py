@@ -1,9 +1,12 @@
 """Small operators between record forms, on hand-made rows."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from annolake.operators import records
+from annolake.functions.text import json_string, parse_label
+from annolake.operators import records, scoring
 from annolake.sources import files
 
 ENTITY = "paper_id string, location string, start_idx int, end_idx int, label string, uri string, ord int"
@@ -60,3 +63,32 @@ def test_names_and_metadata_of_runs(tmp_path):
         files.output_id("///")
     files.write_model_metadata(str(tmp_path / "model"), ["O", "B-gene"], {"epochs": 3, "path": tmp_path})
     assert files.read_label_mapping(str(tmp_path / "model")) == {0: "O", 1: "B-gene"}
+
+
+def test_json_text_is_that_of_python(spark):
+    values = ["", 'a "b" \\ c', "é 日本", "line\nfeed\ttab", *(f"x{chr(c)}y" for c in range(128)), "\\u000b", "\x0b\\"]
+    found = spark.createDataFrame([(v,) for v in values], "v string").select("v", json_string(F.col("v")).alias("j")).collect()
+    assert all(r["j"] == json.dumps(r["v"], ensure_ascii=False) for r in found) and len(found) == len(values)
+
+
+def test_labels_by_list_order_or_length(spark):
+    df = spark.createDataFrame([("a gene product",), ("GENE\nproduct",), ("none",)], "r string")
+    found = df.select(parse_label(F.col("r"), ["gene", "gene product"]).alias("a"), parse_label(F.col("r"), ["gene", "gene product"], longest=False).alias("b")).collect()
+    assert [tuple(r) for r in found] == [("gene product", "gene"), ("gene", "gene"), ("NA", "NA")]
+
+
+def test_a_folder_of_predictions_is_scored(spark, tmp_path):
+    entity = lambda s, label: {"start_idx": s, "end_idx": s + 1, "location": "title", "text_span": "ab", "label": label}
+    for name, own in (("model_a", [entity(0, "gene"), entity(5, "food")]), ("model_b", [entity(0, "food")])):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"1": {"metadata": {"title": "T", "abstract": ""}, "entities": own}}))
+    (tmp_path / "notes.txt").write_text("no predictions")
+    gold = spark.createDataFrame([("1", "title", 0, 1, "gene"), ("1", "title", 5, 6, "food")], "paper_id string, location string, start_idx int, end_idx int, label string")
+    found = files.read_predictions(spark, str(tmp_path))
+    scores = scoring.micro_macro(scoring.counted(found, gold, ["paper_id", "location", "start_idx", "end_idx", "label"], ["label"], ["name"]), ["name"])
+    assert {r["name"]: round(r["micro_f1"], 6) for r in scores.collect()} == {"model a": 1.0, "model b": 0.0}
+
+
+def test_missing_sort_column_warns(spark):
+    table = spark.createDataFrame([(1, 0.5)], "n int, micro_f1 double")
+    with pytest.warns(UserWarning, match="no column other"):
+        assert files.merged_tables([table, table], "other").count() == 2
