@@ -8,19 +8,20 @@ types over the whole collection and keeps what log-likelihood ratios tell:
 - pairs: an abbreviation, initial or number with its period and the word after it, that stay together;
 - case: whether a type is seen in lower case, and with a capital in the middle of a sentence.
 
-All of these are counts by type: each is one aggregation with partial sums, and no table but
-the types' own is joined. `split` then decides at each token from its own type and the next.
+All of these follow from one table of counts by type, which one pass over the texts fills: words
+are counted in their tasks before anything is shuffled. `split` then decides at each word that
+may end a sentence from its own type and the next.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from annolake.operators.segment import WHITESPACE, tokenise
 
 #: Fixed values of the method: score of an abbreviation, ratios of a starter and of a pair, and how often an abbreviation has its period.
 ABBREVIATION, STARTER, PAIR, CERTAIN = 0.3, 30.0, 7.88, 0.99
@@ -36,20 +37,47 @@ class Learnt:
     cases: DataFrame
 
 
-def typed(texts: DataFrame) -> DataFrame:
-    """paper_id, location, s, e, core, type, period, stop, upper, lower and after (type, upper and s of the next word) of words between white space.
+#: What may end a sentence, or belong to an abbreviation, within brackets and quotes; the exact rules look at such words only.
+LAST = r"[.!?][)\]}\"'’”»]*$"
+
+
+def kind(word: Column) -> dict[str, Column]:
+    """type, period, stop, upper and lower of a word.
+
+    The core is the word without brackets and quotes around it; type: it in lower case without its last period,
+    '#' for digits; period: it ends with one, and not with several; stop: it ends with ! or ?.
+    """
+    core = F.regexp_replace(F.regexp_replace(word, OPENING, ""), CLOSING, "")
+    period = core.rlike(r"[^.]\.$")
+    bare = F.lower(F.when(period, F.left(core, F.length(core) - 1)).otherwise(core))
+    return {"type": F.regexp_replace(bare, r"^\d+([.,]\d+)*$", "#"), "period": period, "stop": core.rlike(r"[!?]$"), "upper": core.rlike(r"^\p{Lu}"), "lower": core.rlike(r"^\p{Ll}")}
+
+
+def words(texts: DataFrame, *columns: str) -> DataFrame:
+    """columns, at (the word's number), tok, last (it may end a sentence), next and before (null at the ends) of words between white space, and before_last.
 
-    core: the word without brackets and quotes around it; type: it in lower case without its last period,
-    '#' for digits; stop: it ends with ! or ?.
+    A text's words are one array and its neighbours that array moved by one, so no row leaves its task.
     """
-    words = tokenise(texts, WHITESPACE).filter(r"tok rlike '\\S'")
-    core = F.regexp_replace(F.regexp_replace("tok", OPENING, ""), CLOSING, "")
-    made = words.select(*SECTION, "s", "e", core.alias("core"))
-    period = F.col("core").rlike(r"[^.]\.$")
-    kind = F.regexp_replace(F.lower(F.when(period, F.expr("substring(core, 1, length(core) - 1)")).otherwise(F.col("core"))), r"^\d+([.,]\d+)*$", "#")
-    made = made.select("*", period.alias("period"), F.col("core").rlike(r"[!?]$").alias("stop"), kind.alias("type"), F.col("core").rlike(r"^\p{Lu}").alias("upper"), F.col("core").rlike(r"^\p{Ll}").alias("lower"))
-    order = Window.partitionBy(*SECTION).orderBy("s")
-    return made.withColumns({"after": F.lead(F.struct("type", "upper", "s")).over(order), "middle": F.lag(~(F.col("period") | F.col("stop"))).over(order)})
+    own = texts.filter("text <> ''").select(*columns, F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("_w")).filter("size(_w) > 0")
+    own = own.withColumn("_e", F.transform("_w", lambda x: x.rlike(LAST)))
+    none = lambda kind: F.array(F.lit(None).cast(kind))
+    zipped = F.arrays_zip(F.sequence(F.lit(0), F.size("_w") - 1).alias("at"), F.col("_w").alias("tok"), F.col("_e").alias("last"), F.concat(F.slice("_w", F.lit(2), F.size("_w")), none("string")).alias("next"), F.concat(none("string"), F.slice("_w", F.lit(1), F.size("_w") - 1)).alias("before"), F.concat(none("boolean"), F.slice("_e", F.lit(1), F.size("_w") - 1)).alias("before_last"))
+    return own.select(*columns, F.inline(zipped))
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """type, period, stop, next (the type after a word that may end a sentence), n, n_lower, n_upper_middle: all that is learnt from.
+
+    Words are counted as they stand first, with what is told by their neighbours; only the distinct ones are looked at closely.
+    """
+    before = F.when(F.col("before").isNull(), F.lit(None)).when(F.col("before_last"), F.col("before")).otherwise("")
+    raw = words(texts).groupBy("tok", F.when(F.col("last"), F.col("next")).alias("next"), before.alias("before")).agg(F.count(F.lit(1)).alias("n"))
+    own, other = kind(F.col("tok")), kind(F.col("before"))
+    middle = F.when(F.col("before") == "", True).otherwise(F.coalesce(~(other["period"] | other["stop"]), F.lit(False)))
+    made = raw.select("n", *(v.alias(c) for c, v in own.items()), middle.alias("middle"), kind(F.col("next"))["type"].alias("next"))
+    keys = ["type", "period", "stop", F.when(F.col("period") | F.col("stop"), F.col("next")).alias("next")]
+    some = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return made.groupBy(*keys).agg(F.sum("n").alias("n"), some(F.col("lower")).alias("n_lower"), some(F.col("upper") & F.col("middle")).alias("n_upper_middle"))
 
 
 def likelihood(hits: Column, rows: Column, p: Column) -> Column:
@@ -64,64 +92,91 @@ def ratio(both: Column, first: Column, second: Column, total: Column) -> Column:
     return F.when(both * total > first * second, found).otherwise(0.0)
 
 
-def abbreviation_scores(words: DataFrame) -> DataFrame:
+def abbreviation_scores(counts: DataFrame) -> DataFrame:
     """type, n_with, n_without (a period), score of the types that have a letter and are seen with a period."""
-    total, periods = words.agg(F.count(F.lit(1)), F.count_if("period")).first()
-    counts = words.filter(r"type rlike '\\p{L}'").groupBy("type").agg(F.count_if("period").alias("n_with"), F.count_if(~F.col("period")).alias("n_without")).filter("n_with > 0")
+    total, periods = counts.agg(F.sum("n"), F.sum(F.when(F.col("period"), F.col("n")).otherwise(0))).first()
+    with_, without = (F.sum(F.when(c, F.col("n")).otherwise(0)) for c in (F.col("period"), ~F.col("period")))
+    types = counts.filter(r"type rlike '\\p{L}'").groupBy("type").agg(with_.alias("n_with"), without.alias("n_without")).filter("n_with > 0")
     rows, hits = F.col("n_with") + F.col("n_without"), F.col("n_with")
-    p = F.lit(periods / max(total, 1))
+    p = F.lit((periods or 0) / max(total or 0, 1))
     found = -2 * (likelihood(hits, rows, p) - likelihood(hits, rows, F.lit(CERTAIN)))
     letters = F.length(F.replace("type", F.lit("."), F.lit("")))
     dots = F.length("type") - letters + 1
-    return counts.withColumn("score", found * F.exp(-letters) * dots * F.pow(letters.cast("double"), -F.col("n_without").cast("double")))
+    return types.withColumn("score", found * F.exp(-letters) * dots * F.pow(letters.cast("double"), -F.col("n_without").cast("double")))
 
 
 def is_end(abbreviation: str = "abbreviation") -> Column:
     return F.col("stop") | (F.col("period") & F.col(abbreviation).isNull())
 
 
-def marked(words: DataFrame, abbreviations: DataFrame) -> DataFrame:
-    return words.join(abbreviations.select("type", F.lit(True).alias("abbreviation")), "type", "left")
+def marked(rows: DataFrame, abbreviations: DataFrame) -> DataFrame:
+    return rows.join(abbreviations.select("type", F.lit(True).alias("abbreviation")), "type", "left")
 
 
 def learnt(texts: DataFrame) -> Learnt:
-    """From texts (paper_id, location, text): all of them are counted."""
-    words = typed(texts)
-    abbreviations = abbreviation_scores(words).filter(F.col("score") >= ABBREVIATION)
-    known = marked(words, abbreviations)
-    total, ends = known.agg(F.count(F.lit(1)), F.count_if(is_end())).first()
-    types = words.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    cases = words.groupBy("type").agg(F.count_if("lower").alias("n_lower"), F.count_if(F.col("upper") & F.col("middle")).alias("n_upper_middle"))
-
-    begun = known.filter(is_end() & F.col("after").isNotNull()).groupBy(F.col("after.type").alias("type")).agg(F.count(F.lit(1)).alias("hits")).filter(r"type rlike '\\p{L}'")
-    starters = begun.join(types, "type").withColumn("ratio", ratio(F.col("hits"), F.lit(ends), F.col("n"), F.lit(total))).filter(F.col("ratio") >= STARTER)
-
-    first = known.filter(F.col("period") & F.col("after").isNotNull() & (F.col("abbreviation").isNotNull() | F.col("type").rlike(r"^(#|\p{L})$")))
-    both = first.groupBy("type", F.col("after.type").alias("next")).agg(F.count(F.lit(1)).alias("hits")).filter("hits > 1")
-    pairs = both.join(types, "type").join(types.select(F.col("type").alias("next"), F.col("n").alias("n_next")), "next")
+    """From texts (text): all of them are counted, once; the counts by type are kept for the session."""
+    counts = counted(texts).persist()
+    abbreviations = abbreviation_scores(counts).filter(F.col("score") >= ABBREVIATION)
+    known = marked(counts, abbreviations)
+    total, ends = known.agg(F.sum("n"), F.sum(F.when(is_end(), F.col("n")).otherwise(0))).first()
+    types = counts.groupBy("type").agg(F.sum("n").alias("n"), F.sum("n_lower").alias("n_lower"), F.sum("n_upper_middle").alias("n_upper_middle"))
+
+    begun = known.filter(is_end() & F.col("next").isNotNull()).groupBy(F.col("next").alias("type")).agg(F.sum("n").alias("hits")).filter(r"type rlike '\\p{L}'")
+    starters = begun.join(types.select("type", "n"), "type").withColumn("ratio", ratio(F.col("hits"), F.lit(ends), F.col("n"), F.lit(total))).filter(F.col("ratio") >= STARTER)
+
+    first = known.filter(F.col("period") & F.col("next").isNotNull() & (F.col("abbreviation").isNotNull() | F.col("type").rlike(r"^(#|\p{L})$")))
+    both = first.groupBy("type", "next").agg(F.sum("n").alias("hits")).filter("hits > 1")
+    pairs = both.join(types.select("type", "n"), "type").join(types.select(F.col("type").alias("next"), F.col("n").alias("n_next")), "next")
     pairs = pairs.withColumn("ratio", ratio(F.col("hits"), F.col("n"), F.col("n_next"), F.lit(total))).filter(F.col("ratio") >= PAIR)
-    return Learnt(abbreviations, starters.select("type", "hits", "n", "ratio"), pairs.select("type", "next", "hits", "ratio"), cases)
+    return Learnt(abbreviations, starters.select("type", "hits", "n", "ratio"), pairs.select("type", "next", "hits", "ratio"), types.select("type", "n_lower", "n_upper_middle"))
 
 
 def ends(texts: DataFrame, known: Learnt) -> DataFrame:
-    """paper_id, location, e, after: where sentences end, and the start of the next word. After ! or ?, and after a period unless an abbreviation, an initial or a pair tells otherwise.
+    """paper_id, location, at: the words that end sentences. After ! or ?, and after a period unless an abbreviation, an initial or a pair tells otherwise.
 
     An abbreviation or initial ends one where the next word has a capital, and either is a starter or is
-    known in lower case but never had a capital in the middle of a sentence.
+    known in lower case but never had a capital in the middle of a sentence. A text's last word is not told.
     """
-    words = marked(typed(texts).filter("period or stop"), known.abbreviations).withColumn("next", F.col("after.type"))
-    words = words.join(known.starters.select(F.col("type").alias("next"), F.lit(True).alias("starter")), "next", "left")
-    words = words.join(known.pairs.select("type", "next", F.lit(True).alias("pair")), ["type", "next"], "left")
-    words = words.join(known.cases.filter("n_lower > 0 and n_upper_middle = 0").select(F.col("type").alias("next"), F.lit(True).alias("lowered")), "next", "left")
+    some = words(texts, *SECTION).filter(F.col("last") & F.col("next").isNotNull())
+    own, after = kind(F.col("tok")), kind(F.col("next"))
+    rows = some.select(*SECTION, "at", *(own[c].alias(c) for c in ("type", "period", "stop")), after["type"].alias("next"), after["upper"].alias("capital")).filter("period or stop")
+    rows = marked(rows, known.abbreviations)
+    rows = rows.join(known.starters.select(F.col("type").alias("next"), F.lit(True).alias("starter")), "next", "left")
+    rows = rows.join(known.pairs.select("type", "next", F.lit(True).alias("pair")), ["type", "next"], "left")
+    rows = rows.join(known.cases.filter("n_lower > 0 and n_upper_middle = 0").select(F.col("type").alias("next"), F.lit(True).alias("lowered")), "next", "left")
     short = F.col("abbreviation").isNotNull() | F.col("type").rlike(r"^\p{L}$")
-    begins = F.coalesce(F.col("after.upper"), F.lit(False)) & (F.col("starter").isNotNull() | F.col("lowered").isNotNull())
-    return words.filter(F.col("stop") | (F.col("pair").isNull() & (~short | begins))).select(*SECTION, "e", F.col("after.s").alias("after"))
+    begins = F.col("capital") & (F.col("starter").isNotNull() | F.col("lowered").isNotNull())
+    return rows.filter(F.col("stop") | (F.col("pair").isNull() & (~short | begins))).select(*SECTION, "at")
+
+
+#: The words of Java's and RE2's patterns: white space is ASCII.
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def cut(text: str, ends: list[int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of sentences: each but the first begins with the word after one of `ends`, numbers of words in order."""
+    begins = {k + 1 for k in ends}
+    at = 0
+    for k, m in enumerate(WORD.finditer(text)):
+        if k in begins:
+            yield at, m.start()
+            at = m.start()
+    yield at, len(text)
 
 
 def split(texts: DataFrame, known: Learnt) -> DataFrame:
-    """paper_id, location, i, tok, s, e: sentences that partition each text, as `segment.tokenise` gives tokens; white space belongs to the one before."""
-    begins = ends(texts, known).filter("after is not null").select(*SECTION, F.col("after").alias("s"), F.lit(1).alias("begins"))
-    so_far = Window.partitionBy(*SECTION).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    parts = tokenise(texts, WHITESPACE).join(begins, [*SECTION, "s"], "left").withColumn("sentence", F.sum(F.coalesce("begins", F.lit(0))).over(so_far))
-    pieces = F.array_sort(F.collect_list(F.struct("i", "tok")))
-    return parts.groupBy(*SECTION, F.col("sentence").cast("int").alias("i")).agg(F.array_join(F.transform(pieces, lambda x: x["tok"]), "").alias("tok"), F.min("s").alias("s"), F.max("e").alias("e"))
+    """paper_id, location, i, tok, s, e: sentences that partition each text, as `segment.tokenise` gives tokens; white space belongs to the one before.
+
+    Only words that may end a sentence leave their text; what they tell comes back as numbers of words.
+    """
+    told = ends(texts, known).groupBy(*SECTION).agg(F.collect_list("at").alias("ends"))
+    own = texts.filter("text <> ''").select(*SECTION, "text").join(told, SECTION, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                paper, location, text, marks = (batch.column(c)[k].as_py() for c in range(4))
+                spans = list(cut(text, marks or []))
+                yield pa.record_batch([pa.array([paper] * len(spans), pa.string()), pa.array([location] * len(spans), pa.string()), pa.array(range(len(spans)), pa.int32()), pa.array([text[a:b] for a, b in spans], pa.string()), pa.array([a for a, _ in spans], pa.int32()), pa.array([b for _, b in spans], pa.int32())], ["paper_id", "location", "i", "tok", "s", "e"])
+
+    return own.select(*SECTION, "text", "ends").mapInArrow(run, "paper_id string, location string, i int, tok string, s int, e int")

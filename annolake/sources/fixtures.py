@@ -1,7 +1,7 @@
 """Annotated collections derived from the documents table, for queries, tests and benchmarks.
 
-The same rules are written as SQL in ``annolake.plans.oracle``. Views are kept in memory, once
-for each session and folder, as most queries start from them.
+The same rules are written as SQL in ``annolake.plans.oracle``. Entities and relations
+are kept, once for each session and folder, as most queries start from them.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annolake.operators.segment import tokenise
     from annolake.operators.spans import sections
 
-    return kept(spark, sf_dir, "tokens", lambda: tokenise(sections(papers(spark, sf_dir)), WORDPUNCT))
+    return tokenise(sections(papers(spark, sf_dir)), WORDPUNCT)  # made again where it is read: all tokens take far more room than the texts
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
