@@ -11,10 +11,10 @@ from annolake.schema import LABELS, PREDICATES
 SIDES = ("subject", "object")
 
 
-def sides(entities: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
-    """The entities as subjects and as objects, joined on paper_id and location."""
+def sides(entities: DataFrame, *extra: str, by: tuple[str, ...] = ("paper_id", "location")) -> tuple[DataFrame, DataFrame]:
+    """The entities as subjects and as objects, to be joined on paper_id and location."""
     names = ["start_idx", "end_idx", "label", "ord", *extra]
-    return tuple(entities.select("paper_id", "location", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in SIDES)
+    return tuple(entities.select(*by, *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in SIDES)
 
 
 def forward_pairs(entities: DataFrame, *extra: str) -> DataFrame:
@@ -41,6 +41,17 @@ def gated(pairs: DataFrame, valid: DataFrame) -> DataFrame:
     return pairs.join(rule, ["subject_label", "object_label"])
 
 
+def valid_pairs(entities: DataFrame, valid: DataFrame, *extra: str, both_ways: bool = False, by: tuple[str, ...] = ("paper_id", "location")) -> DataFrame:
+    """As `gated` over forward pairs (or, both_ways, over all ordered pairs) of one group, without making those that the labels bar.
+
+    Each subject gets the labels that its object can have, a few, and meets only the entities of its group that have them.
+    """
+    subjects, objects = sides(entities, *extra, by=by)
+    rule = F.broadcast(valid.select(F.col("head").alias("subject_label"), F.col("tail").alias("object_label"), "predicates"))
+    made = subjects.join(rule, "subject_label").join(objects, [*by, "object_label"])
+    return made.filter("subject_ord <> object_ord" if both_ways else "subject_ord < object_ord")
+
+
 def apart(pairs: DataFrame) -> DataFrame:
     """Pairs of spans that don't overlap; touching spans are apart."""
     return pairs.filter("subject_end_idx + 1 <= object_start_idx or object_end_idx + 1 <= subject_start_idx")

@@ -182,13 +182,13 @@ PAIRS = ", ".join(PAIR)
 @query("SELECT a.paper_id, a.label AS subject_label, b.label AS object_label, count(*) AS n FROM gold a JOIN gold b ON a.paper_id = b.paper_id AND a.location = b.location AND a.ord <> b.ord JOIN valid v ON a.label = v.head AND b.label = v.tail WHERE a.end_idx + 1 <= b.start_idx OR b.end_idx + 1 <= a.start_idx GROUP BY ALL")
 def pairs_ordered(spark, sf_dir):
     """All ordered pairs of a section that pass the type gate and don't overlap, by paper and labels."""
-    made = relations.apart(relations.gated(relations.ordered_pairs(fx.gold(spark, sf_dir)), valid_relations(spark)))
+    made = relations.apart(relations.valid_pairs(fx.gold(spark, sf_dir), valid_relations(spark), both_ways=True))
     return made.groupBy("paper_id", "subject_label", "object_label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT {PAIRS}, subject_label, object_label, array_to_string(predicates, ',') AS predicates FROM gated")
 def pairs_forward(spark, sf_dir):
-    made = relations.gated(relations.forward_pairs(fx.gold(spark, sf_dir)), valid_relations(spark))
+    made = relations.valid_pairs(fx.gold(spark, sf_dir), valid_relations(spark))
     return made.select(*PAIR, "subject_label", "object_label", F.array_join("predicates", ",").alias("predicates"))
 
 
@@ -196,14 +196,14 @@ def pairs_forward(spark, sf_dir):
 def pairs_cross_section(spark, sf_dir):
     """Forward pairs over title and abstract together, on joined offsets."""
     whole = spans.shifted(fx.gold(spark, sf_dir), fx.papers(spark, sf_dir))
-    made = relations.gated(relations.cross_pairs(whole), valid_relations(spark))
+    made = relations.valid_pairs(whole.withColumnRenamed("location", "section"), valid_relations(spark), "section", by=("paper_id",))
     return made.groupBy("paper_id", F.col("subject_section"), F.col("object_section")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("object_start_idx") - F.col("subject_start_idx")).cast("long")).alias("distance"))
 
 
 @query("SELECT paper_id, location, subject_ord, object_ord, coalesce(r.predicate, 'NA') AS predicate FROM gated g LEFT JOIN (SELECT paper_id, location, subject_ord, object_ord, predicate FROM gold_relations) r USING (paper_id, location, subject_ord, object_ord)")
 def pair_gold_or_na(spark, sf_dir):
     """Every gated pair with its annotated predicate, or NA."""
-    pairs = relations.gated(relations.forward_pairs(fx.gold(spark, sf_dir)), valid_relations(spark))
+    pairs = relations.valid_pairs(fx.gold(spark, sf_dir), valid_relations(spark))
     keys = ["paper_id", "location", "subject_ord", "object_ord"]
     return relations.with_predicate(pairs, fx.gold_relations(spark, sf_dir), keys, "predicate").select(*keys, "predicate")
 
@@ -214,7 +214,7 @@ NEG = hashed("'s|'||paper_id||'|'||location||'|'||subject_start_idx||'|'||object
 @query(f", free AS (SELECT * FROM gated g WHERE NOT EXISTS (SELECT 1 FROM gold_relations r WHERE (r.paper_id, r.location, r.subject_start_idx, r.object_start_idx) = (g.paper_id, g.location, g.subject_start_idx, g.object_start_idx))), room AS (SELECT paper_id, count(*) AS room FROM gold_relations GROUP BY paper_id), k AS (SELECT free.*, row_number() OVER (PARTITION BY paper_id ORDER BY {NEG}, paper_id, location, subject_start_idx, object_start_idx) AS n FROM free) SELECT paper_id, location, subject_start_idx, object_start_idx FROM k JOIN room USING (paper_id) WHERE n <= room")
 def negatives_pairs(spark, sf_dir):
     """As many unannotated pairs as a paper has relations, in a fixed random order."""
-    pairs = relations.gated(relations.forward_pairs(fx.gold(spark, sf_dir)), valid_relations(spark))
+    pairs = relations.valid_pairs(fx.gold(spark, sf_dir), valid_relations(spark))
     order = fx.hashed("s|", F.col("paper_id"), "|", F.col("location"), "|", F.col("subject_start_idx"), "|", F.col("object_start_idx"))
     return relations.negatives(pairs, fx.gold_relations(spark, sf_dir), 1, order).select("paper_id", "location", "subject_start_idx", "object_start_idx")
 

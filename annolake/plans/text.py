@@ -270,7 +270,7 @@ def ft_tc(spark, sf_dir):
 def ft_re(spark, sf_dir):
     """Relation examples; ids count positives and negatives of a paper."""
     keys = ["paper_id", "location", "subject_ord", "object_ord"]
-    pairs = relations.with_predicate(relations.gated(relations.forward_pairs(fx.gold(spark, sf_dir)), valid_relations(spark)), fx.gold_relations(spark, sf_dir), keys, "predicate")
+    pairs = relations.with_predicate(relations.valid_pairs(fx.gold(spark, sf_dir), valid_relations(spark)), fx.gold_relations(spark, sf_dir), keys, "predicate")
     return finetune.relation_examples(texts(spark, sf_dir), pairs, SYSTEM, TEMPLATE).select("paper_id", "id", "assistant")
 
 

@@ -277,7 +277,7 @@ def extract_relations(entities: DataFrame, texts: DataFrame, valid: DataFrame, c
     window: the classifier sees so many characters around each span, which are cut once an
     entity; without it, it sees the whole text once a pair.
     """
-    seen = marked_pairs(entities, texts, lambda x, more: relations.apart(relations.gated(relations.ordered_pairs(x, *more), valid)), window)
+    seen = marked_pairs(entities, texts, lambda x, more: relations.apart(relations.valid_pairs(x, valid, *more, both_ways=True)), window)
     seen = seen.withColumn("choices", F.array_append("predicates", F.lit("NA")))
     made = judged(seen, "seen", classifier, "choices").withColumns({"predicate": F.col("verdict.label"), "confscore": F.col("verdict.confscore")})
     return made.filter("predicate <> 'NA'").drop("verdict", "seen", "choices", "predicates")
@@ -351,7 +351,7 @@ def llm_relations(entities: DataFrame, texts: DataFrame, valid: DataFrame, chat:
         both = texts.groupBy("paper_id").agg(F.max(F.when(F.col("location") == "title", F.col("text"))).alias("title"), F.max(F.when(F.col("location") == "abstract", F.col("text"))).alias("abstract")).fillna("")
         own = spans.shifted(own, both).withColumn("location", F.lit("all"))
         texts = both.select("paper_id", F.lit("all").alias("location"), F.concat("title", F.lit(" "), "abstract").alias("text"))
-    pairs = marked_pairs(own, texts, lambda x, more: relations.gated(relations.forward_pairs(x, "section", *more), valid), window)
+    pairs = marked_pairs(own, texts, lambda x, more: relations.valid_pairs(x, valid, "section", *more), window)
     said = asked(pairs.withColumnRenamed("seen", "text"), chat, system, template, temperature)
     made = said.withColumns({"predicate": parse_label(F.col("response"), PREDICATES), "confscore": F.lit(NO_SCORE)}).filter("predicate <> 'NA'")
     made = made.withColumnsRenamed({f"{s}_section": f"{s}_location" for s in relations.SIDES}).drop("text", "response", "failure", "predicates", "location")

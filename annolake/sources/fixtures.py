@@ -103,10 +103,10 @@ def with_text(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forward pairs of gold entities that pass the type gate; every tenth, with a valid predicate."""
-    from annolake.operators.relations import forward_pairs, gated
+    from annolake.operators.relations import valid_pairs
 
     def make() -> DataFrame:
-        pairs = gated(forward_pairs(gold(spark, sf_dir)), valid_relations(spark))
+        pairs = valid_pairs(gold(spark, sf_dir), valid_relations(spark))
         key = [F.col("paper_id"), "|", F.col("location"), "|", F.col("subject_start_idx"), "|", F.col("object_start_idx")]
         pick = F.element_at("predicates", (hashed("p|", *key) % F.size("predicates") + 1).cast("int"))
         return pairs.filter(hashed("r|", *key) % 10 == 0).withColumn("predicate", pick).drop("predicates")
@@ -118,9 +118,9 @@ def pred_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of three pseudo-models: most gold ones, some with another predicate, and a few others."""
 
     def make() -> DataFrame:
-        from annolake.operators.relations import forward_pairs, gated
+        from annolake.operators.relations import valid_pairs
 
-        pairs = gated(forward_pairs(gold(spark, sf_dir)), valid_relations(spark))
+        pairs = valid_pairs(gold(spark, sf_dir), valid_relations(spark))
         key = [F.col("paper_id"), "|", F.col("location"), "|", F.col("subject_start_idx"), "|", F.col("object_start_idx")]
         every = pairs.withColumn("m", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumns({"h": hashed("q|", F.col("m"), "|", *key), "r": hashed("r|", *key) % 10 == 0, "p": hashed("p|", *key)})
         own = every.filter((F.col("r") & (F.col("h") % 100 < 80)) | (~F.col("r") & (F.col("h") % 100 < 2)))

@@ -195,6 +195,17 @@ def test_pairs_and_gates(spark):
     assert relations.forward_pairs(some).count() == 6
 
 
+def test_valid_pairs_are_gated_pairs(spark):
+    rng = random.Random(8)
+    labels = ["gene", "bacteria", "chemical", "food", "human", "none", None]
+    rows = [(f"p{k % 3}", rng.choice(["title", "abstract"]), k, k, rng.choice(labels), k) for k in range(80)]
+    some, valid = spark.createDataFrame(rows, SCHEMA), valid_relations(spark)
+    same = lambda a, b: sorted(map(repr, a.select(sorted(b.columns)).collect())) == sorted(map(repr, b.select(sorted(b.columns)).collect())) and a.count() > 50
+    assert same(relations.valid_pairs(some, valid), relations.gated(relations.forward_pairs(some), valid))
+    assert same(relations.valid_pairs(some, valid, both_ways=True), relations.gated(relations.ordered_pairs(some), valid))
+    assert same(relations.valid_pairs(some.withColumnRenamed("location", "section"), valid, "section", by=("paper_id",)), relations.gated(relations.cross_pairs(some), valid))
+
+
 def test_markers(spark):
     one = spark.createDataFrame([("abcdef",)], "t string")
     n = lambda *x: [F.lit(k) for k in x]
