@@ -70,11 +70,11 @@ def counted(texts: DataFrame) -> DataFrame:
 
     Words are counted as they stand first, with what is told by their neighbours; only the distinct ones are looked at closely.
     """
-    before = F.when(F.col("before").isNull(), F.lit(None)).when(F.col("before_last"), F.col("before")).otherwise("")
-    raw = words(texts).groupBy("tok", F.when(F.col("last"), F.col("next")).alias("next"), before.alias("before")).agg(F.count(F.lit(1)).alias("n"))
-    own, other = kind(F.col("tok")), kind(F.col("before"))
-    middle = F.when(F.col("before") == "", True).otherwise(F.coalesce(~(other["period"] | other["stop"]), F.lit(False)))
-    made = raw.select("n", *(v.alias(c) for c, v in own.items()), middle.alias("middle"), kind(F.col("next"))["type"].alias("next"))
+    other = kind(F.col("before"))  # looked at only where it may have ended a sentence
+    middle = F.when(F.col("before").isNull(), False).when(~F.col("before_last"), True).otherwise(~(other["period"] | other["stop"]))
+    raw = words(texts).groupBy("tok", F.when(F.col("last"), F.col("next")).alias("next"), middle.alias("middle")).agg(F.count(F.lit(1)).alias("n"))
+    own = kind(F.col("tok"))
+    made = raw.select("n", "middle", *(v.alias(c) for c, v in own.items()), kind(F.col("next"))["type"].alias("next"))
     keys = ["type", "period", "stop", F.when(F.col("period") | F.col("stop"), F.col("next")).alias("next")]
     some = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     return made.groupBy(*keys).agg(F.sum("n").alias("n"), some(F.col("lower")).alias("n_lower"), some(F.col("upper") & F.col("middle")).alias("n_upper_middle"))
