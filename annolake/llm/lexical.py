@@ -20,6 +20,7 @@ null ids last; empty tables give an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -50,24 +51,43 @@ def terms(text: str | None) -> list[bytes]:
 POSTING = 10
 
 
-def list_rows(block: int, ids: list, found: list[Counter]) -> Iterator[pa.RecordBatch]:
-    """A row for the documents (term null) and one for each term, with its postings."""
-    order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
-    found, ids = [found[k] for k in order], [ids[k] for k in order]
-    size = np.array([c.total() for c in found], np.int64)
-    number: dict[bytes, int] = {}
-    term = np.array([number.setdefault(t, len(number)) for c in found for t in c], np.int64)
-    tf = np.array([n for c in found for n in c.values()], np.uint32)
-    place = np.repeat(np.arange(len(found)), [len(c) for c in found])
-    by_term = np.argsort(term, kind="stable")
-    ends = np.cumsum(np.bincount(term, minlength=len(number)))
-    place, tf = place[by_term].astype(np.uint16), tf[by_term]
-    n = np.minimum(size[place], 2**32 - 1).astype(np.uint32)
-    yield pa.record_batch([pa.array([block]), pa.array([None], pa.string()), pa.nulls(1, pa.binary()), pa.array([int(size.sum())]), pa.array([ids], pa.list_(pa.int64()))], NAMES)
-    names, starts = list(number), ends - np.diff(ends, prepend=0)
+class Block:
+    """Documents of a block as they come: their ids, and the number and frequency of each of their terms."""
+
+    def __init__(self) -> None:
+        self.ids: list = []
+        self.number: dict[bytes, int] = {}
+        self.term, self.tf, self.held, self.size = array("q"), array("q"), array("q"), array("q")
+
+    def add(self, doc_id: int | None, found: Counter) -> None:
+        number = self.number
+        self.ids.append(doc_id)
+        self.term.extend([number.setdefault(t, len(number)) for t in found])
+        self.tf.extend(found.values())
+        self.held.append(len(found))
+        self.size.append(found.total())
+
+    def full(self) -> bool:
+        return len(self.ids) == BLOCK_DOCS or len(self.term) >= BLOCK_POSTINGS
+
+
+def list_rows(number: int, block: Block) -> Iterator[pa.RecordBatch]:
+    """A row for the documents (term null) and one for each term, with its postings; places are in order of the ids."""
+    order = sorted(range(len(block.ids)), key=lambda k: (block.ids[k] is None, block.ids[k] or 0))
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    ids = [block.ids[k] for k in order]
+    term, tf, held, size = (np.frombuffer(x, np.int64) for x in (block.term, block.tf, block.held, block.size))
+    place = np.repeat(at, held)
+    by_term = np.lexsort((place, term))
+    ends = np.cumsum(np.bincount(term, minlength=len(block.number)))
+    n = np.minimum(np.repeat(size, held)[by_term], 2**32 - 1).astype(np.uint32)
+    place, tf = place[by_term].astype(np.uint16), np.minimum(tf[by_term], 2**32 - 1).astype(np.uint32)
+    yield pa.record_batch([pa.array([number]), pa.array([None], pa.string()), pa.nulls(1, pa.binary()), pa.array([int(size.sum())]), pa.array([ids], pa.list_(pa.int64()))], NAMES)
+    names, starts = list(block.number), ends - np.diff(ends, prepend=0)
     for k in range(0, len(names), 10_000):
         own = [place[p:q].tobytes() + tf[p:q].tobytes() + n[p:q].tobytes() for p, q in zip(starts[k : k + 10_000].tolist(), ends[k : k + 10_000].tolist())]
-        yield pa.record_batch([pa.array([block] * len(own)), pa.array([t.decode() for t in names[k : k + 10_000]]), pa.array(own, pa.binary()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.list_(pa.int64()))], NAMES)
+        yield pa.record_batch([pa.array([number] * len(own)), pa.array([t.decode() for t in names[k : k + 10_000]]), pa.array(own, pa.binary()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.list_(pa.int64()))], NAMES)
 
 
 NAMES = ["block", "term", "postings", "length", "ids"]
@@ -77,20 +97,18 @@ def posting_lists(docs: DataFrame) -> DataFrame:
     """block, term, postings of every term of a block; the block's documents (ids, and length: their terms in all) in a row without a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        block, ids, found, postings = TaskContext.get().partitionId() << 32, [], [], 0
+        number, block = TaskContext.get().partitionId() << 32, Block()
         for batch in batches:
             for part in row_slices(batch):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     own = Counter(terms(text))
                     if own:
-                        ids.append(doc_id)
-                        found.append(own)
-                        postings += len(own)
-                        if len(ids) == BLOCK_DOCS or postings >= BLOCK_POSTINGS:
-                            yield from list_rows(block, ids, found)
-                            block, ids, found, postings = block + 1, [], [], 0
-        if ids:
-            yield from list_rows(block, ids, found)
+                        block.add(doc_id, own)
+                        if block.full():
+                            yield from list_rows(number, block)
+                            number, block = number + 1, Block()
+        if block.ids:
+            yield from list_rows(number, block)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "block long, term string, postings binary, length long, ids array<long>")
 
