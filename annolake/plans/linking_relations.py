@@ -160,7 +160,7 @@ def gbie_to_el(spark, sf_dir):
 
 
 @query("SELECT paper_id||'_'||location AS id, count(*) AS n, md5(array_to_string(list(start_idx||'-'||(end_idx + 1)||'-'||label ORDER BY start_idx, end_idx, label), ',')) AS entities FROM gold GROUP BY ALL")
-def gbie_to_labelled_records(spark, sf_dir):
+def labelled_records(spark, sf_dir):
     """The same with the entity's label, as a tokenizer's samples want them."""
     rows = records.linking_records(fx.gold(spark, sf_dir), "label", separator="_")
     said = F.transform("entities", lambda x: F.concat_ws("-", x["start"], x["end"], x["label"][0]))
