@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,8 +12,40 @@ WHITESPACE = r"\s+|\S+"
 GLINER = r"[\p{L}\p{N}_]+|[.,!?;:'\"()\[\]{}<>]|\s+|\S"
 
 
-#: Tokens given at once.
-ROWS = 100_000
+#: Tokens whose ends are summed up at once.
+BLOCK = 32
+
+
+def sums(sizes: Column) -> Column:
+    """Running sums of a short list: each is appended to those before it."""
+    return F.slice(F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), F.lit(2), F.size(sizes))
+
+
+def with_ends(parts: DataFrame, pieces: str) -> DataFrame:
+    """parts with `ends`: where each of the pieces (a list of texts, one after the other) ends.
+
+    Ends are running sums within blocks, and of blocks. No Python: rows stay in their partitions, and whatever they are
+    dealt by still holds after it.
+    """
+    block = lambda k: F.slice("_sizes", k * BLOCK + 1, F.lit(BLOCK))
+    own = parts.withColumn("_sizes", F.transform(pieces, F.length))
+    own = own.withColumn("_within", F.transform(F.sequence(F.lit(0), F.floor((F.size("_sizes") - 1) / BLOCK).cast("int")), lambda k: sums(block(k))))
+    own = own.withColumn("_before", F.concat(F.array(F.lit(0)), sums(F.transform("_within", lambda x: F.element_at(x, -1)))))
+    # Met by place, not looked up in a lambda: the optimiser would make the list anew for each element.
+    both = F.filter(F.arrays_zip("_within", "_before"), lambda x: x["_within"].isNotNull())
+    return own.withColumn("ends", F.flatten(F.transform(both, lambda x: F.transform(x["_within"], lambda e: e + x["_before"])))).drop("_sizes", "_within", "_before")
+
+
+def long_words(texts: DataFrame, least: int) -> DataFrame:
+    """paper_id, location, tok, s, e, ne: words of `least` characters or more, and the end of the next one (null: none).
+
+    A text is cut behind each such word, and after the last one into what is left, so only these words are placed.
+    """
+    pattern = F.lit(rf"[\s\S]*?([\p{{L}}\p{{N}}_]{{{least},}})|[\s\S]+")
+    parts = texts.filter("text <> ''").select("paper_id", "location", F.regexp_extract_all("text", pattern, F.lit(0)).alias("pieces"), F.regexp_extract_all("text", pattern, F.lit(1)).alias("tok"))
+    both = F.arrays_zip("tok", F.col("ends").alias("e"), F.slice("ends", F.lit(2), F.size("ends")).alias("ne"), F.slice("tok", F.lit(2), F.size("tok")).alias("after"))
+    each = with_ends(parts, "pieces").select("paper_id", "location", F.inline(both)).filter("tok <> ''")
+    return each.select("paper_id", "location", "tok", (F.col("e") - F.length("tok")).alias("s"), "e", F.expr("case when after <> '' then ne end").alias("ne"))
 
 
 def tokenise(texts: DataFrame, pattern: str) -> DataFrame:
@@ -27,24 +54,8 @@ def tokenise(texts: DataFrame, pattern: str) -> DataFrame:
     A text's tokens are cut, numbered and placed in the task that reads it: nothing is shuffled.
     """
     parts = texts.filter("text <> ''").select("paper_id", "location", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("toks"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            toks = batch.column(2).flatten()
-            held = batch.column(2).value_lengths().to_numpy()
-            size = pc.utf8_length(toks).to_numpy()
-            first = np.cumsum(held) - held  # each text's first token
-            row = np.repeat(np.arange(batch.num_rows), held)
-            ends = np.cumsum(size, dtype=np.int64)
-            before = np.concatenate([[0], ends])[first]
-            e = ends - before[row]
-            columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((np.arange(len(row)) - first[row]).astype(np.int32)), toks, pa.array((e - size).astype(np.int32)), pa.array(e.astype(np.int32))]
-            made = pa.record_batch(columns, ["paper_id", "location", "i", "tok", "s", "e"])
-            for k in range(0, made.num_rows, ROWS):
-                yield made.slice(k, ROWS)
-
-    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("paper_id", "location"))
-    return parts.mapInArrow(run, f"{kinds}, i int, tok string, s int, e int")
+    each = with_ends(parts, "toks").select("paper_id", "location", F.posexplode(F.arrays_zip("toks", "ends")).alias("i", "x"))
+    return each.select("paper_id", "location", "i", F.col("x.toks").alias("tok"), (F.col("x.ends") - F.length("x.toks")).alias("s"), F.col("x.ends").alias("e"))
 
 
 def solid(tokens: DataFrame) -> DataFrame:
