@@ -54,3 +54,11 @@ def test_parts_of_pairs_are_whole(monkeypatch):
     for name in ("PAIRS", "HELD"):
         monkeypatch.setattr(drawn, name, 50)
     assert whole and flat() == whole
+
+
+@pytest.mark.parametrize("name", ["ner_score", "nerd_score", "mre_score"])
+def test_scores_gather_no_lists_by_key(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # One list, of the few counts by model and label, is left.
+    assert len({x for x in plan.split() if x.startswith("collect_list(")}) <= 1 and "FullOuter" not in plan
+    assert plan.count("Exchange SinglePartition") <= 1
