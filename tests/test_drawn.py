@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from annolake.functions.digests import BLOCK, head, numbered_heads, prefixes
+from annolake.functions.digests import BLOCK, head, numbered_heads, prefixes, text_heads
 from annolake.operators.segment import long_words
 from annolake.plans import evaluation, linking_relations, models, registry, text  # noqa: F401  they register their queries
 from annolake.sources import drawn
@@ -32,6 +32,28 @@ def test_heads_of_numbered_texts():
         numbered_heads(*prefixes(["x" * 50]), np.zeros(1, int), np.array([10**6]))
 
 
+def test_heads_of_any_texts():
+    texts = ["g|étés", "", "g|" + "x" * 53, "g|" + "x" * 54, "g|" + "\U0001d4d0" * 30, "g|x"] + [f"g|{k}" for k in range(BLOCK)]
+    assert text_heads(texts)[0].tolist() == [head(x) for x in texts]
+    own = [x or "g" for x in texts]
+    assert text_heads(own, ("g", "n")).tolist() == [[head(c + x[1:]) for x in own] for c in "gn"]
+    assert text_heads([]).shape == (1, 0)
+
+
+def test_python_is_given_few_texts_at_once(spark):
+    session = registry.planned(spark)
+    texts = session.range(0, 3000, 1, 1).selectExpr("id", "repeat('word ', 2000) as text")
+    sizes = [r["n"] for r in texts.mapInArrow(lambda parts: (pa.record_batch([pa.array([x.nbytes])], ["n"]) for x in parts), "n long").collect()]
+    assert sum(sizes) > 25_000_000 and max(sizes) < 8_000_000
+
+
+def test_words_are_not_kept_between_texts():
+    before = set(vars(drawn))
+    for k in range(3):
+        drawn.Words([" ".join(f"word{k}x{j}" for j in range(2000))])
+    assert set(vars(drawn)) == before and not [x for x in (*vars(drawn).values(), *vars(drawn.Words).values()) if isinstance(x, dict) and any("x1999" in str(y) for y in x)]
+
+
 def test_words_are_those_of_the_operator(spark):
     made = drawn.Words(TEXTS)
     own = {(str(k), TEXTS[k][s:e], s, e, None if ne < 0 else ne) for k, s, e, ne in zip(*(x.tolist() for x in (made.section, made.s, made.e, made.ne)))}
