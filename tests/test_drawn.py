@@ -54,6 +54,11 @@ def test_words_are_not_kept_between_texts():
     assert set(vars(drawn)) == before and not [x for x in (*vars(drawn).values(), *vars(drawn.Words).values()) if isinstance(x, dict) and any("x1999" in str(y) for y in x)]
 
 
+def test_counts_by_model_deal_no_papers(spark):
+    plan = registry.QUERIES["metric_guards"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan
+
+
 def test_words_are_those_of_the_operator(spark):
     made = drawn.Words(TEXTS)
     own = {(str(k), TEXTS[k][s:e], s, e, None if ne < 0 else ne) for k, s, e, ne in zip(*(x.tolist() for x in (made.section, made.s, made.e, made.ne)))}
