@@ -1,4 +1,4 @@
-"""Subword pieces with places in the text: greedy longest match over a vocabulary trie, and its inverse.
+"""Subword pieces with places in the text: greedy longest match in a vocabulary, and its inverse.
 
 Words are split as `segment` does; each is cut from the left into the longest pieces that the
 vocabulary has. Pieces within a word carry `continues` in front ("##"), or the last one of a
@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window
 from annolake.operators.intervals import at_or_before, touched
 
 SECTION = ["paper_id", "location"]
-#: Rows given at once.
-ROWS = 50_000
+#: Rows given at once; words whose pieces are kept.
+ROWS, KNOWN = 50_000, 50_000
 
 
 @dataclass
@@ -34,42 +35,26 @@ class Vocabulary:
     unknown: str = "[UNK]"
     lower: bool = False
     most: int = 200  # a longer word is unknown
-    tries: dict[bool, dict] = field(default_factory=dict, repr=False)
-
-    def trie(self, inner: bool) -> dict:
-        """Nested dicts by character; "" holds a piece that ends there. inner: of pieces within words."""
-        if inner not in self.tries:
-            root: dict = {}
-            mark = self.continues if inner else ""
-            for piece in self.pieces:
-                if piece.startswith(mark) and (inner or not self.continues or not piece.startswith(self.continues)):
-                    node = root
-                    for c in piece[len(mark) :]:
-                        node = node.setdefault(c, {})
-                    node[""] = piece
-            self.tries[inner] = root
-        return self.tries[inner]
+    longest_piece: int | None = field(default=None, repr=False)
 
     def longest(self, word: str, start: int) -> tuple[str, int] | None:
         """The longest piece of a word at a place, and where it ends."""
-        node, found = self.trie(start > 0 and bool(self.continues)), None
-        for k in range(start, len(word) + 1):
-            if "" in node and k > start:
-                piece = node[""]
-                # A bare piece stands within a word only, where last pieces are marked.
-                if not self.ends or (k == len(word)) == piece.endswith(self.ends):
-                    found = piece, k
-            if k == len(word):
-                if self.ends:
-                    for c in self.ends:
-                        node = node.get(c) if node is not None else None
-                    if node and "" in node:
-                        found = node[""], k
-                break
-            node = node.get(word[k])
-            if node is None:
-                break
-        return found
+        inner, size = start > 0 and bool(self.continues), len(word)
+        for k in range(min(size, start + self.reach()), start, -1):
+            piece = self.continues + word[start:k] if inner else word[start:k]
+            if self.continues and not inner and piece.startswith(self.continues):
+                continue
+            if self.ends and k == size and piece + self.ends in self.pieces:
+                return piece + self.ends, k
+            # A bare piece stands within a word only, where last pieces are marked.
+            if piece in self.pieces and (not self.ends or (k == size) == piece.endswith(self.ends)):
+                return piece, k
+        return None
+
+    def reach(self) -> int:
+        if self.longest_piece is None:
+            self.longest_piece = max(map(len, self.pieces), default=0)
+        return self.longest_piece
 
     def cut(self, word: str) -> list[tuple[str, int, int]]:
         """(piece, start, end) of a word."""
@@ -116,6 +101,63 @@ def pieces(texts: DataFrame, vocabulary: Vocabulary, words: str = r"\w+|[^\w\s]"
     return texts.select(*SECTION, "text").mapInArrow(run, "paper_id string, location string, i int, piece string, id int, word int, s int, e int")
 
 
+def piece_lists(texts: DataFrame, vocabulary: Vocabulary, words: str = r"\w+|[^\w\s]") -> DataFrame:
+    """The same pieces, a row a section with at least one: paper_id, location and lists of piece, id, word, s, e, in order. Nothing is shuffled."""
+    pattern = re.compile(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        known: dict[str, list] = {}
+        for batch in batches:
+            held, size = [], 0
+            for row in zip(*batch.columns):
+                paper, location, text = (x.as_py() for x in row)
+                if found := list(pattern.finditer(text or "")):
+                    held.append((paper, location, [m[0] for m in found], [m.start() for m in found]))
+                    size += len(found)
+                if size >= ROWS:
+                    yield lists(held, known)
+                    held, size = [], 0
+            if held:
+                yield lists(held, known)
+
+    def lists(held: list[tuple], known: dict[str, list]) -> pa.RecordBatch:
+        said = [w for x in held for w in x[2]]
+        place = {w: k for k, w in enumerate(dict.fromkeys(said))}
+        if len(known) >= KNOWN:
+            known.clear()
+        for w in place:
+            if w not in known:
+                known[w] = vocabulary.cut(w)
+        # Each word's pieces stand once in `flat`; `at` finds those of all words in turn.
+        flat = [x for w in place for x in known[w]]
+        count = np.fromiter((len(known[w]) for w in place), np.int64, len(place))
+        which = np.fromiter(map(place.__getitem__, said), np.int64, len(said))
+        n = count[which]
+        at = np.arange(n.sum()) + np.repeat((np.cumsum(count) - count)[which] - (np.cumsum(n) - n), n)
+        starts = np.repeat(np.fromiter((s for x in held for s in x[3]), np.int64, len(said)), n)
+        s, e = (starts + np.fromiter((x[k] for x in flat), np.int64, len(flat))[at] for k in (1, 2))
+        sizes = np.fromiter((len(x[2]) for x in held), np.int64, len(held))
+        word = np.repeat(np.arange(len(said)) - np.repeat(np.cumsum(sizes) - sizes, sizes), n)
+        ends = np.concatenate([[0], np.cumsum(n)[np.cumsum(sizes) - 1]])
+        columns = [pa.array([x[0] for x in flat], pa.string()).take(pa.array(at)), pa.array([vocabulary.pieces.get(x[0]) for x in flat], pa.int32()).take(pa.array(at)), *(pa.array(x, pa.int32()) for x in (word, s, e))]
+        made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in columns]
+        return pa.record_batch([*(pa.array([x[k] for x in held], pa.string()) for k in (0, 1)), *made], [*SECTION, "piece", "id", "word", "s", "e"])
+
+    return texts.select(*SECTION, "text").mapInArrow(run, "paper_id string, location string, piece array<string>, id array<int>, word array<int>, s array<int>, e array<int>")
+
+
+def joined_list(continues: str = "##", ends: str = "") -> Column:
+    """The text that the lists of a row of `piece_lists` join to, as `joined` has it."""
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice("e", 1, F.size("e") - 1))
+
+    def plain(x: Column) -> Column:
+        bare = F.when(F.startswith(x, F.lit(continues)), F.substring(x, F.lit(len(continues) + 1), F.length(x))).otherwise(x) if continues else x
+        return F.when(F.endswith(bare, F.lit(ends)), F.left(bare, F.length(bare) - len(ends))).otherwise(bare) if ends else bare
+
+    spaced = F.zip_with("piece", F.zip_with(before, "s", lambda e, s: e < s), lambda x, apart: F.concat(F.when(apart, " ").otherwise(""), plain(x)))
+    return F.array_join(spaced, "")
+
+
 def joined(parts: DataFrame, continues: str = "##", ends: str = "", by: list[str] | None = None) -> DataFrame:
     """by, text: pieces (i, piece, s, e) as text again; marks go, and a space stands where places are apart.
 
