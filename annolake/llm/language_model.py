@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.llm import recurrent
-from annolake.llm.common import fold, map_arrow, pieces, slices, stored, words
+from annolake.llm.common import fold, map_arrow, pieces, slices, stored
 
 END = "\n"  # cannot be a word
 SHAPES = 10
@@ -48,10 +49,10 @@ SHARD_TOKENS, MAX_SHARDS = 1_000_000, 4_096
 ROWS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, extra double, place long, ids binary, rest map<string, int>"
 
 
-def shape(word: str) -> int:
+def shape(word: bytes) -> int:
     """Kind of an unknown word: 1 to SHAPES."""
-    last = word[-1]
-    return 1 + 5 * (not word.isascii()) + (".,!".find(last) + 1 or 4 * (last in "#*$%&|"))
+    last = word[-1:]
+    return 1 + 5 * (not word.isascii()) + (b".,!".find(last) + 1 or 4 * (last in b"#*$%&|"))
 
 
 def shape_column(word: Column) -> Column:
@@ -64,17 +65,18 @@ def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
     """word, c: of all documents, one end token each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
+        end = END.encode()
 
         def out() -> pa.RecordBatch:
-            made = pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+            made = pa.record_batch([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
             seen.clear()
             return made
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words(text, lower=True))
-                seen[END] += 1
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                seen.update((text or b"").lower().split())  # words, as `word_bytes` has them
+                seen[end] += 1
                 if len(seen) > flush:
                     yield out()
         yield out()
@@ -83,9 +85,9 @@ def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
 
 
 class Places(dict):
-    """word -> place in the table; other words: minus their kind."""
+    """word (bytes) -> place in the table; other words: minus their kind."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         return -shape(word)
 
 
@@ -110,19 +112,18 @@ class Vocabulary:
     def prepare(self) -> Places:
         """Made once in each process."""
         if not hasattr(self, "_places"):
-            self._places = Places((w, k) for k, w in enumerate(self.words))
+            own = [w.encode() for w in self.words]
+            self._places = Places(zip(own, range(len(own))))
             # The model's number of each place, then (from the end) of each kind.
             listed = np.arange(len(self.words)) + 1 + SHAPES
-            listed[self.known :] = [shape(w) for w in self.words[self.known :]]
+            listed[self.known :] = [shape(w) for w in own[self.known :]]
             self._numbers = np.concatenate([listed, np.arange(SHAPES, 0, -1)])
         return self._places
 
-    def numbers(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(places in the table, negative for words outside; model numbers, the end last)."""
+    def numbers(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the table, negative for words outside; model numbers)."""
         at = np.fromiter(map(self.prepare().__getitem__, own), np.int64, len(own))
-        ids = np.zeros(len(own) + 1, np.int64)
-        ids[:-1] = self._numbers[at]
-        return at, ids
+        return at, self._numbers[at]
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
@@ -144,7 +145,7 @@ def vocabulary(counts: DataFrame, table_words: int) -> Vocabulary:
     ends = kinds.pop(0, (0, 0))
     total, distinct = sum(n for n, _ in kinds.values()) + ends[0], sum(v for _, v in kinds.values()) + ends[1]
     for word, c in table[: recurrent.VOCABULARY - 1 - SHAPES]:  # these are no unknowns
-        k = shape(word)
+        k = shape(word.encode())
         kinds[k] = (kinds[k][0] - c, kinds[k][1] - 1)
     return Vocabulary(table, total, distinct, kinds, ends[0])
 
@@ -162,30 +163,32 @@ def numbered(docs: DataFrame, shared) -> DataFrame:
         table_logs = np.log10(known.counts + 1)
         for batch in batches:
             held, first = batch.column(2), 0
-            for keys, texts in slices(batch):
-                data, base, extra, n, n_known, place, rest = [], [], [], [], [], [], []
-                for key, text in zip(keys, texts):
-                    own = words(text, lower=True)
-                    at, number = known.numbers(own)
-                    listed = at[at >= 0]
-                    unknown = number[:-1][number[:-1] <= SHAPES]
-                    logs = table_logs[listed]
-                    data.append(number.astype("<u2").tobytes())
-                    base.append(unit * len(own) + logs.sum() + end)
-                    extra.append(kind_unit[unknown].sum() + logs[listed >= known.known].sum())
-                    n.append(len(number))
-                    n_known.append(len(listed) + (known.model_counts[0] > 1))
-                    place.append(xxhash.xxh3_64_intdigest(data[-1], seed=0 if key is None else key & 0xFFFFFFFF) >> 1)
-                    found: dict[str, int] = {}
-                    for k in np.flatnonzero(at < 0).tolist():
-                        found[own[k]] = found.get(own[k], 0) + 1
-                    rest.append(list(found.items()))
-                pairs = pa.MapArray.from_arrays(np.cumsum([0, *map(len, rest)]).astype(np.int32), pa.array([x for r in rest for x, _ in r], pa.string()), pa.array([c for r in rest for _, c in r], pa.int32()))
+            for keys, texts in slices(pa.record_batch([batch.column(0), batch.column(1).cast(pa.binary())], ["id", "text"]), 2_000_000, b""):
+                parts = [t.lower().split() for t in texts]  # words, as `word_bytes` has them
+                own, count = list(chain.from_iterable(parts)), len(parts)
+                sizes = np.fromiter(map(len, parts), np.int64, count)
+                text = np.repeat(np.arange(count), sizes)
+                at, number = known.numbers(own)
+                listed, unknown = at >= 0, number <= SHAPES
+                logs = np.zeros(len(own))
+                logs[listed] = table_logs[at[listed]]
+                beyond = np.where(at >= known.known, logs, 0.0)
+                beyond[unknown] += kind_unit[number[unknown]]
+                by_text = lambda values: np.bincount(text, values, minlength=count)  # noqa: B023, E731
+                # The numbers of all texts in one array, each text's end (0) after them.
+                ids, ends = np.zeros(len(own) + count, "<u2"), np.cumsum(sizes + 1)
+                ids[np.arange(len(own)) + text] = number
+                data = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype(np.int32)), pa.py_buffer(ids)])
+                place = [xxhash.xxh3_64_intdigest(x.as_buffer(), seed=0 if key is None else key & 0xFFFFFFFF) >> 1 for key, x in zip(keys, data)]
+                missed = np.flatnonzero(at < 0)
+                found = Counter(zip(text[missed].tolist(), (own[k] for k in missed.tolist())))  # in the order of texts
+                held_by = np.bincount([t for t, _ in found], minlength=count) if found else np.zeros(count, np.int64)
+                pairs = pa.MapArray.from_arrays(np.concatenate([[0], np.cumsum(held_by)]).astype(np.int32), pa.array([w for _, w in found], pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int32()))
                 yield pa.record_batch([
-                    pa.array(range(row, row + len(keys)), pa.int64()), pa.array(keys, pa.int64()), held.slice(first, len(keys)), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(extra, pa.float64()), pa.array(place, pa.int64()), pa.array(data, pa.binary()), pairs,
+                    pa.array(range(row, row + count), pa.int64()), pa.array(keys, pa.int64()), held.slice(first, count), pa.array(sizes + 1), pa.array(np.bincount(text, listed, minlength=count).astype(np.int64) + int(known.model_counts[0] > 1)),
+                    pa.array(unit * sizes + by_text(logs) + end), pa.array(by_text(beyond)), pa.array(place, pa.int64()), data, pairs,
                 ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "extra", "place", "ids", "rest"])
-                row, first = row + len(keys), first + len(keys)
+                row, first = row + count, first + count
 
     return map_arrow(docs.select("doc_id", "text", "held_out"), run, ROWS)
 

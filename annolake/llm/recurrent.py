@@ -38,15 +38,25 @@ def initial(counts: np.ndarray) -> Weights:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def step(w: Weights, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     x, a = w["emb"][ids], h @ w["rec"]
     gates = sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
     z, r, u = gates[:, :HIDDEN], gates[:, HIDDEN:], a[:, 2 * HIDDEN :]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * u)
-    return n + z * (h - n), z, r, u, n
+    n = r * u
+    n += x[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    h = h - n
+    h *= z
+    h += n
+    return h, z, r, u, n
 
 
 def runs(classes: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -165,15 +175,19 @@ class Trainer:
         """
         w, (steps, lanes) = self.w, ids.shape
         x = w["emb"][ids.ravel()].reshape(steps, lanes, 3 * HIDDEN)
-        prior, us, ns = (np.empty((steps, lanes, HIDDEN), np.float32) for _ in range(3))
-        gates, keep = np.empty((steps, lanes, 2 * HIDDEN), np.float32), (~begins).astype(np.float32)[:, :, None]
+        prior, z, r, us, ns = (np.empty((steps, lanes, HIDDEN), np.float32) for _ in range(5))
+        keep = (~begins).astype(np.float32)[:, :, None]
         for t in range(steps):
             prior[t] = h = h * keep[t]
             a = h @ w["rec"]
-            gates[t] = sigmoid(x[t, :, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-            us[t] = a[:, 2 * HIDDEN :]
-            ns[t] = np.tanh(x[t, :, 2 * HIDDEN :] + gates[t, :, HIDDEN:] * us[t])
-            h = ns[t] + gates[t, :, :HIDDEN] * (h - ns[t])
+            gate, n = sigmoid(x[t, :, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]), ns[t]
+            z[t], r[t], us[t] = gate[:, :HIDDEN], gate[:, HIDDEN:], a[:, 2 * HIDDEN :]
+            np.multiply(r[t], us[t], out=n)
+            n += x[t, :, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            h -= n  # n + z * (h - n)
+            h *= z[t]
+            h += n
         # Both softmaxes, tokens in the order of their numbers.
         at = np.flatnonzero(real.ravel())
         at = at[np.argsort(ids.ravel()[at].astype(np.int16), kind="stable")]
@@ -200,7 +214,7 @@ class Trainer:
         out[at] = dh
         out = out.reshape(steps, lanes, HIDDEN)
         # Back through time; what does not depend on later steps is made for all at once.
-        z, r, turned = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:], np.ascontiguousarray(w["rec"].T)
+        turned = np.ascontiguousarray(w["rec"].T)
         to_n, to_z, to_r = (1 - z) * (1 - ns * ns), (prior - ns) * z * (1 - z), us * r * (1 - r)
         da, dn, back = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.empty((steps, lanes, HIDDEN), np.float32), np.zeros((lanes, HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -208,7 +222,10 @@ class Trainer:
             np.multiply(back, to_z[t], out=da[t, :, :HIDDEN])
             np.multiply(dn[t], to_r[t], out=da[t, :, HIDDEN : 2 * HIDDEN])
             np.multiply(dn[t], r[t], out=da[t, :, 2 * HIDDEN :])
-            back = (back * z[t] + da[t] @ turned + out[t]) * keep[t]
+            back *= z[t]
+            back += da[t] @ turned
+            back += out[t]
+            back *= keep[t]
         g["rec"] = prior.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
         da[:, :, 2 * HIDDEN :] = dn
         used = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if count else np.zeros(0, np.int64)
