@@ -51,7 +51,7 @@ def byte_bpe(vocabulary: str) -> tuple[regex.Pattern, Cache]:
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-    return regex.compile(PATTERN), Cache(lambda word: np.array(encode(word.encode()), "<u4").tobytes(), 200_000)
+    return regex.compile(PATTERN), Cache(lambda word: np.array(encode(word.encode()), "<u4").tobytes(), 60_000)
 
 
 def encode(text: str, vocabulary: str) -> bytes:
