@@ -16,12 +16,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.functions.digests import marked_digests
+from annolake.functions.digests import Contexts, marked_digests
 from annolake.functions.responses import known_label, term_label_pairs
 from annolake.functions.text import mark_entity, mark_pair, mark_pair_context, parse_label, prompt
 from annolake.operators import relations, spans
@@ -50,7 +51,12 @@ class Tagger(Protocol):
 
 
 class Classifier(Protocol):
-    """classify_places(text, [(start, end inclusive)]), if it has it, gives what `classify` gives of the text with each of the places marked."""
+    """classify_places(text, [(start, end inclusive)]), if it has it, gives what `classify` gives of the text with each of the places marked.
+
+    classify_pairs(text, places by their starts, window), if it has it, gives a function of pairs of places (numbers of the first ones, of the second ones,
+    whether the first ones are the subjects) that tells something of the text around both, and choice(these, how many labels are allowed) the numbers
+    of the labels and the scores.
+    """
 
     def classify(self, text: str, allowed: list[str] | None = None) -> tuple[str, float]: ...
 
@@ -103,6 +109,14 @@ class HashClassifier:
         labels = allowed or self.labels
         return labels[h % len(labels)], h % 1000 / 1000
 
+    def classify_pairs(self, text: str, places: list[tuple[int, int]], window: int) -> Callable[[np.ndarray, np.ndarray, bool], np.ndarray]:
+        """Tells the hashes of what `marked_pairs` shows of pairs; the choice among their labels and the score follow from these (see `choice`)."""
+        return Contexts(text, places, window).heads
+
+    @staticmethod
+    def choice(said: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return said % sizes, said % 1000 / 1000
+
     def classify_places(self, text: str, places: list[tuple[int, int]]) -> list[tuple[str, float]]:
         found = (int.from_bytes(x[:3], "big") for x in marked_digests(text, places))
         return [(self.labels[h % len(self.labels)], h % 1000 / 1000) for h in found]
@@ -295,6 +309,56 @@ def extract_relations(entities: DataFrame, texts: DataFrame, valid: DataFrame, c
     return made.filter("predicate <> 'NA'").drop("verdict", "seen", "choices", "predicates")
 
 
+def pair_relations(sections: DataFrame, rules: list[tuple[str, str, list[str]]], classifier: Classifier, window: int) -> DataFrame:
+    """As `extract_relations` with a window, of sections (paper_id, location, text, lists start_idx, end_idx, label): no row and no text is made for a pair.
+
+    rules: (head, tail, predicates). classifier: one with `classify_pairs`. Without uris, texts and labels of the ends.
+    """
+    labels = sorted({x for h, t, _ in rules for x in (h, t)})
+    predicates = sorted({x for *_, p in rules for x in p})
+    size = np.zeros((len(labels) + 1, len(labels) + 1), np.int64)
+    numbers = np.zeros((*size.shape, max(len(p) for *_, p in rules)), np.int8)
+    for h, t, p in rules:
+        size[labels.index(h), labels.index(t)] = len(p)
+        numbers[labels.index(h), labels.index(t), : len(p)] = [predicates.index(x) for x in p]
+    place = {x: k for k, x in enumerate(labels)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text, starts, ends, said = (batch.column(c)[k].as_py() for c in ("text", "start_idx", "end_idx", "label"))
+                order = sorted(range(len(starts)), key=starts.__getitem__)
+                s, e = np.array(starts)[order], np.array(ends)[order]
+                own = np.array([place.get(said[x], len(labels)) for x in order])
+                # Behind an entity are those that begin after its end; each of the two can be the subject.
+                behind, n = np.searchsorted(s, e, "right"), len(s)
+                tell, step = classifier.classify_pairs(text, list(zip(s.tolist(), e.tolist())), window), max(1, PAIRS_HELD // n)
+                for a in range(0, n, step):
+                    later = np.arange(n) >= behind[a : a + step, None]
+                    for is_subject, rule in ((True, size), (False, size.T)):
+                        i, j = np.nonzero(later & (rule[own[a : a + step]][:, own] > 0))
+                        i += a
+                        ends_ = (i, j) if is_subject else (j, i)
+                        at = own[ends_[0]], own[ends_[1]]
+                        which, score = classifier.choice(tell(i, j, is_subject), size[at] + 1)
+                        kept = which < size[at]
+                        if kept.any():
+                            lists = (s[ends_[0][kept]], s[ends_[1][kept]], numbers[at][kept, which[kept]], score[kept])
+                            packed = [pa.ListArray.from_arrays([0, len(x)], pa.array(x, t)) for x, t in zip(lists, (pa.int32(), pa.int32(), pa.int8(), pa.float64()))]
+                            yield pa.record_batch([*batch.select(["paper_id", "location"]).slice(k, 1).columns, *packed], ["paper_id", "location", *PAIR_LISTS])
+
+    some = sections.filter("text is not null and size(start_idx) > 1").select("paper_id", "location", "text", "start_idx", "end_idx", "label")
+    made = some.mapInArrow(run, "paper_id string, location string, subject_start_idx array<int>, object_start_idx array<int>, predicate array<tinyint>, confscore array<double>")
+    each = made.select("paper_id", "location", F.explode(F.arrays_zip(*PAIR_LISTS)).alias("x"))
+    name = F.element_at(F.array(*map(F.lit, predicates)), F.col("x.predicate").cast("int") + 1)
+    return each.select("paper_id", "location", "x.subject_start_idx", "x.object_start_idx", name.alias("predicate"), "x.confscore")
+
+
+#: Pairs that are looked at at once, of which about a tenth are relations: these leave Python as a row.
+PAIRS_HELD = 65_536
+PAIR_LISTS = ["subject_start_idx", "object_start_idx", "predicate", "confscore"]
+
+
 def answered(prompts: DataFrame, chat: Chat, temperature: float = 1.0) -> DataFrame:
     """prompts (with system, user) with response and failure: a failed call gives no response but its reason, and its row stays.
 
