@@ -231,6 +231,28 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = -
     return ranked(rows.mapInArrow(run, kinds(asks, rows)), k)
 
 
+def nearest_of_few(queries: DataFrame, few: DataFrame, k: int, threshold: float = -1.0, most: int = 65_536) -> DataFrame:
+    """As `nearest`, where the vectors are few: they are sent to the tasks, and queries, however many, are read once. More than `most` go to `nearest`."""
+    rows = by_length(few, "id")
+    table = rows.limit(most + 1).toArrow()
+    if table.num_rows > most:
+        return nearest(queries, few, k, threshold)
+    sent = {size: table.filter(pc.equal(table.column("list"), size)).combine_chunks() for size in table.column("list").unique().to_pylist()}
+    shared = queries.sparkSession.sparkContext.broadcast({size: (t.column("id").combine_chunks(), matrix(t)) for size, t in sent.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for size in batch.column(2).unique().to_pylist():
+                if size in shared.value:
+                    own = pa.Table.from_batches([batch]).filter(pc.equal(batch.column(2), size))
+                    ids, x = shared.value[size]
+                    r, c, scores = best_of(matrix(own), x, order_of(ids), k, threshold)
+                    yield pa.record_batch([own.column(0).combine_chunks().take(pa.array(r)), ids.take(pa.array(c)), pa.array(scores)], ["query_id", "id", "score"])
+
+    asks = by_length(queries, "query_id")
+    return ranked(asks.mapInArrow(run, kinds(asks, rows)), k)
+
+
 def narrowed(scores: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest scores of each row, ties to the smaller rank: only what reaches the k-th score is sorted."""
     least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]

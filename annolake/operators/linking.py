@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annolake.operators.dense import nearest, nearest_listed  # noqa: F401  linking's vector search
+from annolake.operators.dense import nearest, nearest_listed, nearest_of_few  # noqa: F401  linking's vector search
 from annolake.operators.spans import first_wins
 
 #: Spellings of "no concept".
@@ -25,6 +25,11 @@ def known_uris(entities: DataFrame, keys: list[str]) -> DataFrame:
     return some.groupBy(*keys).agg(F.array_sort(F.collect_set("uri")).alias("uris"), F.min("uri").alias("uri"))
 
 
+def of_all_labels(by_label: DataFrame) -> DataFrame:
+    """`known_uris` by text of those by text and label: mentions are read once for both."""
+    return by_label.groupBy("text_norm").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("uris")))).alias("uris"), F.min("uri").alias("uri"))
+
+
 def cascade(mentions: DataFrame, by_label: DataFrame, by_text: DataFrame) -> DataFrame:
     """uri and uri_source: by text and label, else by text, else NA (where a vector search may follow)."""
     made = mentions.withColumn("text_norm", normal(F.col("text_span")))
@@ -40,16 +45,17 @@ def routed(mentions: DataFrame, by_label: DataFrame, by_text: DataFrame, search:
     reach `search`, which takes them (query_id: the text) and gives query_id, id, score of the nearest
     definitions; uris: id, uri. Below the threshold, or where the definition has no uri, it is NA.
     """
-    exact = cascade(mentions, by_label, by_text)
+    # What a text with a label is linked to is told once, not a mention; mentions meet it once.
+    own = mentions.drop("uri", "uri_source", "text_norm", "link_score")
+    exact = cascade(own.select("text_span", "label").distinct(), by_label, by_text)
     rest = F.col("uri_source") == "none"
     texts = exact.filter(rest & F.col("text_span").isNotNull()).select(F.col("text_span").alias("query_id")).distinct()
     best = first_wins(search(texts).filter(F.col("score") >= threshold), ["query_id"], [F.desc("score"), "id"])
     best = best.join(uris.select("id", F.col("uri").alias("_uri")), "id").select(F.col("query_id").alias("_text"), "_uri", "score")
-    # Mentions that are linked already get keys of their own, which no text has, so that they are spread over tasks.
-    key = F.when(rest, F.col("text_span")).otherwise(F.concat(F.lit("\0"), F.xxhash64("paper_id", "start_idx").cast("string")))
-    met = exact.withColumn("_text", key).join(best, "_text", "left")
+    met = exact.join(best, rest & (F.col("text_span") == F.col("_text")), "left")
     found = F.col("_uri").isNotNull()
-    return met.withColumns({"uri": F.when(found, F.col("_uri")).otherwise(F.col("uri")), "uri_source": F.when(found, "similarity").otherwise(F.col("uri_source")), "link_score": F.when(found, F.col("score"))}).drop("_text", "_uri", "score")
+    told = met.select(F.col("text_span").alias("_span"), F.col("label").alias("_label"), "text_norm", F.when(found, F.col("_uri")).otherwise(F.col("uri")).alias("uri"), F.when(found, "similarity").otherwise(F.col("uri_source")).alias("uri_source"), F.when(found, F.col("score")).alias("link_score"))
+    return own.join(told, F.col("text_span").eqNullSafe(F.col("_span")) & F.col("label").eqNullSafe(F.col("_label"))).drop("_span", "_label")
 
 
 def mention_reasons(entities: DataFrame, dictionary: DataFrame) -> DataFrame:
